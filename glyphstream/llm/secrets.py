@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import read_table
+from glyphstream.llm._common import Scratch, read_table
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,12 +37,16 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 _SPANS = "array<struct<start:bigint,kind:int,stop:bigint,text:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda's argument is bound, a repeated column is not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _found(text: Column, pattern: str, kind: int, may: Column, keep) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches that ``keep(match)`` accepts; ``may``: whether there can be any.
 
     Matches and the gaps between them are listed; the running sum of their lengths is where each match starts.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(state, z):
         start = state.at + F.length(z["gap"])
@@ -50,9 +54,11 @@ def _found(text: Column, pattern: str, kind: int, may: Column, keep) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), z["hit"].alias("text"))
         return F.struct(stop.alias("at"), F.when(keep(z["hit"]), F.concat(state.out, F.array(span))).otherwise(state.out).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     empty = F.expr(f"cast(array() as {_SPANS})")
-    return F.when(may, F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda s: s.out)).otherwise(empty)
+    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    # The gap after the last match has no match: its step changes nothing that is read.
+    return F.when(may, F.aggregate(pairs, start, lambda x, z: F.when(z["hit"].isNull(), x).otherwise(step(x, z)), lambda x: x.out)).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -85,39 +91,54 @@ def _normal_tail(z: Column) -> Column:
 
 def battery(token: Column, kind: Column) -> Column:
     """Struct (p_uniform, p_runs, p_serial, p, distinct) of a token under its encoding."""
-    t = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    alphabet = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[kind]
-    size = F.length(alphabet).cast("double")
-    codes = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    return _battery_of(codes, size)
-
-
-def _battery_of(codes: Column, size: Column) -> Column:
-    n = F.size(codes).cast("double")
-    middle = (size - 1) / 2
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    distinct = F.array_distinct(codes)
-    counts = F.transform(distinct, lambda d: F.size(F.filter(codes, lambda c: c == d)).cast("double"))
-    chi = total(F.transform(counts, lambda c: c * c)) * size / n - n
-    free = size - 1
-    # Wilson and Hilferty's cube root makes chi-squared normal.
-    z_uniform = (F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    p_uniform = F.when(z_uniform <= 0, F.lit(1.0)).otherwise(_normal_tail(z_uniform) / 2)
-    high = F.transform(codes, lambda c: F.when(c > middle, 1.0).otherwise(0.0))
-    n1 = total(high)
-    n0 = n - n1
-    turns = F.zip_with(F.slice(high, F.lit(1), F.size(high) - 1), F.slice(high, F.lit(2), F.size(high) - 1), lambda a, b: F.abs(a - b))
-    mean = 2 * n0 * n1 / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(var > 0, _normal_tail((total(turns) + 1 - mean) / F.sqrt(var))).otherwise(F.lit(1e-12))
-    avg = total(codes) / n
-    off = F.transform(codes, lambda c: c - avg)
-    lag = total(F.zip_with(F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda a, b: a * b))
-    square = total(F.transform(off, lambda x: x * x))
-    p_serial = F.when(square > 0, _normal_tail((lag / square + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-12))
-    half = -(F.log(F.greatest(p_uniform, F.lit(1e-300))) + F.log(p_runs) + F.log(p_serial))
-    p = F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with 6 degrees of freedom
-    return F.struct(p_uniform.alias("p_uniform"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p.alias("p"), F.size(distinct).alias("distinct"))
+    alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
+    plain = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    listed = _let(alphabet, lambda a: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - 1))
+
+    def sums(codes, size):
+        """What the tests need of the codes, each computed once."""
+        n = F.size(codes).cast("double")
+        middle = (size - 1) / 2
+        counts = F.transform(F.array_distinct(codes), lambda d: F.size(F.filter(codes, lambda c: c == d)).cast("double"))
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        centred = _let(
+            total(codes) / n,
+            lambda m: F.struct(
+                total(F.transform(codes, lambda c: (c - m) * (c - m))).alias("square"),
+                F.aggregate(pairs, F.lit(0.0), lambda x, q: x + (q["a"] - m) * (q["b"] - m)).alias("lag"),
+            ),
+        )
+        return F.struct(
+            n.alias("n"),
+            size.alias("size"),
+            F.size(F.array_distinct(codes)).alias("distinct"),
+            total(F.transform(counts, lambda c: c * c)).alias("counts2"),
+            total(F.transform(codes, lambda c: F.when(c > middle, 1.0).otherwise(0.0))).alias("high"),
+            F.aggregate(pairs, F.lit(1.0), lambda x, q: x + F.when((q["a"] > middle) != (q["b"] > middle), 1.0).otherwise(0.0)).alias("runs"),
+            centred.alias("c"),
+        )
+
+    def ps(s):
+        n, free = s["n"], s["size"] - 1
+        chi = s["counts2"] * s["size"] / n - n
+        # Wilson and Hilferty's cube root makes chi-squared normal.
+        z = (F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        mean = 2 * (n - s["high"]) * s["high"] / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        return F.struct(
+            F.when(z <= 0, F.lit(1.0)).otherwise(_normal_tail(z) / 2).alias("p_uniform"),
+            F.when(var > 0, _normal_tail((s["runs"] - mean) / F.sqrt(var))).otherwise(F.lit(1e-12)).alias("p_runs"),
+            F.when(s["c"]["square"] > 0, _normal_tail((s["c"]["lag"] / s["c"]["square"] + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-12)).alias("p_serial"),
+            s["distinct"].alias("distinct"),
+        )
+
+    def combined(p):
+        half = -(F.log(F.greatest(p["p_uniform"], F.lit(1e-300))) + F.log(p["p_runs"]) + F.log(p["p_serial"]))
+        whole = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with 6 degrees of freedom
+        return F.struct(p["p_uniform"].alias("p_uniform"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"), whole.alias("p"), p["distinct"].alias("distinct"))
+
+    return _let(listed, lambda codes: _let(sums(codes, F.length(alphabet).cast("double")), lambda s: _let(ps(s), combined)))
 
 
 def _length_class(n: Column) -> Column:
@@ -140,10 +161,12 @@ def tested(docs: DataFrame) -> DataFrame:
     may = text.rlike(r"[A-Za-z0-9+/_-]{20}")
     d = d.select("doc_id", "text", base_spans(text).alias("base"), _found(text, CANDIDATE, 3, may, lambda m: encoding(m).isNotNull()).alias("found"))
     inside = lambda c: F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    one = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"), battery(c["text"], encoding(c["text"])).alias("b"))
-    d = d.select("doc_id", "text", "base", F.transform(F.filter("found", lambda c: ~inside(c)), one).alias("tests"))
-    size = lambda c: c["stop"] - c["start"]
-    return d.withColumn("tests", F.transform("tests", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"), c["b"]["p"].alias("p"), c["b"]["distinct"].alias("distinct"), _length_class(size(c)).alias("klass"), _bin(c["b"]["p"]).alias("bin"))))
+
+    def one(c):
+        b = battery(c["text"], encoding(c["text"]))
+        return _let(b, lambda b: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"), b["p"].alias("p"), b["distinct"].alias("distinct"), _length_class(c["stop"] - c["start"]).alias("klass"), _bin(b["p"]).alias("bin")))
+
+    return d.select("doc_id", "text", "base", F.transform(F.filter("found", lambda c: ~inside(c)), one).alias("tests"))
 
 
 def rejection_bins(tests: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -156,14 +179,18 @@ def rejection_bins(tests: DataFrame, fdr: float = FDR) -> DataFrame:
     return bins.where("rejected").groupBy("klass").agg(F.max("bin").alias("last_bin"))
 
 
-def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(doc_id, text, spans): all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind."""
+def scan(docs: DataFrame, fdr: float = FDR, text: bool = True) -> DataFrame:
+    """(doc_id, text, spans): all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind.
+
+    The texts are read once; what was found (and, if asked for, the texts) waits in the shared folder for the bins' counts.
+    """
     t = tested(docs)
+    t = Scratch(docs.sparkSession).keep(t if text else t.drop("text"))
     limits = rejection_bins(t, fdr).agg(F.map_from_entries(F.collect_list(F.struct("klass", "last_bin"))).alias("limits"))
     t = t.join(F.broadcast(limits))  # one row
     random = lambda c: (c["bin"] > F.coalesce(F.try_element_at("limits", c["klass"]), F.lit(-1))) & (c["distinct"] * 3 >= F.least(c["stop"] - c["start"], F.lit(30)))
     added = F.transform(F.filter("tests", random), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text")))
-    return t.select("doc_id", "text", F.array_sort(F.concat("base", added)).alias("spans"))
+    return t.select("doc_id", *["text"] * text, F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -184,7 +211,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"))
+    found = scan(read_table(spark, sf_dir, "documents"), text=False)
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
