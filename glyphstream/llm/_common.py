@@ -100,13 +100,29 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Longer buffers are hashed in parts cut at white space, which bounds memory for very long texts.
+PART = 8 << 20
+
+
 def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of UTF-8 bytes: a polynomial over random byte values, mixed with the length."""
+    if len(data) <= PART:
+        return _word_hashes(data, lower)
+    spaces, at, parts = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8)]), 0, []
+    while at < len(data):
+        k = np.searchsorted(spaces, at + PART)
+        to = int(spaces[k]) + 1 if k < len(spaces) else len(data)
+        h, start, end = _word_hashes(data[at:to], lower)
+        parts.append((h, start + at, end + at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     if lower:
         b = _LOWER[b]
-    inside = np.empty(len(b) + 2, np.int8)
-    inside[0] = inside[-1] = 0
+    inside = np.zeros(len(b) + 2, np.int8)
     np.logical_not(_SPACE[b], out=inside[1:-1].view(bool))
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -118,7 +134,7 @@ def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive word hashes, in order; built by doubling where size is a product of twos."""
+    """Hash of each run of ``size`` consecutive word hashes, in order."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
