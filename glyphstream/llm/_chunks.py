@@ -29,7 +29,7 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Chunks (chunk, docs, ends, blob, n_bytes) of docs (doc_id long, text) in the order of its partitions; null text is empty."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << 18
         ids, ends, parts, size = [], [], [], 0
 
         def row():
