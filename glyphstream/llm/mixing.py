@@ -75,5 +75,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, bucket_docs: int = BUC
     return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it; rows of one doc_id are taken as often as the one taken most."""
+    copies = mix(docs, weights, cap).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = own.join(copies, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), "_copies"))).select("row.*")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -154,19 +154,19 @@ def _bin(p: Column) -> Column:
 
 
 def tested(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, tests) of docs (doc_id, text): base spans, and the battery's candidates with their p and bin."""
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(doc_id, text, row, base, tests) of docs (doc_id, text): base spans, and the battery's candidates with their p and bin; row: all columns."""
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     text = F.col("text")
     # Runs of candidate symbols without a digit are words: asking for a digit after a long run keeps the list short.
     may = text.rlike(r"[A-Za-z0-9+/_-]{20}")
-    d = d.select("doc_id", "text", base_spans(text).alias("base"), _found(text, CANDIDATE, 3, may, lambda m: encoding(m).isNotNull()).alias("found"))
+    d = d.select("doc_id", "text", "row", base_spans(text).alias("base"), _found(text, CANDIDATE, 3, may, lambda m: encoding(m).isNotNull()).alias("found"))
     inside = lambda c: F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
 
     def one(c):
         b = battery(c["text"], encoding(c["text"]))
         return _let(b, lambda b: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"), b["p"].alias("p"), b["distinct"].alias("distinct"), _length_class(c["stop"] - c["start"]).alias("klass"), _bin(b["p"]).alias("bin")))
 
-    return d.select("doc_id", "text", "base", F.transform(F.filter("found", lambda c: ~inside(c)), one).alias("tests"))
+    return d.select("doc_id", "text", "row", "base", F.transform(F.filter("found", lambda c: ~inside(c)), one).alias("tests"))
 
 
 def rejection_bins(tests: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -179,18 +179,18 @@ def rejection_bins(tests: DataFrame, fdr: float = FDR) -> DataFrame:
     return bins.where("rejected").groupBy("klass").agg(F.max("bin").alias("last_bin"))
 
 
-def scan(docs: DataFrame, fdr: float = FDR, text: bool = True) -> DataFrame:
-    """(doc_id, text, spans): all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind.
+def scan(docs: DataFrame, fdr: float = FDR, rows: bool = True) -> DataFrame:
+    """(doc_id, spans[, row]), row: a struct of all columns of docs. spans: all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind.
 
-    The texts are read once; what was found (and, if asked for, the texts) waits in the shared folder for the bins' counts.
+    The texts are read once; what was found (and, if asked for, the rows) waits in the shared folder for the bins' counts.
     """
     t = tested(docs)
-    t = Scratch(docs.sparkSession).keep(t if text else t.drop("text"))
+    t = Scratch(docs.sparkSession).keep(t.drop("text") if rows else t.drop("text", "row"))
     limits = rejection_bins(t, fdr).agg(F.map_from_entries(F.collect_list(F.struct("klass", "last_bin"))).alias("limits"))
     t = t.join(F.broadcast(limits))  # one row
     random = lambda c: (c["bin"] > F.coalesce(F.try_element_at("limits", c["klass"]), F.lit(-1))) & (c["distinct"] * 3 >= F.least(c["stop"] - c["start"], F.lit(30)))
     added = F.transform(F.filter("tests", random), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text")))
-    return t.select("doc_id", *["text"] * text, F.array_sort(F.concat("base", added)).alias("spans"))
+    return t.select("doc_id", *["row"] * rows, F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -210,8 +210,20 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with every span found in a text replaced by a mark, and n_chars following where a text changed."""
+    found = scan(docs)
+    new = redacted(F.col("row.text").cast("string"), F.col("spans"))
+    columns = []
+    for c in docs.columns:
+        own = F.col(f"row.`{c}`")
+        kind = docs.schema[c].dataType
+        columns.append((new.cast(kind) if c.lower() == "text" else F.when(F.size("spans") > 0, F.length(new)).otherwise(own).cast(kind) if c.lower() == "n_chars" else own).alias(c))
+    return found.select(*columns)
+
+
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"), text=False)
+    found = scan(read_table(spark, sf_dir, "documents"), rows=False)
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))

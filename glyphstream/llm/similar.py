@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.llm import _chunks as C
@@ -188,5 +188,21 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, without the documents that link with one of a smaller doc_id, directly or through others.
+
+    Where rows share a doc_id, the first by text stays if any of them does.
+    """
+    found = linked(docs)
+    found = Scratch(docs.sparkSession).keep(found)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = own.join(stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = Window.partitionBy("row.doc_id").orderBy("row.text")
+        out = out.withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return out.select("row.*")
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return linked(read_table(spark, sf_dir, "documents"))

@@ -42,7 +42,7 @@ def archived(pages: DataFrame, per_archive: int = PER_ARCHIVE) -> DataFrame:
     r = records(pages).select("page_id", "url", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     r = r.groupBy("page_id", "url", "length", "digest").agg(F.count("*").alias("copies"))
     n = max(1, -(-pages.count() // per_archive))
-    r = r.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(n)).cast("long"))
+    r = r.withColumn("archive", (F.conv(F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "digest"), 256), 1, 12), 16, 10).cast("long") % n))
     w = Window.partitionBy("archive").orderBy("page_id", "url", "digest")
     return r.select("page_id", "url", "archive", (F.row_number().over(w) - 1).cast("long").alias("seq"), (F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long").alias("offset"), "length", "digest", "copies")
 
@@ -76,13 +76,13 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int =
 
 
 def replica(pages: DataFrame, manifest: DataFrame, fault_every: int = FAULT_EVERY) -> DataFrame:
-    """Leaves of a second copy of the archives, read from its records; bit rot is planted where crc32(page_id) mod fault_every is 0.
+    """Leaves of a second copy of the archives, read from its records; bit rot is planted where page_id mod fault_every is 0.
 
     There the record's last byte becomes a zero byte; the copy's digest is always that of its own bytes.
     """
     r = records(pages)
     n = F.length("record")
-    hit = F.coalesce(F.crc32(F.col("page_id").cast("string")) % fault_every == 0, F.lit(False))
+    hit = F.coalesce(F.col("page_id") % fault_every == 0, F.lit(False))
     rotten = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.expr("X'00'"))
     key = r.select("page_id", "url", F.sha2("record", 256).alias("was"), F.sha2(F.when(hit, rotten).otherwise(F.col("record")), 256).alias("digest"), n.alias("bytes")).groupBy("page_id", "url", "was", "digest").agg(F.max("bytes").alias("bytes"))
     m = manifest.select("page_id", "url", "archive", "seq", "offset", "length", F.col("digest").alias("was"))
