@@ -1,4 +1,170 @@
-"""Registered queries of the engine's relational stages."""
+"""Registered queries: the relational core of each stage on the test tables, and DuckDB SQL with the same result."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from glyphstream.operators import timeline
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, event_type, COALESCE(SUM(CASE WHEN event_type='purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS ds FROM events)
+SELECT user_id, CAST(ds AS BIGINT) AS ds_index, COUNT(*) AS n_segments, MIN(ts) AS first_ts FROM s GROUP BY user_id, ds HAVING SUM(CASE WHEN event_type='purchase' THEN 1 ELSE 0 END)=1""")
+def displayset_assembly(spark, sf_dir):
+    end = F.col("event_type") == "purchase"
+    d = timeline.end_delimited(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], end)
+    return d.groupBy("user_id", "ds_index").agg(F.count("*").alias("n_segments"), F.min("ts").alias("first_ts"), F.count_if(end).alias("ends")).where("ends = 1").drop("ends")
+
+
+def _items(spark, sf_dir):
+    d = timeline.start_delimited(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "idx")
+    return d.groupBy("user_id", "idx").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n"))
+
+
+_ITEMS = """WITH f AS (SELECT user_id, ts, event_id, event_type, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT user_id, ts, SUM(CASE WHEN event_type='signup' AND rn>1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM f),
+i AS (SELECT user_id, CAST(grp AS BIGINT) AS idx, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS n FROM g GROUP BY user_id, grp)"""
+
+
+@query(_ITEMS + " SELECT * FROM i")
+def epoch_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@query(_ITEMS + """, l AS (SELECT *, LEAD(start_ts) OVER (PARTITION BY user_id ORDER BY idx) AS next_start FROM i)
+SELECT user_id, idx, start_ts, CASE WHEN end_ts > start_ts THEN end_ts ELSE GREATEST(start_ts + INTERVAL '1' SECOND, next_start - INTERVAL '1' SECOND) END AS end_ts
+FROM l WHERE end_ts > start_ts OR start_ts + INTERVAL '6' HOUR >= next_start""")
+def auto_fix_end(spark, sf_dir):
+    fixed = timeline.repair_ends(_items(spark, sf_dir), ["user_id"], "idx", "start_ts", "end_ts", F.expr("INTERVAL 6 HOURS"), F.expr("INTERVAL 1 SECOND"))
+    return fixed.select("user_id", "idx", "start_ts", "end_ts")
+
+
+@query("SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, ROW_NUMBER() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) t WHERE rn = 1")
+def one_per_lang(spark, sf_dir):
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    return _t(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.row_number().over(w).alias("rn")).where("rn = 1").drop("rn")
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id WHERE l.doc_id IS NULL OR l.quality=0")
+def skip_existing(spark, sf_dir):
+    d, done = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("made"))
+    return d.join(done, "doc_id", "left").where("made IS NULL OR quality = 0").select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en','de')")
+def lang_semi(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de")).select("doc_id")
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type = LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS chg FROM events),
+r AS (SELECT user_id, event_type, SUM(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT user_id, CAST(run AS BIGINT) AS run_id, event_type, COUNT(*) AS run_len FROM r GROUP BY user_id, run, event_type""")
+def run_length(spark, sf_dir):
+    return timeline.runs(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("SELECT n.n_nationkey, COUNT(*) AS n_hits FROM lineitem l JOIN nation n ON l.l_quantity BETWEEN n.n_nationkey AND n.n_nationkey + 10 AND l.l_discount * 100 BETWEEN n.n_regionkey AND n.n_regionkey + 2 GROUP BY n.n_nationkey")
+def rect_containment(spark, sf_dir):
+    """Points in rectangles. Equal points are counted first, then each count meets the rectangles of its whole-number column of x."""
+    points = _t(spark, sf_dir, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count("*").alias("c")).withColumn("x", F.floor("l_quantity"))
+    rects = _t(spark, sf_dir, "nation").withColumn("x", F.explode(F.sequence(F.col("n_nationkey").cast("long"), F.col("n_nationkey").cast("long") + 10)))
+    inside = F.col("l_quantity").between(F.col("n_nationkey"), F.col("n_nationkey") + 10) & (F.col("l_discount") * 100).between(F.col("n_regionkey"), F.col("n_regionkey") + 2)
+    return points.join(rects, "x").where(inside).groupBy("n_nationkey").agg(F.sum("c").alias("n_hits"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def line_assembly(spark, sf_dir):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x.text), "\n").alias("body"))
+
+
+@query("""WITH s AS (SELECT doc_id, source, string_split(text,' ') AS ws FROM documents), w0 AS (SELECT doc_id, source, unnest(ws) AS word, generate_subscripts(ws,1)-1 AS pos FROM s), w AS (SELECT *, (doc_id*31+pos*7)%100 AS conf FROM w0),
+v AS (SELECT DISTINCT source, word FROM w WHERE conf>=20 AND word<>'')
+SELECT w.doc_id, CAST(MIN(CASE WHEN w.conf>=20 OR v.word IS NOT NULL THEN 1 ELSE 0 END) AS INT) AS accepted FROM w LEFT JOIN v ON w.source=v.source AND w.word=v.word GROUP BY w.doc_id""")
+def accept_vocab(spark, sf_dir):
+    """A document is accepted if each word is sure or occurs surely elsewhere in its source. Counts a word once for each document before the join."""
+    w = _t(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    w = w.withColumn("sure", F.pmod(F.col("doc_id") * 31 + F.col("pos") * 7, F.lit(100)) >= 20)
+    known = w.where("sure AND word <> ''").select("source", "word").distinct().withColumn("known", F.lit(True))
+    per_doc = w.groupBy("doc_id", "source", "word").agg(F.bool_and("sure").alias("sure"))
+    return per_doc.join(known, ["source", "word"], "left").groupBy("doc_id").agg(F.min(F.when(F.col("sure") | F.col("known"), 1).otherwise(0)).alias("accepted"))
+
+
+@query("SELECT doc_id, CAST('0x'||substr(hex(encode(text)),1,8) AS BIGINT) AS be32 FROM documents")
+def binary_be_int(spark, sf_dir):
+    from glyphstream.functions.binary import be_uint
+
+    return _t(spark, sf_dir, "documents").select("doc_id", be_uint(F.encode("text", "utf-8"), 0, 4).alias("be32"))
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x>0 THEN 0 ELSE 255 END)) AS BIGINT) AS s FROM embeddings")
+def binarize(spark, sf_dir):
+    ink = F.aggregate(F.col("embedding"), F.lit(0).cast("long"), lambda a, x: a + F.when(x > 0, 0).otherwise(255))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", ink.alias("s"))
+
+
+@query("SELECT event_id, strftime(ts,'%H:%M:%S')||','||strftime(ts,'%g') AS t FROM events")
+def srt_format(spark, sf_dir):
+    from glyphstream.functions.srt import srt_time
+
+    ms = F.expr("(hour(ts) * 3600 + minute(ts) * 60) * 1000L + cast(floor(extract(second from ts) * 1000) as bigint)")
+    return _t(spark, sf_dir, "events").select("event_id", srt_time(ms).alias("t"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text,'[%*#]{2,}','','g'),'\n+',' ','g'),' {2,}',' ','g')) AS t FROM documents")
+def clean_rules(spark, sf_dir):
+    from glyphstream.functions.srt import apply_rules
+
+    rules = [(r"[%*#]{2,}", ""), (r"\n+", " "), (r" {2,}", " ")]
+    return _t(spark, sf_dir, "documents").select("doc_id", F.trim(apply_rules(F.col("text"), rules)).alias("t"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query("SELECT COUNT(*) FILTER (WHERE lang='en') AS collected, COUNT(*) FILTER (WHERE lang<>'en') AS filtered_out FROM documents")
+def scan_report(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").agg(F.count_if(F.col("lang") == "en").alias("collected"), F.count_if(F.col("lang") != "en").alias("filtered_out"))
+
+
+@query("SELECT user_id, event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS idx FROM events")
+def renumber(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("idx"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+p AS (SELECT source, doc_id, rn, CASE WHEN n_chars+115>20000 THEN n_chars ELSE n_chars+115 END AS w, CASE WHEN n_chars+115>20000 THEN 1 ELSE 0 END::BIGINT AS shelf FROM o WHERE rn=1
+UNION ALL SELECT o.source, o.doc_id, o.rn, CASE WHEN p.w+o.n_chars+115>20000 THEN o.n_chars ELSE p.w+o.n_chars+115 END, CASE WHEN p.w+o.n_chars+115>20000 THEN p.shelf+1 ELSE p.shelf END FROM p JOIN o ON o.source=p.source AND o.rn=p.rn+1)
+SELECT source, doc_id, shelf FROM p""")
+def shelf_pack(spark, sf_dir):
+    """The fold that fills shelves; its order is inherent, so a source streams through one group."""
+    import pandas as pd
+
+    def fold(pdf):
+        at, shelf, out = 0, 0, []
+        pdf = pdf.sort_values("doc_id")
+        for n in pdf["n_chars"]:
+            at += n + 115
+            if at > 20000:
+                at, shelf = n, shelf + 1
+            out.append(shelf)
+        return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "shelf": out})
+
+    return _t(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").groupBy("source").applyInPandas(fold, "source string, doc_id long, shelf long")
