@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from glyphstream.llm._common import Scratch, parallelism
 
 CHUNK_BYTES = 4 << 20
-#: Hashes to a bucket, about: a reducing task's memory follows this, not the input.
-BUCKET_HASHES = 1_500_000
+#: Hashes to a bucket, about: a reducing task's memory follows the first, not the input. Small inputs get buckets of the second at
+#: least, as a row travels for each chunk and bucket.
+BUCKET_HASHES, LEAST_HASHES = 1_500_000, 150_000
 
 _SCHEMA = "chunk long, docs binary, ends binary, blob binary, n_bytes long"
 
@@ -140,4 +141,4 @@ def answers_values(answers, kind) -> np.ndarray:
 
 
 def bucket_count(spark, hashes: int) -> int:
-    return max(parallelism(spark), -(-hashes // BUCKET_HASHES))
+    return max(1, -(-hashes // BUCKET_HASHES), min(parallelism(spark), -(-hashes // LEAST_HASHES)))

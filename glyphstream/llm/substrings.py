@@ -102,7 +102,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
     spark = docs.sparkSession
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(2 * parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = slim.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     chunks = C.store(scratch, C.pack_chunks(ordered))
     total = chunks.agg(F.sum("n_bytes")).head()[0] or 0
     buckets = C.bucket_count(spark, total // 6)
