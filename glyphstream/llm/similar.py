@@ -127,12 +127,12 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
                         continue  # its whole shortest prefix is its own
                     order = np.lexsort((s, s & _LOW, d))
                     want = matches_wanted(d[order], n, least)
-                    out.append((key(row["chunk"], k), n, want, s[order[alone : n - least + want]].astype(np.int64), s[shared].tobytes()))
-                columns = zip(*out) if out else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "n", "l", "prefix", "shared"])
+                    out.append((key(row["chunk"], k), n, want, alone, s[order[alone : n - least + want]].astype(np.int64), s[shared].tobytes()))
+                columns = zip(*out) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "n", "l", "alone", "prefix", "shared"])
 
-    docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(prefixes, "node long, n long, l int, prefix array<long>, shared binary"))
+    docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(prefixes, "node long, n long, l int, alone long, prefix array<long>, shared binary"))
     links = _links(scratch, docs_with, percent)
     comp = components(links, scratch)
     named = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -142,11 +142,19 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
 
 def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
-    """Verified links (x, y) that connect what all links connect, from (node, n, l, prefix, shared)."""
-    posts = docs.select("node", "n", "l", F.explode("prefix").alias("token"))
-    groups = posts.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
+    """Verified links (x, y) that connect what all links connect, from (node, n, l, alone, prefix, shared).
+
+    A pair shares at least half = ceil(2t / (1 + t) * n) shingles, n the smaller size, so the smaller document's common shingles begin within
+    its first n - half + l; only these (short) are matched on its side.
+    """
+    half = F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)).cast("long")
+    posts = docs.select("node", "n", "l", "alone", F.posexplode("prefix").alias("pos", "token"))
+    posts = posts.select("node", "n", "l", "token", (F.col("alone") + F.col("pos") < F.col("n") - half + F.col("l")).alias("short"))
+    groups = posts.groupBy("token").agg(F.count("*").alias("g"), F.min("node").alias("first")).where("g > 1")
     posts = scratch.keep(posts.join(groups, "token"))
-    largest = posts.groupBy("node").agg(F.max("g").alias("most"))
+    # The first of a large group is often what the others were copied from, so it is a hub from the start.
+    largest = posts.groupBy("node").agg(F.when(F.max((F.col("node") == F.col("first")) & (F.col("g") > SMALL_GROUP)), 1).otherwise(F.max("g")).alias("most"))
+    posts = posts.drop("first")
     u = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
     turn = F.when(F.col("most") <= SMALL_GROUP, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log(u * F.col("most") / HUBS) / F.log(F.lit(float(GROWTH)))))).cast("int")
     posts = scratch.keep(posts.join(largest.select("node", F.coalesce(turn, F.lit(0)).alias("turn")), "node"))
@@ -160,9 +168,10 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
         else:
             p = p.withColumn("comp", F.col("node"))
         salts = F.ceil(F.col("g") / SALT_ROWS)
-        hubs = p.where(F.col("turn") == turn).select(F.col("token").alias("hub_token"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("l").alias("hub_l"), F.col("comp").alias("hub_comp"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("hub_salt"))
+        hubs = p.where(F.col("turn") == turn).select(F.col("token").alias("hub_token"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("l").alias("hub_l"), F.col("comp").alias("hub_comp"), F.col("short").alias("hub_short"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("hub_salt"))
         p = p.withColumn("salt", F.pmod(F.xxhash64("node"), salts))
         near = (F.col("comp") != F.col("hub_comp")) & ((F.col("turn") > turn) | (F.col("node") > F.col("hub"))) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        near = near & (F.col("short") | (F.col("n") > F.col("hub_n"))) & (F.col("hub_short") | (F.col("hub_n") > F.col("n")))
         pairs = p.join(hubs, (F.col("token") == F.col("hub_token")) & (F.col("salt") == F.col("hub_salt")) & near).groupBy(F.col("node").alias("x"), F.col("hub").alias("y")).agg(F.count("*").alias("same"), F.first("n").alias("n_x"), F.first("hub_n").alias("n_y"), F.first(F.least("l", "hub_l")).alias("want"))
         pairs = pairs.where("same >= want").select("x", "y", "n_x", "n_y")
         both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shared").alias("a")), "x").join(sets.select(F.col("node").alias("y"), F.col("shared").alias("b")), "y")
