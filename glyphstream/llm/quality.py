@@ -185,12 +185,12 @@ def _rows(batch: pa.RecordBatch):
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
     slim = _slim(docs).where(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
     y = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id", "text"]
-    known = slim.join(y, "doc_id", "left").select(*slim.columns, "y")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    known = slim.select("doc_id").join(y, "doc_id", "left")  # ids alone meet the labels: texts don't move
 
-    def sample(rows, n):
-        ids = rows.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)  # the few chosen are joined back: texts are not sorted
-        return rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").orderBy(*order).limit(n).toArrow().combine_chunks()
+    def sample(ids, n):
+        chosen = F.broadcast(ids.orderBy(*order).limit(n).distinct())  # n ids at most, joined back to their rows
+        return slim.join(chosen, "doc_id").select(*slim.columns, "y").orderBy(*order, "text").limit(n).toArrow().combine_chunks()
 
     def features(table):
         parts = [_rows(b) for b in table.to_batches(512)]
