@@ -7,17 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphstream.functions import tracks as metadata
 from glyphstream.operators import recognise, subtitles
-from glyphstream.sources import files, pgs
+from glyphstream.sources import files, matroska, pgs
+
+CONTAINERS = ("mkv", "mks")
 
 
 def scan_path(spark: SparkSession, paths: list[str], options: files.ScanOptions = files.ScanOptions()) -> DataFrame:
     return files.scan(spark, paths, options)
 
 
-def rip(spark: SparkSession, scanned: DataFrame, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: list[tuple[str, str]] = ()) -> DataFrame:
-    """(track_id, srt) of the collected raw streams of a scan; track_id is the file's path."""
-    todo = scanned.where("status = 'collected' AND parts.extension = 'sup'").select("path")
-    content = spark.read.format("binaryFile").load([r.path for r in todo.collect()]).select(F.col("path").alias("track_id"), "content")
-    timed = pgs.items(pgs.display_sets(pgs.segments(content)))
-    return subtitles.documents(subtitles.subtitles(recognise.recognised(pgs.decode(timed), recogniser, ocr), rules))
+def tracks(scanned: DataFrame, options: files.ScanOptions = files.ScanOptions(), existing: DataFrame | None = None) -> DataFrame:
+    """(path, track, language, number, track_id, srt_path): what is to be ripped of a scan's collected files; track is null for raw streams.
+
+    existing (path, modificationTime) has the subtitle files made before; a track is skipped if the first file of its language is among them.
+    """
+    found = scanned.where("status = 'collected'").select("path", files.path_parts(F.col("path")).alias("parts"))
+    todo = lambda d, lang: d.withColumn("srt_path", files.render(F.col("parts"), "srt", F.lit(0), lang))
+    unmade = lambda d: d if existing is None else files.not_ripped(d, existing, options)
+    raw = unmade(todo(found.where("parts.extension = 'sup'"), F.col("parts.language")))
+    raw = raw.select("path", F.lit(None).cast("int").alias("id"), "parts.language", F.lit(0).alias("number"), F.col("path").alias("track_id"), "srt_path")
+    inside = metadata.parsed(matroska.described(found.where(F.col("parts.extension").isin(*CONTAINERS))).where("error IS NULL"))
+    inside = unmade(todo(inside.select("path", "track", files.path_parts(F.col("path")).alias("parts")), F.col("track.language")))
+    chosen = metadata.selected(inside, "path", options)
+    boxed = chosen.select("path", "track.id", "track.language", "number", F.concat_ws("#", "path", "track.id").alias("track_id"), files.render(F.col("parts"), "srt", F.col("number"), F.col("track.language")).alias("srt_path"))
+    return raw.unionByName(boxed)
+
+
+def contents(spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    """(track_id, content, error) of tracks()."""
+    plain = [r.path for r in chosen.where("id IS NULL").select("path").collect()]  # names of files, which the reader's listing holds on the driver too
+    boxed = matroska.demuxed(chosen.where("id IS NOT NULL")).select(F.concat_ws("#", "path", "id").alias("track_id"), "content", "error")
+    if not plain:
+        return boxed
+    raw = spark.read.format("binaryFile").load(plain).select(F.col("path").alias("track_id"), "content", F.lit(None).cast("string").alias("error"))
+    return raw.unionByName(boxed)
+
+
+def texts(content: DataFrame, languages: DataFrame | None, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: list[tuple[str, str]] = ()) -> DataFrame:
+    """(track_id, srt) of content (track_id, content); languages (track_id, language) is told to the recogniser."""
+    items = pgs.decode(pgs.items(pgs.display_sets(pgs.segments(content))))
+    if languages is not None:
+        items = items.join(languages.select("track_id", "language"), "track_id", "left")
+    return subtitles.documents(subtitles.subtitles(recognise.recognised(items, recogniser, ocr), rules))
+
+
+def rip(spark: SparkSession, scanned: DataFrame, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: list[tuple[str, str]] = (), options: files.ScanOptions = files.ScanOptions(), existing: DataFrame | None = None) -> DataFrame:
+    """(track_id, srt_path, srt) of the collected files of a scan; write them with operators.subtitles.write_files."""
+    chosen = tracks(scanned, options, existing)
+    return texts(contents(spark, chosen), chosen, recogniser, ocr, rules).join(chosen.select("track_id", "srt_path"), "track_id")

@@ -6,7 +6,7 @@ A recogniser takes (page, options) and returns rows (level, page_num, block_num,
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -139,14 +139,18 @@ SUBTITLES = "track_id string, item_id long, start_ms long, end_ms long, text str
 
 
 def recognised(decoded: DataFrame, recognise: Callable, options: OcrOptions = OcrOptions()) -> DataFrame:
-    """SUBTITLES of decoded items, a track at a time (words of one page vouch for one another); a track's failure is its rows' error."""
+    """SUBTITLES of decoded items, a track at a time (words of one page vouch for one another); a track's failure is its rows' error.
+
+    A column language, if there is one, is told to the recogniser.
+    """
 
     def track(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id").reset_index(drop=True)
         good = pdf[pdf["error"].isna() & (pdf["height"] > 0)].reset_index(drop=True)
         out = pdf[["track_id", "item_id", "start_ms", "end_ms"]].assign(text=None, passed=0, error=pdf["error"])
+        told = replace(options, language=pdf["language"].iloc[0]) if "language" in pdf else options
         try:
-            got = cascade(good[["item_id", "y_offset", "x_offset", "height", "width", "pixels"]].set_axis(["item_id", "y", "x", "h", "w", "pixels"], axis=1).astype({"h": int, "w": int}), recognise, options)
+            got = cascade(good[["item_id", "y_offset", "x_offset", "height", "width", "pixels"]].set_axis(["item_id", "y", "x", "h", "w", "pixels"], axis=1).astype({"h": int, "w": int}), recognise, told)
             found = got.set_index("item_id")
             out["text"] = out["item_id"].map(found["text"])
             out["passed"] = out["item_id"].map(found["passed"]).fillna(0).astype(int)

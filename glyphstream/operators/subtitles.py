@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions.srt import apply_rules, srt_block
+from glyphstream.sources.files import local
 
 
 def subtitles(recognised: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
@@ -35,10 +36,10 @@ def write_files(docs: DataFrame, path: str = "srt_path", encoding: str = "utf-8"
             out = []
             for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    tmp = f"{at}.{os.getpid()}.tmp"
+                    tmp = f"{local(at)}.{os.getpid()}.tmp"
                     with open(tmp, "w", encoding=encoding, newline="") as f:
                         f.write(text)
-                    os.replace(tmp, at)
+                    os.replace(tmp, local(at))
                     out.append((at, None))
                 except (OSError, UnicodeError) as e:
                     out.append((at, str(e)))

@@ -74,6 +74,20 @@ def scan(spark: SparkSession, roots: list[str], options: ScanOptions = ScanOptio
     return d.unionByName(none.withColumn("parts", path_parts(F.col("path"))).withColumn("status", F.lit("discarded")))
 
 
+def made(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, modificationTime) of the subtitle files in the folders of roots."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    out = spark.createDataFrame([], "path string, modificationTime timestamp")
+    for r in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(r)
+        system = at.getFileSystem(conf)
+        if system.exists(at):
+            folder = r if system.getFileStatus(at).isDirectory() else at.getParent().toString()
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[sS][rR][tT]").load(folder)
+            out = out.unionByName(found.select("path", "modificationTime"))
+    return out.groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
+
+
 def report(scanned: DataFrame) -> DataFrame:
     return scanned.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("collected", "filtered_out", "discarded")))
 
