@@ -71,10 +71,14 @@ def main(argv: list[str] | None = None, recogniser=None, spark=None) -> int:
     scanned = api.scan_path(spark, args.paths, options)
     found = files.report(scanned).first()
     print(f"{counted(found.collected, 'file')} collected, {found.filtered_out} filtered out, {found.discarded} discarded")
+    bad = 0
+    for row in api.unreadable(scanned).toLocalIterator():
+        print(f"{row.path}: {row.error}")
+        bad += 1
     docs = api.rip(spark, scanned, recogniser or tesseract, rules=args.rules, options=options, existing=files.made(spark, args.paths))
     done = write_files(docs, encoding=args.encoding).agg(F.count_if(F.col("error").isNull()).alias("ripped"), F.count("error").alias("failed")).first()
     print(f"{counted(done.ripped, 'subtitle')} ripped, {done.failed} not written")
-    return 1 if done.failed else 0
+    return 1 if done.failed or bad else 0
 
 
 if __name__ == "__main__":

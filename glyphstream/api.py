@@ -35,6 +35,12 @@ def tracks(scanned: DataFrame, options: files.ScanOptions = files.ScanOptions(),
     return raw.unionByName(boxed)
 
 
+def unreadable(scanned: DataFrame) -> DataFrame:
+    """(path, error) of the collected containers whose tracks can't be read."""
+    found = scanned.where("status = 'collected'").where(F.col("parts.extension").isin(*CONTAINERS))
+    return matroska.described(found).where("error IS NOT NULL").select("path", "error")
+
+
 def contents(spark: SparkSession, chosen: DataFrame) -> DataFrame:
     """(track_id, content, error) of tracks()."""
     plain = [r.path for r in chosen.where("id IS NULL").select("path").collect()]  # names of files, which the reader's listing holds on the driver too

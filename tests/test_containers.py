@@ -104,6 +104,9 @@ def test_command(spark, tmp_path, capsys, recogniser):
     assert [p.name for p in tmp_path.glob("*.srt")] == ["m.pt-BR.srt"]
     assert command.main([str(tmp_path)], recogniser, spark) == 0
     assert "1 subtitle ripped" in capsys.readouterr().out
+    (tmp_path / "bad.mkv").write_bytes(b"x")
+    assert command.main([str(tmp_path)], recogniser, spark) == 1
+    assert "bad.mkv: ValueError: no tracks element\n0 subtitles ripped, 0 not written\n" in capsys.readouterr().out
     assert command.age("1w2d3h") == timedelta(days=9, hours=3) and command.age("") is None and command.language("eng") == "en"
     for f, bad in ((command.age, "3x"), (command.language, "qqq"), (command.rules, str(tmp_path / "none.json"))):
         with pytest.raises(argparse.ArgumentTypeError):
