@@ -17,13 +17,15 @@ rows of one doc_id are documents of their own; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphstream.llm import _chunks as C
-from glyphstream.llm._common import Scratch, mix, read_table, window_hashes, word_hashes
+from glyphstream.llm._common import WORD, Scratch, mix, read_table, window_hashes, word_hashes
 from glyphstream.llm._graph import components
 
 SHINGLE = 5
@@ -44,6 +46,7 @@ class ChunkSets:
 
     def __init__(self, docs: bytes, ends: bytes, blob: bytes, size: int):
         self.docs, ends, data = C.unpack(docs, ends, blob)
+        self.ends, self.data = ends, data
         words, start, _ = word_hashes(data, lower=True)
         doc = np.searchsorted(ends, start, side="right")
         at = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(self.docs)))]
@@ -57,6 +60,22 @@ class ChunkSets:
             else:
                 self.sets.append(np.zeros(0, np.uint64))
 
+    def keys(self) -> list[bytes]:
+        """row_key() of the documents."""
+        data, null = memoryview(self.data), np.iinfo(np.int64).min
+        out = []
+        for doc_id, a, b in zip(self.docs.tolist(), [0, *self.ends[:-1].tolist()], self.ends.tolist()):
+            h = hashlib.md5(b":" if doc_id == null else b"%d:" % doc_id)
+            h.update(data[a : b - 1])
+            out.append(h.digest())
+        return out
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that tell a row's doc_id and text from any other; the stand-in for a null doc_id counts as null."""
+    own = F.nullif(doc_id.cast("long"), F.lit(int(np.iinfo(np.int64).min)))
+    return F.unhex(F.md5(F.concat(F.coalesce(own.cast("string"), F.lit("")), F.lit(":"), text.cast("string")).cast("binary")))
+
 
 def signature(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, whatever its order."""
@@ -72,6 +91,17 @@ def matches_wanted(df: np.ndarray, n: int, least: int, most: int = MAX_MATCHES)
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row each."""
+    rows, named = _grouped(docs, size, percent)
+    least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
+    by_set = named.join(least, "comp").select("s1", "s2", "n", "component_id")
+    return rows.join(by_set, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node, n, s1, s2) of docs, and their distinct sets (s1, s2, n, node, first_doc, comp), comp being one node of the component.
+
+    keyed: rows have their row_key() as key too, and sets first_row (no_id, doc_id, key), the smallest of their rows.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     chunks = C.store(scratch, C.pack_chunks(docs))
@@ -83,10 +113,12 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
                 c = ChunkSets(row["docs"], row["ends"], row["blob"], size)
                 n = [len(s) for s in c.sets]
                 sig = np.array([signature(s) for s in c.sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([C.doc_ids(c.docs), pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])], names=["doc_id", "node", "n", "s1", "s2"])
+                own = [pa.array(c.keys(), pa.binary())] if keyed else []
+                yield pa.RecordBatch.from_arrays([C.doc_ids(c.docs), pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), *own], names=["doc_id", "node", "n", "s1", "s2"] + ["key"] * keyed)
 
-    rows = scratch.keep(chunks.drop("n_bytes").mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long"))
-    classes = scratch.keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc")))
+    rows = scratch.keep(chunks.drop("n_bytes").mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
+    first_row = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first_row")] if keyed else []
+    classes = scratch.keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"), *first_row))
     own = classes.groupBy(F.shiftright("node", 22).alias("chunk")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 22) - 1).cast("int")).alias("own"))
     total = classes.agg(F.sum("n")).head()[0] or 0
     buckets = C.bucket_count(spark, total)
@@ -135,10 +167,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(prefixes, "node long, n long, l int, alone long, prefix array<long>, shared binary"))
     links = _links(scratch, docs_with, percent)
     comp = components(links, scratch)
-    named = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    by_set = named.join(least, "comp").select("s1", "s2", "n", "component_id")
-    return rows.join(by_set, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows, classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
@@ -198,19 +227,21 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without the documents that link with one of a smaller doc_id, directly or through others.
+    """docs, all columns, with one row of each group of rows that link, directly or through others: one of the group's smallest doc_id.
 
-    Where rows share a doc_id, the first by text stays if any of them does.
+    Rows of one doc_id, or without one, are documents of their own: they go only where their texts link. Of a group's rows with its
+    smallest doc_id the one whose row_key() is smallest stays. Texts without words link with nothing, so their rows all stay.
     """
-    found = linked(docs)
-    found = Scratch(docs.sparkSession).keep(found)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    out = own.join(stay, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("row.doc_id").orderBy("row.text")
-        out = out.withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    return out.select("row.*")
+    rows, named = _grouped(docs, keyed=True)
+    stay = named.groupBy("comp").agg(F.min("first_row").alias("first_row")).select(F.col("first_row.key").alias("_key"))
+    stay = Scratch(docs.sparkSession).keep(stay)
+    worded = F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
+    own = docs.where(worded).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs["doc_id"], docs["text"]).alias("_key"))
+    out = own.join(stay, "_key", "left_semi")
+    if not rows.where("n > 0").groupBy("key").count().where("count > 1").isEmpty():
+        out = out.groupBy("_key").agg(F.first("row").alias("row"))  # rows of one doc_id and text link
+    out = out.select("row.*")
+    return out if rows.where("n = 0").isEmpty() else out.union(docs.where(~worded))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -107,6 +107,17 @@ def test_similar(docs, empty, rows, monkeypatch):
     assert similar.linked(empty).count() == 0
 
 
+def test_one_of_each_keeps_unlinked_rows_of_one_id(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    made = [(1, "a"), (5, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "e"), (None, "e"), (None, "b"), (7, "f"), (7, "f"), (-(2**63), "g")]
+    made = [(i, texts[k]) for i, k in made] + [(None, None), (None, ""), (9, " \n"), (9, None), (8, "two words"), (None, "two words")]
+    d = spark.createDataFrame([(i, t, "n") for i, t in made], "doc_id long, text string, node string").repartition(3)
+    got = similar.one_of_each(d)
+    want = [(1, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "e"), (7, "f"), (-(2**63), "g")]
+    want = [(i, texts[k]) for i, k in want] + [(None, None), (None, ""), (9, " \n"), (9, None), (8, "two words")]
+    assert got.columns == d.columns and sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_secrets(docs, empty, rows):
     got = {r.doc_id: r for r in secrets.scan(docs).select("doc_id", secrets.digest(F.col("spans")).alias("s")).collect()}
     text = rows[12][1]
