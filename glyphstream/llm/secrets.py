@@ -1,8 +1,9 @@
 """Secret scans, with DataFrame functions alone.
 
-Three patterns give the base spans. A randomness test battery adds more: tokens of one inferred encoding (hex, base32,
-base64) are tested for a uniform alphabet (chi-squared), for runs above and below the alphabet's middle, and for serial
-correlation of neighbouring symbols. The p-values are combined (Fisher's method, three terms). "Random" is the null
+Three patterns give the base spans. A randomness test battery adds more: every token is tested under the smallest encoding that
+holds it (hex, dashed or not, base32, base36, each in either case, base64), whatever classes of characters it mixes, for a uniform
+alphabet (chi-squared), for runs above and below the alphabet's middle, for serial correlation of neighbouring symbols, and for
+more of prose's common letters (hex: of digits) than chance gives. The p-values are combined (Fisher's method, four terms). "Random" is the null
 hypothesis that prose and counters must reject: within each class of lengths the Benjamini-Hochberg step over p-values
 in fine bins settles which tokens are rejected as structured, at a false-discovery rate of ``fdr``; short tokens, whose tests
 are weak, must pass a stricter distinct-symbol bound too. Tokens that survive are added as spans of kind random. Only the
@@ -32,7 +33,9 @@ BINS = 400
 #: Lengths at which a class of tokens begins.
 CLASSES = (20, 24, 32, 48, 64, 128)
 #: Alphabets of the encodings, in the order of their codes.
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Letters that prose in Latin script has most of; in hex, counters and dates have digits.
+COMMON, COMMON_HEX = "aeilnorstAEILNORST", "0123456789"
 
 _SPANS = "array<struct<start:bigint,kind:int,stop:bigint,text:string>>"
 
@@ -75,10 +78,10 @@ def base_spans(text: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """hex, base32 or base64, or null: a token counts only if it mixes digits with letters (base64: letters of both cases too)."""
+    """The smallest encoding that holds a token: hex (upper or lower case, whole or in dashed groups), base32 or base36 (of one case), else base64."""
     t = F.regexp_replace(token, "=+$", "")
-    digit, upper, lower = t.rlike("[0-9]"), t.rlike("[A-Z]"), t.rlike("[a-z]")
-    return F.when(t.rlike("^[0-9a-f]+$") & digit & lower, "hex").when(t.rlike("^[A-Z2-7]+$") & digit & upper, "base32").when(t.rlike("^[A-Za-z0-9+/_-]+$") & digit & upper & lower, "base64")
+    hex_ = t.rlike("^([0-9a-f]{2,}(-[0-9a-f]{2,})*|[0-9A-F]{2,}(-[0-9A-F]{2,})*)$")
+    return F.when(hex_, "hex").when(t.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32").when(t.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), "base36").otherwise("base64")
 
 
 def _normal_tail(z: Column) -> Column:
@@ -90,10 +93,11 @@ def _normal_tail(z: Column) -> Column:
 
 
 def battery(token: Column, kind: Column) -> Column:
-    """Struct (p_uniform, p_runs, p_serial, p, distinct) of a token under its encoding."""
+    """Struct (p_uniform, p_runs, p_serial, p_common, p, distinct) of a token under its encoding."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    plain = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).when(kind == "base36", ALPHABETS["base36"]).otherwise(ALPHABETS["base64"])
+    bare = F.regexp_replace(token, "=+$", "")
+    plain = F.when(kind == "hex", F.lower(F.translate(bare, "-", ""))).when(kind == "base64", F.translate(bare, "-_", "+/")).otherwise(F.upper(bare))
     listed = _let(alphabet, lambda a: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - 1))
 
     def sums(codes, size):
@@ -117,6 +121,8 @@ def battery(token: Column, kind: Column) -> Column:
             total(F.transform(codes, lambda c: F.when(c > middle, 1.0).otherwise(0.0))).alias("high"),
             F.aggregate(pairs, F.lit(1.0), lambda x, q: x + F.when((q["a"] > middle) != (q["b"] > middle), 1.0).otherwise(0.0)).alias("runs"),
             centred.alias("c"),
+            (F.length(plain) - F.length(F.translate(plain, COMMON, ""))).cast("double").alias("letters"),
+            (F.length(plain) - F.length(F.translate(plain, COMMON_HEX, ""))).cast("double").alias("digits"),
         )
 
     def ps(s):
@@ -126,17 +132,21 @@ def battery(token: Column, kind: Column) -> Column:
         z = (F.cbrt(F.greatest(chi, F.lit(0.0)) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
         mean = 2 * (n - s["high"]) * s["high"] / n + 1
         var = (mean - 1) * (mean - 2) / (n - 1)
+        # Of a single-case alphabet half of COMMON are symbols.
+        seen, share = F.when(kind == "hex", s["digits"]).otherwise(s["letters"]), F.when(kind == "hex", 10.0).when(kind == "base64", 18.0).otherwise(9.0) / s["size"]
+        over = (seen - 0.5 - n * share) / F.sqrt(n * share * (1 - share))
         return F.struct(
             F.when(z <= 0, F.lit(1.0)).otherwise(_normal_tail(z) / 2).alias("p_uniform"),
             F.when(var > 0, _normal_tail((s["runs"] - mean) / F.sqrt(var))).otherwise(F.lit(1e-12)).alias("p_runs"),
             F.when(s["c"]["square"] > 0, _normal_tail((s["c"]["lag"] / s["c"]["square"] + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-12)).alias("p_serial"),
+            F.when(over > 0, _normal_tail(over) / 2).otherwise(1 - _normal_tail(over) / 2).alias("p_common"),
             s["distinct"].alias("distinct"),
         )
 
     def combined(p):
-        half = -(F.log(F.greatest(p["p_uniform"], F.lit(1e-300))) + F.log(p["p_runs"]) + F.log(p["p_serial"]))
-        whole = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))  # chi-squared with 6 degrees of freedom
-        return F.struct(p["p_uniform"].alias("p_uniform"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"), whole.alias("p"), p["distinct"].alias("distinct"))
+        half = -(F.log(F.greatest(p["p_uniform"], F.lit(1e-300))) + F.log(p["p_runs"]) + F.log(p["p_serial"]) + F.log(F.greatest(p["p_common"], F.lit(1e-300))))
+        whole = _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))  # chi-squared with 8 degrees of freedom
+        return F.struct(p["p_uniform"].alias("p_uniform"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"), p["p_common"].alias("p_common"), whole.alias("p"), p["distinct"].alias("distinct"))
 
     return _let(listed, lambda codes: _let(sums(codes, F.length(alphabet).cast("double")), lambda s: _let(ps(s), combined)))
 
@@ -157,13 +167,12 @@ def tested(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row, base, tests) of docs (doc_id, text): base spans, and the battery's candidates with their p and bin; row: all columns."""
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     text = F.col("text")
-    # Runs of candidate symbols without a digit are words: asking for a digit after a long run keeps the list short.
     may = text.rlike(r"[A-Za-z0-9+/_-]{20}")
-    d = d.select("doc_id", "text", "row", base_spans(text).alias("base"), _found(text, CANDIDATE, 3, may, lambda m: encoding(m).isNotNull()).alias("found"))
+    d = d.select("doc_id", "text", "row", base_spans(text).alias("base"), _found(text, CANDIDATE, 3, may, lambda m: F.lit(True)).alias("found"))
     inside = lambda c: F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
 
     def one(c):
-        b = battery(c["text"], encoding(c["text"]))
+        b = _let(encoding(c["text"]), lambda kind: battery(c["text"], kind))
         return _let(b, lambda b: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"), b["p"].alias("p"), b["distinct"].alias("distinct"), _length_class(c["stop"] - c["start"]).alias("klass"), _bin(b["p"]).alias("bin")))
 
     return d.select("doc_id", "text", "row", "base", F.transform(F.filter("found", lambda c: ~inside(c)), one).alias("tests"))

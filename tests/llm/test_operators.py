@@ -140,6 +140,33 @@ def test_secret_battery(spark):
     assert [got[i] for i in (30, 31, 32)] == ["", "", ""]
 
 
+def test_secret_battery_takes_every_shape(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda symbols, n: "".join(rng.choice(list(symbols), n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    uuid = lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+    shapes = {
+        "upper hex": lambda: draw("0123456789ABCDEF", 40),
+        "lower base32": lambda: draw(lower + "234567", 40),
+        "lower base36": lambda: draw(lower + "0123456789", 40),
+        "upper base36": lambda: draw(upper + "0123456789", 40),
+        "uuid": uuid,
+        "upper uuid": lambda: uuid().upper(),
+        "letters only": lambda: draw(lower + upper, 40),
+    }
+    words = "inter national ization heits unter suchung anti establish ment conse cuencia respons abil idad constitu tion elle ment gesell schaft verhalten".split()
+    prose = ["".join(rng.choice(words, 4)) for _ in range(60)]
+    prose = [w for w in prose if len(w) >= 20] + ["how-to-make-your-own-house", "/usr/local/share/applications", "InternationalizationHelper", "20240101-20240102-20240103", "1-2-3-4-5-6-7-8-9-10-11-12", "x" * 5000]
+    made = [(k, f()) for k, f in shapes.items() for _ in range(10)] + [("prose", w) for w in prose]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets.digest(F.col("spans")).alias("s")).collect()}
+    hit = {}
+    for i, (k, t) in enumerate(made):
+        hit.setdefault(k, []).append(got[i] == f"random:4:{4 + len(t)}")
+    assert not any(hit.pop("prose"))
+    assert all(sum(x) >= 8 for x in hit.values()) and sum(map(sum, hit.values())) >= 63
+
+
 def test_mixing(docs, empty, rows):
     got = mixing.mix(docs, bucket_docs=8).collect()
     size = lambda t: len((t or "").encode().split())
