@@ -1,6 +1,7 @@
 """Language ID: linear-chain conditional random field over words.
 
-A word's features are its affixes (1 to 3 characters), its character 2- and 3-grams with word bounds, and itself (lexicon);
+Words are parted by white space of any script; one of more than ``PIECE`` characters (as whole passages are in scripts without
+spaces) is cut into pieces of that many, each a word of the chain, so that no character is left out. A word's features are its affixes (1 to 3 characters), its character 2- and 3-grams with word bounds, and itself (lexicon);
 transitions between the languages of neighbouring words are learned with the features' weights by gradient steps on the
 chains' log-likelihood. Forward-backward labels every word of every whole text with its languages' probabilities, so words of
 code-switched texts are told apart; a document's language has the largest share of its words' probabilities.
@@ -34,17 +35,27 @@ BLOCK = 64
 CACHE_WORDS = 200_000
 BATCH_BYTES = 1 << 21
 UNKNOWN = "und"
-#: Odd multipliers of a character's place in a bounded word.
+#: Characters of a word of the chain at most.
+PIECE = 64
+#: Odd multipliers of a character's place in a word; they come round again in longer ones.
 _PLACE = np.random.default_rng(20240502).integers(0, 2**63, size=66, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text, long ones in pieces."""
+    own = text.split()
+    if max(map(len, own), default=0) <= PIECE:
+        return own
+    return [w[i : i + PIECE] for w in own for i in range(0, len(w), PIECE)]
+
+
 def features(words: list[str], bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(hashed features of all words, end to end; number of each word's): none for a word without a letter.
 
-    A word is lower-cased and set between bounds; longer words are told by their first 64 characters.
+    A word is lower-cased and set between bounds.
     """
     lettered = np.array([any(map(str.isalpha, w)) for w in words], bool)
-    bound = [f"<{w.lower()[:64]}>" for w, yes in zip(words, lettered.tolist()) if yes]
+    bound = [f"<{w.lower()}>" for w, yes in zip(words, lettered.tolist()) if yes]
     n = np.zeros(len(words), np.int64)
     if not bound:
         return np.zeros(0, np.int64), n
@@ -64,7 +75,7 @@ def features(words: list[str], bits: int = FEATURE_BITS) -> tuple[np.ndarray, np
         return (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int64)
 
     place = np.arange(len(codes)) - np.repeat(begin, size)
-    out[to] = hashed(0, np.add.reduceat(codes * _PLACE[place], begin))
+    out[to] = hashed(0, np.add.reduceat(codes * _PLACE[place % len(_PLACE)], begin))
     none = np.uint64(0)
     starts = [np.where(begin + 1 + j < end, codes[np.minimum(begin + 1 + j, end - 1)], none) for j in range(3)]
     stops = [np.where(end - 2 - j >= begin, codes[np.maximum(end - 2 - j, begin)], none) for j in range(3)]
@@ -140,14 +151,14 @@ class Tagger:
         self.langs, self.bits = langs, bits
         self.weights = np.zeros((1 << bits, len(langs)), np.float32)
         self.trans = np.zeros((len(langs), len(langs)))
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[str, int] = {}
 
     def fit(self, texts: list[str], langs: list[int], epochs: int = EPOCHS, chain: int = CHAIN, rate: float = 0.5) -> "Tagger":
         """Gradient steps with per-weight rates (Adagrad) over all chains; neighbouring documents share chains, so switches are seen."""
-        ids: dict[bytes, int] = {}
+        ids: dict[str, int] = {}
         seq, label = [], []
         for text, lang in zip(texts, langs):
-            own = text.encode("utf-8", "surrogatepass").split()
+            own = split_words(text)
             seq += [ids.setdefault(w, len(ids)) for w in own]
             label += [lang] * len(own)
         k = len(self.langs)
@@ -158,7 +169,7 @@ class Tagger:
             m, chain = 1, len(seq)
         seq = np.array(seq[: m * chain]).reshape(m, chain)
         gold = np.eye(k)[np.array(label[: m * chain]).reshape(m, chain)]
-        flat, n = features([w.decode("utf-8", "surrogatepass") for w in ids], self.bits)
+        flat, n = features(list(ids), self.bits)
         word_of = np.repeat(np.arange(len(n)), n)
         seen_trans = np.einsum("mti,mtj->ij", gold[:, :-1], gold[:, 1:])
         past_w, past_t = np.full(self.weights.shape, 1e-6, np.float32), np.full((k, k), 1e-6)
@@ -191,7 +202,7 @@ class Tagger:
             self.trans += rate * gt / np.sqrt(past_t)
         return self
 
-    def words(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(potentials, has letters) of words, through a bounded cache."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -204,7 +215,7 @@ class Tagger:
         if len(cache) > size:
             new = list(cache)[size:] if size == 0 else [w for w, i in zip(own, at.tolist()) if i >= size]
             new = list(dict.fromkeys(new))
-            flat, n = features([w.decode("utf-8", "surrogatepass") for w in new], self.bits)
+            flat, n = features(new, self.bits)
             score = _scores(self.weights, flat, n)
             self.known = np.concatenate([self.known, np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30.0))])
             self.letters = np.concatenate([self.letters, n > 0])
@@ -212,7 +223,7 @@ class Tagger:
 
     def tag(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text: probabilities of its words' languages, and which words have letters."""
-        lists = [t.split() for t in texts]
+        lists = [split_words(t.decode("utf-8", "surrogatepass")) for t in texts]
         n = np.array([len(x) for x in lists], np.int64)
         at = np.r_[0, np.cumsum(n)]
         if not at[-1]:

@@ -256,6 +256,21 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"} and language.predict(empty, model).count() == 0
 
 
+def test_language_sees_every_character(spark):
+    rng = np.random.default_rng(9)
+    parts = {"ja": list("あいうえおかきくけこ"), "th": list("กขคงจฉชซฌญ")}
+    text = lambda lang, n: "".join(rng.choice(parts[lang], n))
+    train = spark.createDataFrame([(i, text(lang, 300), lang) for i, lang in enumerate(["ja", "th"] * 20)], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    one = lambda t: model.predict([t.encode()])[0]
+    assert one("1" * 70 + text("ja", 500))[0] == "ja" and one("1" * 70 + text("th", 500))[0] == "th"
+    assert one(text("ja", 64) + text("th", 640))[0] == "th" and one(text("th", 64) + text("ja", 640))[0] == "ja"
+    assert language.split_words("a\u3000b\u00a0c " + "d" * 130) == ["a", "b", "c", "d" * 64, "d" * 64, "dd"]
+    flat, n = language.features(["x" * 100 + tail for tail in "abc"])
+    assert len({tuple(flat[k : k + n[0]]) for k in (0, n[0], 2 * n[0])}) == 3
+    assert language.features(["İ" * 64])[1][0] == 2 * 130 + 4
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(4)
     e, a, pi = rng.random((12, 3)) + 0.1, rng.random((3, 3)) + 0.1, rng.random(3) + 0.1
