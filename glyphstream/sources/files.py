@@ -9,9 +9,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphstream.sources.iso639 import ALPHA3
+
 GLOB = "*.{[sS][uU][pP],[mM][kK][vVsS]}"
-#: ISO 639 codes in three- and two-letter forms (bibliographic forms too) of the languages that file names tell.
-ALPHA3 = {"eng": "en", "ger": "de", "deu": "de", "fre": "fr", "fra": "fr", "spa": "es", "por": "pt", "ita": "it", "dut": "nl", "nld": "nl", "swe": "sv", "dan": "da", "nor": "no", "fin": "fi", "pol": "pl", "cze": "cs", "ces": "cs", "hun": "hu", "rum": "ro", "ron": "ro", "rus": "ru", "ukr": "uk", "gre": "el", "ell": "el", "tur": "tr", "ara": "ar", "heb": "he", "hin": "hi", "chi": "zh", "zho": "zh", "jpn": "ja", "kor": "ko", "tha": "th", "vie": "vi", "ind": "id", "bul": "bg", "hrv": "hr", "srp": "sr", "slv": "sl", "slo": "sk", "slk": "sk", "est": "et", "lav": "lv", "lit": "lt", "ice": "is", "isl": "is", "cat": "ca", "baq": "eu", "eus": "eu", "glg": "gl"}
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,8 @@ class ScanOptions:
 def language(code: Column) -> Column:
     """Canonical IETF tag of a code (two or three letters, region optional), null if unknown."""
     low, region = F.lower(F.element_at(F.split(code, "[-_]"), 1)), F.upper(F.try_element_at(F.split(code, "[-_]"), F.lit(2)))
-    table = F.create_map(*[F.lit(x) for pair in (ALPHA3 | {v: v for v in ALPHA3.values()}).items() for x in pair])
+    known = ",".join(":".join(pair) for pair in (ALPHA3 | {v: v for v in ALPHA3.values()}).items())
+    table = F.str_to_map(F.lit(known), F.lit(","), F.lit(":"))  # a constant
     base = F.try_element_at(table, low)
     return F.when(region.isNull(), base).when(region.rlike("^([A-Z]{2}|[0-9]{3})$"), F.concat(base, F.lit("-"), region))
 

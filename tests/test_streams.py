@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,3 +94,12 @@ def test_paths_and_tracks(spark):
     t = tracks.parsed(spark.createDataFrame([("f", j)], "path string, json string"))
     assert [r[0] for r in t.select(tracks.sparse_json(F.col("track"))).collect()] == ['{"id":0,"type":"subtitles","codec":"HDMV PGS","language":"pt-BR","default":true}', '{"id":1,"type":"subtitles","codec":"HDMV PGS","language":"en","disabled":true}']
     assert [(r.track.id, r.number) for r in tracks.selected(t, "path").collect()] == [(0, 0)]
+
+
+def test_every_language_of_iso_639_is_known(spark):
+    codes = {"nob": "nb", "nb": "nb", "nno": "nn", "fas": "fa", "per": "fa", "msa": "ms", "may": "ms", "ben": "bn", "tam": "ta", "tel": "te", "urd": "ur", "mkd": "mk", "mac": "mk", "sqi": "sq", "alb": "sq", "bos": "bs", "wel": "cy", "yue": "yue", "fil": "fil", "mul": "mul", "yue-hk": "yue-HK", "und": None, "qqq": None, "zzz": None, "xx": None}
+    made = [(f"/a/x.{code}.sup", json.dumps({"tracks": [{"id": 0, "type": "subtitles", "codec": "HDMV PGS", "properties": {"language": code, "enabled_track": True}}]})) for code in codes]
+    d = spark.createDataFrame(made, "path string, json string")
+    assert {r.path: r.language for r in d.select("path", files.path_parts(F.col("path"))["language"].alias("language")).collect()} == {f"/a/x.{k}.sup": v for k, v in codes.items()}
+    got = {r.path: r.track.language for r in tracks.selected(tracks.parsed(d), "path").collect()}
+    assert got == {f"/a/x.{k}.sup": v for k, v in codes.items() if v}
