@@ -2,12 +2,12 @@
 
 Each page becomes a WARC response record. Records are dealt into archives by a hash of their key and content, so no
 page_id can make one archive large; within an archive they stand in the order of (page_id, url, digest) and have byte
-offsets. A leaf is a record's digest; a node covers ``fanout`` ordered neighbours, so each level is an offset range; the
+offsets. A leaf is the hash of a record's offset, length and digest; a node covers ``fanout`` ordered neighbours, so each level is an offset range; the
 archive's root covers all of it. An audit compares roots first and joins the children of mismatching nodes only.
 
 Defined results: null url or html are empty; equal records collapse into one with a count (copies); an empty table
-gives no rows; other columns are not looked at. A record missing in one replica, or moved, has the status missing,
-extra or changed.
+gives no rows; other columns are not looked at. A record missing in one replica has the status missing
+or extra, one with other bytes changed, and one with the same bytes at another place moved.
 """
 
 from __future__ import annotations
@@ -48,8 +48,9 @@ def archived(pages: DataFrame, per_archive: int = PER_ARCHIVE) -> DataFrame:
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """Levels (archive, node, digest, first, last) from leaves (archive, seq, offset, length, digest) up to one root an archive."""
-    at = [leaves.select("archive", F.col("seq").alias("node"), "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"))]
+    """Levels (archive, node, digest, first, last) from leaves (archive, seq, offset, length, digest) up to one root an archive; leaves keep the record's digest as own."""
+    leaf = F.sha2(F.concat_ws("|", F.col("offset").cast("string"), F.col("length").cast("string"), "digest").cast("binary"), 256)
+    at = [leaves.select("archive", F.col("seq").alias("node"), leaf.alias("digest"), F.col("digest").alias("own"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"))]
     for k in range(levels + 1):
         up = F.floor(F.col("node") / fanout).cast("long") if k < levels else F.lit(0).cast("long")
         kids = F.array_sort(F.collect_list(F.struct("node", "digest")))
@@ -60,34 +61,35 @@ def tree(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[
 def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(archive, seq, status, left_digest, right_digest) of leaves that differ between two replicas' leaves.
 
-    status: changed, missing (in right) or extra (only there). Only children of mismatching nodes are compared.
+    status: changed, moved (the same digest with another offset or length), missing (in right) or extra (only there). Only children of mismatching nodes are compared.
     """
     a, b = tree(left, fanout, levels), tree(right, fanout, levels)
     bad = None
     for k in range(levels + 1, -1, -1):
-        x, y = (t[k].select("archive", "node", F.col("digest").alias(d)) for t, d in ((a, "left_digest"), (b, "right_digest")))
+        x, y = (t[k].select("archive", "node", F.col("digest").alias(f"{side}_node"), *[F.col("own").alias(f"{side}_digest")] * (k == 0)) for t, side in ((a, "left"), (b, "right")))
         if bad is not None:
             up = F.floor(F.col("node") / fanout).cast("long") if k < levels else F.lit(0).cast("long")
             x, y = (t.withColumn("parent", up).join(bad, ["archive", "parent"], "left_semi").drop("parent") for t in (x, y))
-        both = x.join(y, ["archive", "node"], "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
+        both = x.join(y, ["archive", "node"], "full").where(~F.col("left_node").eqNullSafe(F.col("right_node")))
         bad = both.select("archive", F.col("node").alias("parent"))
-    status = F.when(F.col("right_digest").isNull(), "missing").when(F.col("left_digest").isNull(), "extra").otherwise("changed")
+    status = F.when(F.col("right_node").isNull(), "missing").when(F.col("left_node").isNull(), "extra").when(F.col("left_digest") == F.col("right_digest"), "moved").otherwise("changed")
     return both.select("archive", F.col("node").alias("seq"), status.alias("status"), "left_digest", "right_digest")
 
 
 def replica(pages: DataFrame, manifest: DataFrame, fault_every: int = FAULT_EVERY) -> DataFrame:
     """Leaves of a second copy of the archives, read from its records; bit rot is planted where page_id mod fault_every is 0.
 
-    There the record's last byte becomes a zero byte; the copy's digest is always that of its own bytes.
+    There the record's last byte becomes a zero byte; the copy's digests, lengths and offsets are always those of its own bytes.
     """
     r = records(pages)
-    n = F.length("record")
     hit = F.coalesce(F.col("page_id") % fault_every == 0, F.lit(False))
     rotten = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.expr("X'00'"))
-    key = r.select("page_id", "url", F.sha2("record", 256).alias("was"), F.sha2(F.when(hit, rotten).otherwise(F.col("record")), 256).alias("digest"), n.alias("bytes")).groupBy("page_id", "url", "was", "digest").agg(F.max("bytes").alias("bytes"))
-    m = manifest.select("page_id", "url", "archive", "seq", "offset", "length", F.col("digest").alias("was"))
+    stored = F.when(hit, rotten).otherwise(F.col("record"))
+    key = r.select("page_id", "url", F.sha2("record", 256).alias("was"), F.sha2(stored, 256).alias("digest"), F.length(stored).cast("long").alias("bytes")).groupBy("page_id", "url", "was", "digest").agg(F.max("bytes").alias("bytes"))
+    m = manifest.select("page_id", "url", "archive", "seq", F.col("digest").alias("was"))
     same = [F.col("k.page_id").eqNullSafe(F.col("m.page_id")), F.col("k.url") == F.col("m.url"), F.col("k.was") == F.col("m.was")]
-    return m.alias("m").join(key.alias("k"), same).select("archive", "seq", "offset", "length", "k.digest")
+    upto = Window.partitionBy("archive").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return m.alias("m").join(key.alias("k"), same).select("archive", "seq", (F.sum("bytes").over(upto) - F.col("bytes")).cast("long").alias("offset"), F.col("bytes").alias("length"), "k.digest")
 
 
 def op10_warc_fixity(spark, sf_dir: str) -> DataFrame:

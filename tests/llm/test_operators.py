@@ -311,3 +311,15 @@ def test_warc(spark):
     lost = m.where("seq <> 1")
     assert {r.status for r in warc.audit(m, lost, fanout=4, levels=2).collect()} == {"missing"}
     assert warc.audit(m, m).count() == 0 and warc.archived(df.where("false")).count() == 0
+
+
+def test_warc_audit_sees_moved_records(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i % 3}", "x" * i) for i in range(60)], "page_id long, url string, html string")
+    m = warc.archived(df, per_archive=20).cache()
+    late = F.col("seq") >= 5
+    for moved in (m.withColumn("offset", F.when(late, F.col("offset") + 1).otherwise(F.col("offset"))), m.withColumn("length", F.when(late, F.col("length") + 1).otherwise(F.col("length")))):
+        found = warc.audit(m, moved, fanout=4, levels=2).collect()
+        assert {(r.archive, r.seq) for r in found} == {(r.archive, r.seq) for r in m.where(late).collect()}
+        assert {r.status for r in found} == {"moved"} and all(r.left_digest == r.right_digest for r in found)
+    copy = warc.replica(df, m, fault_every=10)
+    assert copy.select("archive", "seq", "offset", "length").exceptAll(m.select("archive", "seq", "offset", "length")).isEmpty()
