@@ -46,7 +46,6 @@ class ChunkSets:
 
     def __init__(self, docs: bytes, ends: bytes, blob: bytes, size: int):
         self.docs, ends, data = C.unpack(docs, ends, blob)
-        self.ends, self.data = ends, data
         words, start, _ = word_hashes(data, lower=True)
         doc = np.searchsorted(ends, start, side="right")
         at = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(self.docs)))]
@@ -60,15 +59,16 @@ class ChunkSets:
             else:
                 self.sets.append(np.zeros(0, np.uint64))
 
-    def keys(self) -> list[bytes]:
-        """row_key() of the documents."""
-        data, null = memoryview(self.data), np.iinfo(np.int64).min
-        out = []
-        for doc_id, a, b in zip(self.docs.tolist(), [0, *self.ends[:-1].tolist()], self.ends.tolist()):
-            h = hashlib.md5(b":" if doc_id == null else b"%d:" % doc_id)
-            h.update(data[a : b - 1])
-            out.append(h.digest())
-        return out
+
+def row_keys(docs: bytes, ends: bytes, blob: bytes) -> list[bytes]:
+    """row_key() of a chunk's documents."""
+    ids, ends, data = C.unpack(docs, ends, blob)
+    out = []
+    for doc_id, a, b in zip(ids.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        h = hashlib.md5(b":" if doc_id == np.iinfo(np.int64).min else b"%d:" % doc_id)
+        h.update(memoryview(data)[a : b - 1])
+        out.append(h.digest())
+    return out
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -113,7 +113,7 @@ def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed
                 c = ChunkSets(row["docs"], row["ends"], row["blob"], size)
                 n = [len(s) for s in c.sets]
                 sig = np.array([signature(s) for s in c.sets], np.int64).reshape(-1, 2)
-                own = [pa.array(c.keys(), pa.binary())] if keyed else []
+                own = [pa.array(row_keys(row["docs"], row["ends"], row["blob"]), pa.binary())] if keyed else []
                 yield pa.RecordBatch.from_arrays([C.doc_ids(c.docs), pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), *own], names=["doc_id", "node", "n", "s1", "s2"] + ["key"] * keyed)
 
     rows = scratch.keep(chunks.drop("n_bytes").mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
