@@ -3,6 +3,7 @@ splitting and vectorised word/shingle hashes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,45 +20,75 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one is set where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a local session gets a temporary one; a cluster must set it."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        known = sc.getCheckpointDir()
-        if known:
-            return known
-        at = f"file://{tempfile.mkdtemp(prefix='glyphstream-')}"
-        sc.setCheckpointDir(at)
-        return sc.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='glyphstream-')}")
+        at = sc.getCheckpointDir()
     return at
 
 
 class Scratch:
-    """Tables of one run in the shared folder. Writing one cuts lineage, and a lost executor costs a reread only."""
+    """Tables of one run in the shared folder. Writing one cuts lineage, and a lost executor costs a reread only.
+
+    A table is dropped after its last reader; what a returned DataFrame still reads goes when the session's JVM ends, or by ``sweep``.
+    """
+
+    #: Folders in use, in the order of their making.
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.at: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0
+        path, fs = self._files(spark, self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch.roots.append(self.root)
 
-    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    @staticmethod
+    def _files(spark: SparkSession, at: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _new(self) -> str:
         self.made += 1
-        at = f"{self.root}/{self.made}"
-        df.write.option("compression", codec).parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        return f"{self.root}/{self.made}"
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a kept table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            if parent.split("://")[-1].lstrip("/").startswith(self.root.split("://")[-1].split(":", 1)[-1].lstrip("/")):
-                path.getFileSystem(conf).delete(path, True)
+    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        at = self._new()
+        df.write.option("compression", codec).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.at[id(out)] = (out, at)
+        return out
 
     def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Like keep(), bucketed by key: later joins on it leave this side where it is."""
-        name = f"glyphstream_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
-        return self.spark.table(name)
+        """Like keep(), bucketed by key: later joins on it leave this side where it is. The catalog's entry goes at once, the files stay."""
+        name, at = f"glyphstream_{uuid.uuid4().hex}", self._new()
+        df.write.option("compression", "zstd").option("path", at).bucketBy(buckets, key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        self.at[id(out)] = (out, at)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete kept tables that nothing reads any more, and have the JVM let go of finished shuffles' files."""
+        for df in tables:
+            if df is not None and id(df) in self.at:
+                path, fs = self._files(self.spark, self.at.pop(id(df))[1])
+                fs.delete(path, True)
+        self.spark._jvm.System.gc()
+
+    @classmethod
+    def sweep(cls, spark: SparkSession, since: int = 0) -> None:
+        """Delete all folders made after the first ``since``: for a caller whose results have been written elsewhere."""
+        for root in cls.roots[since:]:
+            path, fs = cls._files(spark, root)
+            fs.delete(path, True)
+        del cls.roots[since:]
 
 
 def parallelism(spark: SparkSession) -> int:
