@@ -6,8 +6,10 @@ transitions between the languages of neighbouring words are learned with the fea
 chains' log-likelihood. Forward-backward labels every word of every whole text with its languages' probabilities, so words of
 code-switched texts are told apart; a document's language has the largest share of its words' probabilities.
 
-The model is fitted on the driver on at most ``per_lang`` labelled documents of each language, of at most ``train_chars``
-characters (a bounded sample: the first by a hash of doc_id); weights are ``2**feature_bits`` rows. Prediction covers whole texts.
+The model is fitted on the driver on a bounded sample of the labelled rows: at most ``per_lang`` documents of each language (the first by a hash of
+doc_id), of each a passage of at most ``train_chars`` characters (from a place that the hash sets, so documents of any length are learned from), and
+of each language as many words as keep words times languages within ``TRAIN_CELLS``. Every language among the rows is learned; weights are
+``2**feature_bits`` rows, fewer where that would pass ``MAX_WEIGHTS`` numbers. Prediction covers whole texts, under the transitions as fitted.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything where nothing could be
 learned; ties go to the language first in code-point order; rows of one doc_id are predicted each; null doc_id is never trained
@@ -26,7 +28,8 @@ from glyphstream.llm._common import read_table
 FEATURE_BITS = 17
 PER_LANG = 300
 TRAIN_CHARS = 8_000
-MAX_LANGS = 64
+#: Bounds of the fit: words times languages, and numbers of the weights.
+TRAIN_CELLS, MAX_WEIGHTS = 16_000_000, 1 << 24
 #: Parts of a language in which its sample is chosen, so that no task ranks a language's whole table.
 SALTS = 64
 EPOCHS = 25
@@ -231,8 +234,8 @@ class Tagger:
         e, letters = self.words([w for x in lists for w in x])
         start = np.zeros(at[-1], bool)
         start[at[:-1][n > 0]] = True
-        a = np.exp(np.clip(self.trans, -20, 20))
-        post = forward_backward(e, a / a.sum(axis=1, keepdims=True), np.full(len(self.langs), 1.0 / len(self.langs)), start)
+        a = np.exp(np.clip(self.trans - self.trans.max(), -60, 0))  # as fitted, but for one factor that all chains share
+        post = forward_backward(e, a, np.full(len(self.langs), 1.0 / len(self.langs)), start)
         return [(post[i:j], letters[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
@@ -248,21 +251,32 @@ class Tagger:
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, train_chars: int = TRAIN_CHARS, bits: int = FEATURE_BITS) -> Tagger:
-    """A tagger fitted on labelled (doc_id, text, lang): at most per_lang documents of each of the MAX_LANGS commonest languages."""
-    rows = labelled.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= train_chars))
+    """A tagger fitted on labelled (doc_id, text, lang): passages of at most per_lang documents of every language."""
+    text = F.col("text").cast("string")
+    rows = labelled.where(F.col("doc_id").isNotNull() & text.isNotNull() & F.col("lang").isNotNull()).select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
     hashed = F.xxhash64("doc_id")
-    common = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang"))
-    # Ids are ranked first within salted parts of a language, then within it; only the chosen ones' texts move.
-    ids = rows.join(common, "lang").select("doc_id", "lang")
+    # Ids are ranked first within salted parts of a language, then within it; only the chosen ones' passages move.
+    ids = rows.select("doc_id", "lang")
     for parts in (F.pmod(hashed, F.lit(SALTS)), F.lit(0)):
         order = Window.partitionBy("lang", parts).orderBy(hashed, "doc_id")
         ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).drop("k")
-    chosen = F.broadcast(ids.distinct())  # per_lang * MAX_LANGS rows at most
+    chosen = F.broadcast(ids.distinct())  # per_lang rows a language at most
+    begin = F.pmod(hashed, F.greatest(F.length("text") - train_chars + 1, F.lit(1))).cast("int") + 1
+    passages = rows.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", F.substring(F.col("text"), begin, F.lit(train_chars)).alias("text"))
     order = Window.partitionBy("lang").orderBy(hashed, "doc_id", "text")
-    took = rows.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= per_lang)
+    took = passages.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
     got = sorted(map(tuple, took.select(hashed, "doc_id", "text", "lang").collect()))
     langs = sorted({r[3] for r in got})
-    return Tagger(langs, bits).fit([r[2] for r in got], [langs.index(r[3]) for r in got])
+    words = max(CHAIN, TRAIN_CELLS // max(1, len(langs)) ** 2)  # of a language
+    left, texts, labels = dict.fromkeys(langs, words), [], []
+    for _, _, t, lang in got:
+        own = t.split()[: left[lang]]
+        left[lang] -= len(own)
+        texts.append(" ".join(own))
+        labels.append(langs.index(lang))
+    while bits > 10 and len(langs) << bits > MAX_WEIGHTS:
+        bits -= 1
+    return Tagger(langs, bits).fit(texts, labels)
 
 
 def predict(docs: DataFrame, model: Tagger) -> DataFrame:
