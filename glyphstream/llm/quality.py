@@ -1,13 +1,12 @@
 """Quality classifier: co-training of two views.
 
-The content view sees a text's byte pairs (hashed shares) and repetition; the metadata view sees what a crawl knows of the page without
-reading it: source, language, length and layout (lines, words a line). Both are logistic regressions fitted on the driver on
-at most ``train_rows`` labelled documents. Over ``rounds`` each view labels, in a pool of at most ``pool_rows`` unlabelled
-documents, those it is most confident of (both classes, in the labelled share), and the other view learns from them. Each view is calibrated
-(Platt) on labelled rows kept out of training; the calibrated views are combined by a logistic regression on their logits, fitted there too.
-All documents are scored on whole texts.
-
-The samples are the first rows by a hash of doc_id, so that reruns agree.
+The content view sees a text's byte pairs (hashed shares) and repetition, and nothing else; the metadata view sees what the tables know of the
+page without its text: source, language and n_chars. Neither sees a column of the other. Both are logistic regressions fitted on the driver on
+at most ``train_rows`` labelled documents (a bounded sample: the first by a hash of doc_id). Over ``rounds`` each view scores all unlabelled
+documents, wherever they are, and gives the other view the ``per_round`` of them that it is most confident of (both classes, in the labelled share),
+with its labels. Each view is calibrated (Platt) on labelled rows kept out of training; the calibrated views are combined by a logistic regression on
+their logits, fitted there too. Features are worked out where the texts are; only chosen documents' features travel. All documents are
+scored on whole texts.
 
 Defined results: null text is empty, null source, language and n_chars are values of their own; without labels of both classes every
 document scores 1 (nothing is known against it); several labels of a doc_id count by their mean, rounded up at a half; rows of one doc_id
@@ -23,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import read_table
+from glyphstream.llm._common import Scratch, read_table
 
 TRAIN_ROWS = 4_000
-POOL_ROWS = 4_000
-#: Only documents of at most this many characters are sampled for fitting; all are scored.
-TRAIN_CHARS = 30_000
-ROUNDS = 4
+ROUNDS = 3
+RIDGE = 0.03
 PER_ROUND = 250
 CONFIDENT = 0.95
 KEEP_FROM = 0.5
@@ -59,22 +56,21 @@ def content(data: bytes) -> np.ndarray:
     return out
 
 
-def metadata(source: str | None, lang: str | None, n_chars: int | None, n_lines: int, n_words: int) -> np.ndarray:
-    """Metadata features: hashed source and language, length and layout."""
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """Metadata features: hashed source, language, their pair, and length."""
     out = np.zeros(META, np.float32)
     key = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % (META - 8)
-    out[key(f"source={source}")] += 1
-    out[key(f"lang={lang}")] += 1
     size = np.log1p(max(n_chars or 0, 0))
-    out[key(f"size={'?' if n_chars is None else int(2 * size)}")] += 1
-    out[-8:] = size / 10, np.log1p(n_lines) / 5, np.log1p(n_words) / 10, min(n_words / max(n_lines, 1), 200) / 200, min((n_chars or 0) / max(n_words, 1), 40) / 40, n_chars is None, source is None, 1
+    for name in (f"source={source}", f"lang={lang}", f"both={source}/{lang}", f"size={'?' if n_chars is None else int(2 * size)}"):
+        out[key(name)] += 1
+    out[-8:] = size / 10, size * size / 100, (n_chars or 0) <= 0, (n_chars or 0) > 10_000, n_chars is None, source is None, lang is None, 1
     return out
 
 
 class Logistic:
     """Logistic regression by Newton steps with conjugate gradients; inputs are standardised."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> "Logistic":
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> "Logistic":
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         z = self._z(x)
         w = np.zeros(z.shape[1])
@@ -129,36 +125,25 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*logits, both))
 
 
-def co_train(xs, y: np.ndarray, pool, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained | None:
-    """Views fitted on labelled rows (every fourth kept for calibration) and on pseudo-labels they give one another; None without both classes."""
+def co_train(xs, y: np.ndarray, pick, rounds: int = ROUNDS) -> CoTrained | None:
+    """Views fitted on labelled rows (every fourth kept for calibration) and on pseudo-labels they give one another; None without both classes.
+
+    pick(views, share of good rows) returns for each view as giver what it is confident of: (features of both views, labels).
+    """
     if len(y) < 8 or y.min() == y.max():
         return None
     hold = np.arange(len(y)) % 4 == 3
     if y[hold].min() == y[hold].max() or y[~hold].min() == y[~hold].max():
         hold = np.zeros(len(y), bool)
     calibrate = hold if hold.any() else ~hold
-    base = [x[~hold] for x in xs]
-    extra = [np.zeros((0, x.shape[1]), np.float32) for x in xs]
-    labels = [np.zeros(0), np.zeros(0)]
-    free = np.ones(len(pool[0]), bool)
-    good = y[~hold].mean()
+    own, labels = [[x[~hold]] for x in xs], [[y[~hold]], [y[~hold]]]
     for k in range(rounds + 1):
-        views = [Logistic().fit(np.concatenate([b, e]), np.concatenate([y[~hold], p])) for b, e, p in zip(base, extra, labels)]
-        if k == rounds or not free.any():
+        views = [Logistic().fit(np.concatenate(x), np.concatenate(t)) for x, t in zip(own, labels)]
+        if k == rounds:
             break
-        for giver, taker in ((0, 1), (1, 0)):
-            at = np.flatnonzero(free)
-            if not len(at):
-                break
-            p = 1 / (1 + np.exp(-views[giver].logit(pool[giver][at])))
-            order = np.argsort(p, kind="stable")
-            n_good = int(round(per_round * good))
-            low, high = order[: per_round - n_good], order[::-1][:n_good]
-            low, high = low[p[low] <= 1 - confident], high[p[high] >= confident]
-            take = at[np.concatenate([low, high])]
-            free[take] = False
-            extra[taker] = np.concatenate([extra[taker], pool[taker][take]])
-            labels[taker] = np.concatenate([labels[taker], np.r_[np.zeros(len(low)), np.ones(len(high))]])
+        for giver, (features, given) in enumerate(pick(views, float(y[~hold].mean()))):
+            own[1 - giver].append(features[1 - giver])
+            labels[1 - giver].append(given)
     logits = [v.logit(x[calibrate]) for v, x in zip(views, xs)]
     calibration = [platt(z[:, None], y[calibrate]) for z in logits]
     scaled = np.stack([c[0] * z + c[1] for c, z in zip(calibration, logits)], axis=1)
@@ -178,29 +163,66 @@ def _rows(batch: pa.RecordBatch):
     for text, source, lang, n in zip(*(batch.column(k) for k in ("text", "source", "lang", "n_chars"))):
         data = (text.as_py() or "").encode("utf-8", "surrogatepass")
         xs[0].append(content(data))
-        xs[1].append(metadata(source.as_py(), lang.as_py(), n.as_py(), data.count(b"\n") + 1, len(data.split())))
+        xs[1].append(metadata(source.as_py(), lang.as_py(), n.as_py()))
     return [np.stack(x) for x in xs]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
-    slim = _slim(docs).where(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS))
-    y = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    known = slim.select("doc_id").join(y, "doc_id", "left")  # ids alone meet the labels: texts don't move
+def _features_of(docs: DataFrame, chosen: DataFrame):
+    """(doc_ids, both views' features, y) on the driver of the documents of chosen (doc_id, y), a bounded number; in an order of its own."""
+    names = ["doc_id", "y", "c", "m"]
 
-    def sample(ids, n):
-        chosen = F.broadcast(ids.orderBy(*order).limit(n).distinct())  # n ids at most, joined back to their rows
-        return slim.join(chosen, "doc_id").select(*slim.columns, "y").orderBy(*order, "text").limit(n).toArrow().combine_chunks()
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                xs = _rows(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in xs)], names=names)
 
-    def features(table):
-        parts = [_rows(b) for b in table.to_batches(512)]
-        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros((0, PAIRS + 16), np.float32), np.zeros((0, META), np.float32)]
+    rows = _slim(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "y")
+    got = rows.mapInArrow(run, "doc_id long, y double, c binary, m binary").toArrow()
+    got = sorted(zip(*(got.column(c).to_pylist() for c in names)))
+    xs = [np.stack([np.frombuffer(r[k], np.float32) for r in got]) if got else np.zeros((0, n), np.float32) for k, n in ((2, PAIRS + 16), (3, META))]
+    return [r[0] for r in got], xs, np.array([r[1] for r in got], np.float64)
 
-    got = sample(known.where("y is not null"), train_rows)
-    xs, target = features(got), got.column("y").to_numpy()
-    del got
-    pool = features(sample(known.where("y is null"), pool_rows))
-    return co_train(xs, target, pool)
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained | None:
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    y = scratch.keep(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y")))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    ids = _slim(docs).select("doc_id").where("doc_id is not null").distinct()  # ids alone meet the labels: texts don't move
+    _, xs, target = _features_of(docs, ids.join(y, "doc_id").orderBy(*order).limit(train_rows))
+    xs, target, taken = [x[:train_rows] for x in xs], target[:train_rows], set()
+    least = float(np.log(confident / (1 - confident)))
+
+    def pick(views, good):
+        sent = spark.sparkContext.broadcast(views)
+
+        def run(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, 512):
+                    part = b.slice(k, 512)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.round(v.logit(x), 9)) for v, x in zip(sent.value, _rows(part)))], names=["doc_id", "l0", "l1"])
+
+        scored = _slim(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, l0 double, l1 double")
+        scored = scratch.keep(scored.join(y, "doc_id", "left_anti").where((F.abs("l0") >= least) | (F.abs("l1") >= least)))
+        n_good = int(round(per_round * good))
+        for giver in range(2):
+            at, chosen = F.col(f"l{giver}"), {}
+            for label, n, sign in ((1.0, n_good, at), (0.0, per_round - n_good, -at)):
+                # as many as could be taken before are asked for too, so that enough are left
+                top = scored.where(sign >= least).orderBy(F.desc(sign), *order).limit(n + len(taken)).collect()
+                own = [i for i in dict.fromkeys(r.doc_id for r in top) if i not in taken and i not in chosen][:n]
+                chosen |= dict.fromkeys(own, label)
+            taken.update(chosen)
+            rows = spark.createDataFrame(list(chosen.items()), "doc_id long, y double")
+            _, features, given = _features_of(docs, rows) if chosen else ([], [x[:0] for x in xs], np.zeros(0))
+            yield features, given
+        scratch.drop(scored)
+
+    model = co_train(xs, target, pick, rounds)
+    scratch.drop(y)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:

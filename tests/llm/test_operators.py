@@ -167,29 +167,95 @@ def test_secret_battery_takes_every_shape(spark):
     assert all(sum(x) >= 8 for x in hit.values()) and sum(map(sum, hit.values())) >= 63
 
 
-def test_mixing(docs, empty, rows):
-    got = mixing.mix(docs, bucket_docs=8).collect()
-    size = lambda t: len((t or "").encode().split())
-    per = {}
-    for _, t, _, s, *_ in rows:
-        per[s] = per.get(s, 0) + size(t)
-    weight = dict(zip([*sorted(x for x in per if x is not None), None], [1, 2, 3, 1]))
+def _solved(sizes, target, cap=3.0):
+    """Rates of one source's documents by bisection over the documents themselves: min(cap, exp(lambda size)) whose words meet the target."""
+    sizes = np.array(sizes, float)
+    if not sizes.sum() or target >= cap * sizes.sum() * (1 - 1e-12):
+        return np.where(sizes > 0, cap, 1.0)
+    lo, hi = -100.0, 100.0
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        w = np.minimum(cap, np.exp(np.minimum(mid * sizes, 50)))
+        lo, hi = (mid, hi) if (w * sizes).sum() < target else (lo, mid)
+    return w
+
+
+def _targets(per, weights=(1, 2, 3)):
+    order = [*sorted(x for x in per if x is not None), *([None] if None in per else [])]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     target, total, left = {}, sum(per.values()), set(per)
-    while True:
+    while left:
         share = {s: total * weight[s] / sum(weight[x] for x in left) for s in left}
         over = {s for s in left if share[s] > 3 * per[s]}
         target |= share | {s: 3.0 * per[s] for s in over}
         if not over:
             break
         total, left = total - sum(3 * per[s] for s in over), left - over
-    assert len(got) == len(rows)
+    return target
+
+
+def test_mixing(docs, empty, rows):
+    got = mixing.mix(docs).collect()
+    size = lambda t: len((t or "").encode().split())
+    per, of = {}, {}
+    for d, t, _, s, *_ in rows:
+        per[s] = per.get(s, 0) + size(t)
+        of.setdefault(s, []).append(d)
+    target, rate = _targets(per), {}
+    for s, ids in of.items():
+        rate |= dict(zip(ids, _solved([size(rows[d][1]) for d in ids], target[s])))
+    assert len(got) == len(rows) and len({round(r.rate, 6) for r in got if r.size}) > 20
     taken = {}
     for r in got:
         assert r.size == size(rows[r.doc_id][1]) and r.source_size == per[r.source] and abs(r.target - target[r.source]) < 1e-6
-        assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        assert abs(r.rate - rate[r.doc_id]) < 1e-6 and int(r.rate) <= r.copies <= -int(-r.rate // 1) or not r.size
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] for s in per)
-    assert mixing.mix(empty).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    for s in per:  # the rates meet the targets; whole copies come within a share of a document
+        assert abs(sum(r.rate * r.size for r in got if r.source == s) - target[s]) < 1e-6 * target[s]
+        assert abs(taken[s] - target[s]) < 0.05 * target[s]
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixed_takes_what_mix_says(spark, docs, rows, monkeypatch):
+    """Every row as often as mix() takes it, repeated doc_ids and clashing columns included; with a broadcast and with a join."""
+    more = [(r[0], r[1], None, r[3], 1) for r in rows] + [(5, "a b c", "x", "a", 2), (5, "d e", "x", "a", 3), (None, "f g", "x", "b", 4), (None, "h", "x", None, 5)] * 2
+    d = spark.createDataFrame(more, "doc_id long, text string, `rate` string, source string, `a.b` long").repartition(3)
+    want = {}
+    for r in mixing.mix(d).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + (r.copies if r.size else 1)
+    for most in (mixing.MAX_BROADCAST_SOURCES, 0):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most)
+        out = mixing.mixed(d)
+        assert out.columns == d.columns
+        got = {}
+        for r in out.collect():
+            k = (r.doc_id, len((r.text or "").split()))
+            got[k] = got.get(k, 0) + 1
+        assert got == {k: n for k, n in want.items() if n}
+
+
+@pytest.mark.parametrize("texts", [[None, "", " "], ["a"], ["a b"] * 40, ["w " * 20_000] + ["a b c"] * 30])
+def test_mixing_odd_tables(spark, texts):
+    """No words at all, one document, ties, and one very long document beside short ones in another source."""
+    d = spark.createDataFrame([(i, t, "long" if t and len(t) > 100 else "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert len(got) == len(texts) and all(0 <= r.taken <= 3 * r.size for r in got)
+    per = {}
+    for r in got:
+        per[r.source] = per.get(r.source, 0) + r.size
+    target = _targets(per)
+    for s in per:
+        off = abs(sum(r.taken for r in got if r.source == s) - target[s])
+        assert off <= max([r.size for r in got if r.source == s]) / 2 + 1e-6
+    assert mixing.mixed(d).count() == sum(r.copies if r.size else 1 for r in got)
+
+
+def test_mixing_comes_near_on_the_tables(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("rate").alias("rates")).collect()
+    assert all(abs(r.taken - r.target) < 0.02 * r.target for r in got) and sum(r.rates > 3 for r in got) > len(got) / 2
 
 
 def _slow_pcm(kind, data):
@@ -384,18 +450,111 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[i:j], want / want.sum(axis=1, keepdims=True))
 
 
-def test_quality(spark, docs, empty):
-    assert {r.score for r in quality.score(docs, None).collect()} == {1.0}
+def _labelled(spark):
     rng = np.random.default_rng(6)
     good = lambda: " ".join(rng.choice(["the", "house", "river", "green"], 40))
     bad = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "%%%"], 40))
     made = [(i, good() if i % 2 else bad(), "en", "good" if i % 2 else "bad", 200, "n") for i in range(300)]
     d = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, y string")
-    labels = d.where("doc_id < 150").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    return d, d.where("doc_id < 150").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+
+
+def test_quality(spark, docs, empty):
+    assert {r.score for r in quality.score(docs, None).collect()} == {1.0}
+    d, labels = _labelled(spark)
     model = quality.fit(d, labels)
     kept = quality.keep_good(d, model)
     assert kept.columns == d.columns and [r.doc_id for r in kept.orderBy("doc_id").collect()] == list(range(1, 300, 2))
-    assert quality.score(empty, model).count() == 0
+    assert quality.score(empty, model).count() == 0 and quality.fit(empty, labels) is None and quality.fit(d, labels.where("quality = 1")) is None
+
+
+def test_quality_with_nulls_repeats_and_clashing_columns(spark):
+    d, labels = _labelled(spark)
+    odd = [(None, None, None, None, None, None), (7, None, None, None, None, "x"), (400, "", "en", "good", 0, None), (400, "", "en", "good", 0, None), (401, "word " * 60_000, "en", None, None, None)]
+    every = d.union(spark.createDataFrame(odd, d.schema)).withColumnRenamed("y", "score").withColumn("l0", F.lit("x"))
+    labels = labels.union(spark.createDataFrame([(None, 1), (3, None), (2, 0), (2, 0)], labels.schema))
+    model = quality.fit(every, labels, rounds=1)
+    got = quality.score(every, model).collect()
+    assert len(got) == 305 and all(0 <= p <= 1 for r in got for p in r[1:]) and sum(r.doc_id == 400 for r in got) == 2
+    assert len({tuple(r[1:]) for r in got if r.doc_id == 400}) == 1
+    again = quality.score(every, quality.fit(every.repartition(5), labels, rounds=1)).collect()
+    assert sorted((r.doc_id or -1, r.score) for r in again) == sorted((r.doc_id or -1, r.score) for r in got)
+
+
+def test_quality_views_see_their_own_columns_only():
+    one = lambda *r: quality._rows(quality.pa.RecordBatch.from_pydict(dict(zip(["doc_id", "text", "source", "lang", "n_chars"], [[x] for x in r]))))
+    a, b, c = one(1, "some text", "s", "en", 9), one(2, "other\n\nwords, many more of them", "s", "en", 9), one(1, "some text", "t", None, 5)
+    assert (a[1] == b[1]).all() and (a[0] != b[0]).any() and (a[0] == c[0]).all() and (a[1] != c[1]).any()
+
+
+def test_quality_co_training_exchanges_labels():
+    """A view without labels of its own worth learns from what the other is sure of."""
+    rng = np.random.default_rng(3)
+    y = np.r_[np.zeros(20), np.ones(20)]
+    seen = lambda t, n: (t[:, None] * 2 - 1 + rng.normal(0, 0.3, (len(t), n))).astype(np.float32)
+    hidden = rng.integers(0, 2, 400).astype(float)
+    pool = [seen(hidden, 3), seen(hidden, 3)]
+    given = []
+
+    def pick(views, good):
+        for giver in range(2):
+            p = 1 / (1 + np.exp(-views[giver].logit(pool[giver])))
+            at = np.flatnonzero((p < 0.05) | (p > 0.95))
+            given.append((giver, at, (p[at] > 0.5).astype(float)))
+            yield [x[at] for x in pool], given[-1][2]
+
+    m = quality.co_train([seen(y, 3), rng.normal(0, 1, (40, 3)).astype(np.float32)], y, pick, rounds=2)
+    assert len(given) == 4 and (given[0][2] == hidden[given[0][1]]).mean() > 0.95
+    assert ((m.views[1].logit(pool[1]) > 0) == (hidden > 0.5)).mean() > 0.95
+
+
+def test_quality_held_out_accuracy(spark):
+    """Fitted on the labels of even doc_ids, held against those of odd ones (sf0.01)."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", (F.col("score") >= 0.5).alias("keep")).collect()
+    good, bad = [r.keep for r in got if r.quality == 1], [r.keep for r in got if r.quality == 0]
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.05
+
+
+def test_language_held_out_accuracy(spark):
+    at = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{at}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = language.op2_language_crf(spark, at).where("held_out").join(truth, "doc_id").select((F.col("lang") == F.col("lang_pred")).alias("hit"), "score", "doc_id").collect()
+    assert len(got) > 2000 and np.mean([r.hit for r in got]) >= 0.99 and all(0 <= r.score <= 1 for r in got)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got)
+
+
+def test_language_learns_every_language_and_long_texts(spark):
+    rng = np.random.default_rng(11)
+    pair = lambda k: chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)
+    text = lambda k, n: " ".join("".join(rng.choice(list(pair(k)), 5)) for _ in range(n))
+    rows = [(i, text(i % 70, 30), f"l{i % 70:02}") for i in range(280)] + [(1000 + i, text(90, 3000), "long") for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 71 and len(model.langs) << model.bits <= language.MAX_WEIGHTS
+    asked = [(k, text(k, 40)) for k in (0, 13, 69)] + [(90, text(90, 40))]
+    assert [model.predict([t.encode()])[0][0] for _, t in asked] == ["l00", "l13", "l69", "long"]
+
+
+def test_language_uses_transitions_as_fitted():
+    """Words without evidence follow the fitted chain: forward-backward over exp(trans), not over rows made to sum to 1."""
+    t = language.Tagger(["a", "b"])
+    t.trans = np.log(np.array([[2.0, 0.5], [0.5, 1.0]]))
+    post = t.tag([b"x x x"])[0][0]
+    want = np.zeros((3, 2))
+    for path in np.ndindex(2, 2, 2):
+        want[range(3), path] += np.exp(sum(t.trans[x, y] for x, y in zip(path, path[1:])))
+    assert np.allclose(post, want / want.sum(axis=1, keepdims=True))
+
+
+def test_language_ties_repeats_and_long_words(spark):
+    train = spark.createDataFrame([(i, "uno dos tres" if i % 2 else "eins zwei drei", "es" if i % 2 else "de") for i in range(40)] + [(None, "uno", "xx")], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    assert model.langs == ["de", "es"]
+    new = spark.createDataFrame([(1, "uno dos", 1), (1, "zwei", 1), (1, "zwei", 1), (None, "dos", 1), (3, "a" * 200 + " tres dos uno", 1)], "doc_id long, text string, lang_pred int")
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in language.predict(new, model).collect()) == [(0, "es"), (1, "de"), (1, "de"), (1, "es"), (3, "es")]
+    assert language.Tagger(["b", "c"]).predict([b"tie"])[0] == ("b", 0.5)
 
 
 def _pages(spark):
