@@ -111,7 +111,7 @@ def forward_backward(e: np.ndarray, a: np.ndarray, pi: np.ndarray, start: np.nda
     nb = -(-n // block)
     pad = nb * block - n
     e = np.concatenate([e, np.ones((pad, k))]).reshape(nb, block, k)
-    s = np.concatenate([start, np.zeros(pad, bool)]).reshape(nb, block)
+    s = np.concatenate([start, np.ones(pad, bool)]).reshape(nb, block)  # padding is no part of the last chain
     prod = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
     for t in range(block):
         step = prod @ a
