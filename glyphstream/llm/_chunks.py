@@ -24,42 +24,78 @@ CHUNK_BYTES = 4 << 20
 BUCKET_HASHES, LEAST_HASHES = 1_500_000, 150_000
 
 _SCHEMA = "chunk long, docs binary, ends binary, blob binary, n_bytes long"
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+_NAMES = ["chunk", "docs", "ends", "blob", "n_bytes", "rest"]
 
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks (chunk, docs, ends, blob, n_bytes) of docs (doc_id long, text) in the order of its partitions; null text is empty."""
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None, whole: bool = False) -> DataFrame:
+    """Chunks (chunk, docs, ends, blob, n_bytes[, rest]) of docs (doc_id long, text) in the order of its partitions; null text is empty.
+
+    whole: rest holds the rows' other columns (and which texts are null), for unpack_rows().
+    """
+    chunk_bytes = chunk_bytes or CHUNK_BYTES
+    own = [c for c in docs.columns if c.lower() != "text"] if whole else []
 
     def run(batches):
         number = TaskContext.get().partitionId() << 18
-        ids, ends, parts, size = [], [], [], 0
+        ids, ends, parts, slices, size = [], [], [], [], 0
 
         def row():
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.array(ends, "<i8").tobytes()]), pa.array([blob]), pa.array([size], pa.int64())], names=["chunk", "docs", "ends", "blob", "n_bytes"])
+            null = np.packbits([i is None for i in ids]).tobytes()
+            values = [number, np.array([i or 0 for i in ids], "<i8").tobytes() + null, np.array(ends, "<i8").tobytes(), _squeezed(b"".join(parts)), size]
+            if whole:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, slices[0].schema) as writer:
+                    for x in slices:
+                        writer.write_batch(x)
+                values.append(_squeezed(out.getvalue().to_pybytes()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES)], names=_NAMES[: len(values)])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1)):
+            rest = pa.RecordBatch.from_arrays([b.column(1).is_null(), *b.columns[2:]], names=[f"c{k}" for k in range(b.num_columns - 1)])
+            since = 0
+            for k, (doc_id, text) in enumerate(zip(b.column(0), b.column(1)), 1):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass") + b"\n"
-                ids.append(np.iinfo(np.int64).min if doc_id.as_py() is None else doc_id.as_py())
+                ids.append(doc_id.as_py())
                 parts.append(data)
                 size += len(data)
                 ends.append(size)
                 if size >= chunk_bytes:
+                    slices.append(rest.slice(since, k - since))
+                    since = k
                     yield row()
-                    number, ids, ends, parts, size = number + 1, [], [], [], 0
+                    number, ids, ends, parts, slices, size = number + 1, [], [], [], [], 0
+            if since < b.num_rows:
+                slices.append(rest.slice(since))
         if ids:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    text = next((c for c in docs.columns if c.lower() == "text"))
+    columns = [F.col("doc_id").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(own))]
+    return docs.select(*columns).mapInArrow(run, _SCHEMA + ", rest binary" * whole)
 
 
-def unpack(docs: bytes, ends: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    return np.frombuffer(docs, "<i8"), np.frombuffer(ends, "<i8"), zstandard.ZstdDecompressor().decompress(blob)
+def unpack(docs: bytes, ends: bytes, blob: bytes) -> tuple[pa.Array, np.ndarray, bytes]:
+    """(doc_ids, ends, bytes of the texts, a line end after each)."""
+    n = len(ends) // 8
+    null = np.unpackbits(np.frombuffer(docs, np.uint8, offset=8 * n), count=n).astype(bool)
+    return pa.array(np.frombuffer(docs, "<i8", n), mask=null), np.frombuffer(ends, "<i8"), zstandard.ZstdDecompressor().decompress(blob)
 
 
-def doc_ids(ids: np.ndarray) -> pa.Array:
-    """The ids as a column; the stand-in for null becomes null again."""
-    return pa.array(ids, pa.int64(), mask=ids == np.iinfo(np.int64).min)
+def unpack_rows(row: dict, at: np.ndarray, schema, text: int) -> pa.RecordBatch:
+    """The rows at those places of a chunk packed whole, with the columns they had; text: the place of the text column."""
+    _, ends, data = unpack(row["docs"], row["ends"], row["blob"])
+    rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all().take(pa.array(at)).combine_chunks()
+    begin = np.r_[0, ends[:-1]]
+    null = rest.column(0).to_pylist()
+    texts = [None if gone else data[begin[k] : ends[k] - 1] for k, gone in zip(at, null)]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rest.columns[1:]]
+    columns.insert(text, pa.array(texts, pa.binary()).cast(pa.string()))
+    return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
 
 def store(scratch: Scratch, chunks: DataFrame) -> DataFrame:

@@ -75,11 +75,14 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete kept tables that nothing reads any more, and have the JVM let go of finished shuffles' files."""
+        """Delete kept tables that nothing reads any more."""
         for df in tables:
             if df is not None and id(df) in self.at:
                 path, fs = self._files(self.spark, self.at.pop(id(df))[1])
                 fs.delete(path, True)
+
+    def tidy(self) -> None:
+        """Have the JVM find what nothing refers to any more: Spark then deletes finished shuffles' files. For after a large step."""
         self.spark._jvm.System.gc()
 
     @classmethod

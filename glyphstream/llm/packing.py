@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.llm._common import Scratch, read_table
@@ -29,6 +29,8 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Partition totals up to this many rows (16 bytes each) are broadcast; beyond it they are joined by shuffle.
 MAX_BROADCAST_PARTS = 1_000_000
+#: Partitions whose totals are summed in one group beyond that.
+GROUP_PARTS = 4096
 #: Texts with other characters, or special-token strings, are left to the full tokenizer; both give the same ids here.
 _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-ɏ‐-‧€]*\Z")
 
@@ -82,20 +84,30 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = R
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part int, before long, doc_tokens long, ids binary")
 
 
+def _bases(totals: DataFrame) -> DataFrame:
+    """(part, base) from (part, total) of any number of parts: prefix sums within groups of parts, and of the groups' sums."""
+    group = F.floor(F.col("part") / GROUP_PARTS)
+    at, rows = 0, [(-1, 0)]
+    for g, total in sorted(map(tuple, totals.groupBy(group).agg(F.sum("total")).collect())):  # a row for GROUP_PARTS parts
+        rows.append((g, at))
+        at += total
+    before = F.broadcast(totals.sparkSession.createDataFrame(rows, "grp long, before long"))
+    own = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    return totals.withColumn("grp", group).join(before, "grp").select("part", (F.col("before") + F.sum("total").over(own) - F.col("total")).alias("base"))
+
+
 def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, separator: int = SEPARATOR) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of the packed sequences of ``docs``.
 
     Every sequence but the last is full; the last one's rest is padding.
     """
     spark = docs.sparkSession
-    first = Scratch(spark).keep(tokenised(docs, tokenizer, ranks, separator))
+    scratch = Scratch(spark)
+    first = scratch.keep(tokenised(docs, tokenizer, ranks, separator))
     totals = first.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
-    bases = sorted(map(tuple, totals.collect())) if totals.count() <= MAX_BROADCAST_PARTS else None
-    if bases is None:
-        from pyspark.sql import Window
-
-        shift = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-        placed = first.join(shift, "part")
+    bases = sorted(map(tuple, totals.limit(MAX_BROADCAST_PARTS + 1).collect()))
+    if len(bases) > MAX_BROADCAST_PARTS:
+        placed = first.join(_bases(scratch.keep(totals)), "part")
     else:
         at, rows = 0, []
         for part, total in bases:

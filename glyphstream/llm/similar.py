@@ -21,11 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstream.llm import _chunks as C
-from glyphstream.llm._common import WORD, Scratch, mix, read_table, window_hashes, word_hashes
+from glyphstream.llm._common import Scratch, mix, read_table, window_hashes, word_hashes
 from glyphstream.llm._graph import components
 
 SHINGLE = 5
@@ -61,22 +61,16 @@ class ChunkSets:
 
 
 def row_keys(docs: bytes, ends: bytes, blob: bytes) -> list[bytes]:
-    """row_key() of a chunk's documents."""
+    """16 bytes for each of a chunk's rows that tell its doc_id and text from any other's."""
     ids, ends, data = C.unpack(docs, ends, blob)
     out = []
-    for doc_id, a, b in zip(ids.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-        h = hashlib.md5(b":" if doc_id == np.iinfo(np.int64).min else b"%d:" % doc_id)
+    for doc_id, a, b in zip(ids.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+        h = hashlib.md5(b":" if doc_id is None else b"%d:" % doc_id)
         h.update(memoryview(data)[a : b - 1])
         out.append(h.digest())
     return out
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """16 bytes that tell a row's doc_id and text from any other; the stand-in for a null doc_id counts as null."""
-    own = F.nullif(doc_id.cast("long"), F.lit(int(np.iinfo(np.int64).min)))
-    return F.unhex(F.md5(F.concat(F.coalesce(own.cast("string"), F.lit("")), F.lit(":"), text.cast("string")).cast("binary")))
-
-
 def signature(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, whatever its order."""
     return tuple(int(np.sum(mix(s, seed), dtype=np.uint64).astype(np.int64)) for seed in (3, 4))
@@ -91,20 +85,24 @@ def matches_wanted(df: np.ndarray, n: int, least: int, most: int = MAX_MATCHES)
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row each."""
-    rows, named = _grouped(docs, size, percent)
-    least = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    by_set = named.join(least, "comp").select("s1", "s2", "n", "component_id")
+    scratch = Scratch(docs.sparkSession)
+    chunks = C.store(scratch, C.pack_chunks(docs))
+    rows, named = _grouped(scratch, chunks, size, percent)
+    scratch.drop(chunks)
+    # Kept, so that the partitions of a large component can be split in the join.
+    least = scratch.keep(named.groupBy("comp").agg(F.min("first_doc").alias("component_id")))
+    by_set = scratch.keep(named.join(least, "comp").select("s1", "s2", "n", "component_id"))
+    scratch.drop(named, least)
     return rows.join(by_set, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node, n, s1, s2) of docs, and their distinct sets (s1, s2, n, node, first_doc, comp), comp being one node of the component.
+def _grouped(scratch: Scratch, chunks: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Kept rows (doc_id, node, n, s1, s2) of chunked documents, and their distinct sets (s1, s2, n, node, first_doc, comp), comp being one node of the component.
 
-    keyed: rows have their row_key() as key too, and sets first_row (no_id, doc_id, key), the smallest of their rows.
+    keyed: rows have their row_keys() as key too, and sets first_row (no_id, doc_id, key, node), the smallest of their rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    chunks = C.store(scratch, C.pack_chunks(docs))
+    spark = scratch.spark
+    chunks = chunks.select("chunk", "docs", "ends", "blob")
     key = lambda chunk, k: (chunk << 22) | k
 
     def sign(batches):
@@ -114,15 +112,15 @@ def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed
                 n = [len(s) for s in c.sets]
                 sig = np.array([signature(s) for s in c.sets], np.int64).reshape(-1, 2)
                 own = [pa.array(row_keys(row["docs"], row["ends"], row["blob"]), pa.binary())] if keyed else []
-                yield pa.RecordBatch.from_arrays([C.doc_ids(c.docs), pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), *own], names=["doc_id", "node", "n", "s1", "s2"] + ["key"] * keyed)
+                yield pa.RecordBatch.from_arrays([c.docs, pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), *own], names=["doc_id", "node", "n", "s1", "s2"] + ["key"] * keyed)
 
-    rows = scratch.keep(chunks.drop("n_bytes").mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
-    first_row = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first_row")] if keyed else []
+    rows = scratch.keep(chunks.mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
+    first_row = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "node")).alias("first_row")] if keyed else []
     classes = scratch.keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"), *first_row))
     own = classes.groupBy(F.shiftright("node", 22).alias("chunk")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 22) - 1).cast("int")).alias("own"))
     total = classes.agg(F.sum("n")).head()[0] or 0
     buckets = C.bucket_count(spark, total)
-    chosen = chunks.drop("n_bytes").join(own, "chunk")
+    chosen = chunks.join(own, "chunk")
 
     def of_chunk(row):
         c = ChunkSets(row["docs"], row["ends"], row["blob"], size)
@@ -143,6 +141,7 @@ def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed
         return np.repeat(np.add.reduceat(extra, first).astype(np.uint32), np.diff(np.r_[first, len(h)]))
 
     told = scratch.keep(C.answered(chosen.mapInArrow(count, C.SENT), summed, np.uint32))
+    scratch.tidy()
 
     def prefixes(batches):
         for b in batches:
@@ -165,13 +164,18 @@ def _grouped(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "n", "l", "alone", "prefix", "shared"])
 
     docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(prefixes, "node long, n long, l int, alone long, prefix array<long>, shared binary"))
-    links = _links(scratch, docs_with, percent)
+    scratch.drop(told)
+    links, parts = _links(scratch, docs_with, percent)
+    scratch.drop(docs_with)
     comp = components(links, scratch)
-    return rows, classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = scratch.keep(classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    scratch.drop(classes, comp, *parts)
+    scratch.tidy()
+    return rows, named
 
 
-def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
-    """Verified links (x, y) that connect what all links connect, from (node, n, l, alone, prefix, shared).
+def _links(scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Verified links (x, y) that connect what all links connect, and the kept tables they are read from; from (node, n, l, alone, prefix, shared).
 
     A pair shares at least half = ceil(2t / (1 + t) * n) shingles, n the smaller size, so the smaller document's common shingles begin within
     its first n - half + l; only these (short) are matched on its side.
@@ -180,20 +184,27 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
     posts = docs.select("node", "n", "l", "alone", F.posexplode("prefix").alias("pos", "token"))
     posts = posts.select("node", "n", "l", "token", (F.col("alone") + F.col("pos") < F.col("n") - half + F.col("l")).alias("short"))
     groups = posts.groupBy("token").agg(F.count("*").alias("g"), F.min("node").alias("first")).where("g > 1")
-    posts = scratch.keep(posts.join(groups, "token"))
+    shared = scratch.keep(posts.join(groups, "token"))
+    posts = shared
     # The first of a large group is often what the others were copied from, so it is a hub from the start.
     largest = posts.groupBy("node").agg(F.when(F.max((F.col("node") == F.col("first")) & (F.col("g") > SMALL_GROUP)), 1).otherwise(F.max("g")).alias("most"))
     posts = posts.drop("first")
     u = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
     turn = F.when(F.col("most") <= SMALL_GROUP, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.log(u * F.col("most") / HUBS) / F.log(F.lit(float(GROWTH)))))).cast("int")
     posts = scratch.keep(posts.join(largest.select("node", F.coalesce(turn, F.lit(0)).alias("turn")), "node"))
+    scratch.drop(shared)
+    scratch.tidy()
     last = posts.agg(F.max("turn")).head()[0] or 0
     sets = docs.select("node", "shared")
-    found, comp = None, None
+    found, comp, parts = None, None, []
     for turn in range(last + 1):
         p = posts.where(F.col("turn") >= turn)
         if comp is not None:
-            p = p.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            p = scratch.keep(p.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+            # Tokens whose documents are all connected by now have no pair left.
+            several = scratch.keep(p.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token"))
+            named, p = p, scratch.keep(p.join(several, "token", "left_semi"))
+            scratch.drop(comp, several, named)
         else:
             p = p.withColumn("comp", F.col("node"))
         salts = F.ceil(F.col("g") / SALT_ROWS)
@@ -220,28 +231,38 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], names=["x", "y"])
 
         new = scratch.keep(both.select("x", "y", "n_x", "n_y", "a", "b").mapInArrow(verify, "x long, y long"))
+        parts.append(new)
         found = new if found is None else found.union(new)
+        scratch.drop(p)
         if turn < last:
             comp = components(found, scratch)
-    return found
+    scratch.drop(posts)
+    return found, parts
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group of rows that link, directly or through others: one of the group's smallest doc_id.
 
     Rows of one doc_id, or without one, are documents of their own: they go only where their texts link. Of a group's rows with its
-    smallest doc_id the one whose row_key() is smallest stays. Texts without words link with nothing, so their rows all stay.
+    smallest doc_id the one whose row_keys() entry is smallest stays. Texts without words link with nothing, so their rows all stay. Rows wait in
+    their chunks, where the decision comes to them, and don't move.
     """
-    rows, named = _grouped(docs, keyed=True)
-    stay = named.groupBy("comp").agg(F.min("first_row").alias("first_row")).select(F.col("first_row.key").alias("_key"))
-    stay = Scratch(docs.sparkSession).keep(stay)
-    worded = F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
-    own = docs.where(worded).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs["doc_id"], docs["text"]).alias("_key"))
-    out = own.join(stay, "_key", "left_semi")
-    if not rows.where("n > 0").groupBy("key").count().where("count > 1").isEmpty():
-        out = out.groupBy("_key").agg(F.first("row").alias("row"))  # rows of one doc_id and text link
-    out = out.select("row.*")
-    return out if rows.where("n = 0").isEmpty() else out.union(docs.where(~worded))
+    scratch = Scratch(docs.sparkSession)
+    chunks = C.store(scratch, C.pack_chunks(docs, whole=True))
+    rows, named = _grouped(scratch, chunks, keyed=True)
+    stay = named.groupBy("comp").agg(F.min("first_row").alias("first_row")).select("first_row.node").union(rows.where("n = 0").select("node"))
+    own = stay.groupBy(F.shiftright("node", 22).alias("chunk")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 22) - 1).cast("int")).alias("own"))
+    own = scratch.keep(own)
+    scratch.drop(rows, named)
+    schema = docs.schema
+    text = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def rebuilt(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                yield C.unpack_rows(row, np.sort(np.array(row["own"])), schema, text)
+
+    return chunks.drop("n_bytes").join(own, "chunk").mapInArrow(rebuilt, schema)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ hash buckets and gets a bit back for each. Chunks hold ranges of the documents'
 earlier chunk has this window" and the order within the chunk settle which windows started earlier.
 
 Defined results: null and empty texts have no words; documents are taken in the order of doc_id (null first), rows of one
-doc_id in the order of their texts, each row as a document of its own; an empty table gives no rows; other columns are not looked at.
+doc_id in the order of a hash of their texts, each row as a document of its own (so rows of one doc_id are spread over tasks); an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,12 +102,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
     spark = docs.sparkSession
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = slim.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order, "text")
     chunks = C.store(scratch, C.pack_chunks(ordered))
     total = chunks.agg(F.sum("n_bytes")).head()[0] or 0
     buckets = C.bucket_count(spark, total // 6)
     sizes = levels(window)
-    joined = chunks.drop("n_bytes")
+    joined, answers = chunks.drop("n_bytes"), []
     for k, size in enumerate(sizes):
         last = k + 1 == len(sizes)
 
@@ -121,6 +122,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
 
         sent = joined.mapInArrow(send, C.SENT)
         told = scratch.keep(C.answered(sent, _earlier if last else _elsewhere, np.uint32 if last else None))
+        scratch.tidy()
+        answers.append(told)
         joined = joined.join(told.withColumnRenamed("answers", f"a{k}"), "chunk", "left")
 
     def finish(batches):
@@ -141,10 +144,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
                     digests.append(hashlib.sha256(text).hexdigest())
                     if keep_text:
                         texts.append(text.decode("utf-8", "surrogatepass"))
-                columns = [C.doc_ids(words.docs), pa.array(words.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string())]
+                columns = [words.docs, pa.array(words.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if keep_text else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
-    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    done = joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    if not keep_text:  # a few numbers a document take the place of the chunks
+        done = scratch.keep(done)
+        scratch.drop(chunks, *answers)
+    return done
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

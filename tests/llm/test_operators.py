@@ -61,6 +61,19 @@ def test_packing(docs, empty, rows):
     assert len(by_doc) == len(rows) and packing.pack(empty).count() == 0
 
 
+def test_packing_ties_repeats_and_many_parts(spark, rows, monkeypatch):
+    """Repeated and null doc_ids are packed each; totals beyond the broadcast bound give the same places."""
+    d = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (1, "z", "x"), (None, "n", "x"), (None, None, "x"), (2, "w " * 5000, "x")], "doc_id long, text string, part string").repartition(3).cache()
+    key = lambda out: sorted((r.doc_id or 0, r.start, r.length, bytes(r.ids), r.doc_tokens, r.sequence_id, r.offset) for r in out.collect())
+    got = key(packing.pack(d, seq_len=100))
+    assert sum(k[2] for k in got) == sum(len(packing.encode(r.text)) + 1 for r in d.collect())
+    assert sorted((k[5], k[6]) for k in got)[0] == (0, 0) and sum(k[1] == 0 for k in got) == 6
+    monkeypatch.setattr(packing, "MAX_BROADCAST_PARTS", 1)
+    for parts in (1, 4096):
+        monkeypatch.setattr(packing, "GROUP_PARTS", parts)
+        assert key(packing.pack(d, seq_len=100)) == got
+
+
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", " \n\n x ", "naïve café — 漢字   x", "it's 12 O'CLOCK\t\t!!"])
 def test_packing_encoders_agree(text):
     assert packing.encode(text) == packing.encode(text, ranks=None)
@@ -81,6 +94,34 @@ def test_substrings(docs, empty, rows):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_null_and_repeated_ids_and_long_texts(spark, monkeypatch):
+    """Null ids come first, rows of one id in the order of a hash of their texts; a true id of -2**63 is no null; texts longer than a chunk and a part."""
+    from glyphstream.llm import _chunks, _common
+
+    rng = np.random.default_rng(21)
+    words = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))
+    long, a, b = words(3000), words(30), words(30)
+    made = [(None, a), (5, f"{a} {b}"), (5, b), (5, b), (7, long), (8, f"x {long}"), (-(2**63), f"{b} y"), (9, None)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in made], "doc_id long, text string, chunk int").repartition(3)
+    monkeypatch.setattr(_chunks, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(_common, "PART", 1000)
+    order = {t: h for t, h in spark.createDataFrame([(t,) for _, t in made if t], "t string").select("t", F.xxhash64("t")).collect()}
+    seen, want = set(), []
+    for i, t in sorted(made, key=lambda r: (r[0] is not None, r[0] or 0, order.get(r[1], 0), r[1] or "")):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup(d).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r[2] for r in want) >= 3000
+    short = {(r.doc_id, r.n_removed, r.kept_sha256) for r in substrings.dedup(d, keep_text=False).collect()}
+    assert short == {(i, n, hashlib.sha256(t.encode()).hexdigest()) for i, _, n, t in want}
+
+
 def test_similar(docs, empty, rows, monkeypatch):
     sets = {}
     for d, text, *_ in rows:
@@ -111,8 +152,9 @@ def test_one_of_each_keeps_unlinked_rows_of_one_id(spark):
     texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
     made = [(1, "a"), (5, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "e"), (None, "e"), (None, "b"), (7, "f"), (7, "f"), (-(2**63), "g")]
     made = [(i, texts[k]) for i, k in made] + [(None, None), (None, ""), (9, " \n"), (9, None), (8, "two words"), (None, "two words")]
-    d = spark.createDataFrame([(i, t, "n") for i, t in made], "doc_id long, text string, node string").repartition(3)
+    d = spark.createDataFrame([(i, t, "n", 1.5) for i, t in made], "doc_id long, text string, node string, `a.b` double").repartition(3)
     got = similar.one_of_each(d)
+    assert got.schema == d.schema and {(r.node, r["a.b"]) for r in got.collect()} == {("n", 1.5)}
     want = [(1, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "e"), (7, "f"), (-(2**63), "g")]
     want = [(i, texts[k]) for i, k in want] + [(None, None), (None, ""), (9, " \n"), (9, None), (8, "two words")]
     assert got.columns == d.columns and sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
