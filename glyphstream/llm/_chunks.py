@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, parallelism
+from glyphstream.llm._common import Scratch, lean, parallelism, release
 
 CHUNK_BYTES = 4 << 20
 #: Hashes to a bucket, about: a reducing task's memory follows the first, not the input. Small inputs get buckets of the second at
@@ -76,7 +76,7 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None, whole: bool = F
 
     text = next((c for c in docs.columns if c.lower() == "text"))
     columns = [F.col("doc_id").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(own))]
-    return docs.select(*columns).mapInArrow(run, _SCHEMA + ", rest binary" * whole)
+    return docs.select(*columns).mapInArrow(lean(run), _SCHEMA + ", rest binary" * whole)
 
 
 def unpack(docs: bytes, ends: bytes, blob: bytes) -> tuple[pa.Array, np.ndarray, bytes]:
@@ -159,7 +159,10 @@ def answered(sent: DataFrame, answer, extra_kind=None) -> DataFrame:
         back[order] = got
         ends = np.cumsum(n)
         pack = (lambda x: zstandard.ZstdCompressor(level=1).compress(np.packbits(x).tobytes())) if got.dtype == bool else planes
-        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "n": n, "data": [pack(back[e - k : e]) for e, k in zip(ends, n)]})
+        out = pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "n": n, "data": [pack(back[e - k : e]) for e, k in zip(ends, n)]})
+        del h, extra, order, got, back
+        release()
+        return out
 
     told = sent.groupBy("bucket").applyInPandas(reduce, "chunk long, bucket int, n long, data binary")
     return told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "data"))).alias("answers"))

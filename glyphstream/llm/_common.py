@@ -3,11 +3,13 @@ splitting and vectorised word/shingle hashes."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that a Python worker is sent at most, but for a single longer row.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have this session send Python workers batches of BATCH_BYTES at most, whatever the rows' length; a lower bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +58,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.at: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0
+        bound_batches(spark)
         path, fs = self._files(spark, self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -94,6 +109,29 @@ class Scratch:
         del cls.roots[since:]
 
 
+def release() -> None:
+    """Give back to the system what this Python worker has let go of; a worker lives on between tasks, and its allocators keep what they had."""
+    _POW.clear()
+    _POW["n"] = 0
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run):
+    """run(batches) for mapInArrow, with release() at the partition's end."""
+
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return of
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -135,7 +173,7 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 #: Longer buffers are hashed in parts cut at white space, which bounds memory for very long texts.
-PART = 8 << 20
+PART = 1 << 20
 
 
 def word_hashes(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

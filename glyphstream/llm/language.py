@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import read_table
+from glyphstream.llm._common import lean, read_table
 
 FEATURE_BITS = 17
 PER_LANG = 300
@@ -304,7 +304,7 @@ def predict(docs: DataFrame, model: Tagger) -> DataFrame:
             if ids:
                 yield rows(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id) -> F.Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, read_table
+from glyphstream.llm._common import Scratch, lean, read_table
 
 K_NEAREST = 10
 #: Centroids of a half at most.
@@ -193,7 +193,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, centroids: int, train_row
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(matrix(b.column(1))).astype(np.int32))], names=["vec_id", "v", "cell"])
 
     # Sorted within the input's partitions: a task meets a cell's entries together, and no cell, however full, meets in one task.
-    entries = scratch.keep(rows.mapInArrow(assign, f"vec_id long, v {kind}, cell int").sortWithinPartitions("cell"))
+    entries = scratch.keep(rows.mapInArrow(lean(assign), f"vec_id long, v {kind}, cell int").sortWithinPartitions("cell"))
     counts = np.zeros(len(index.halves[0]) * index.width, np.int64)
     for r in entries.groupBy("cell").count().collect():  # centroids squared at most
         counts[r[0]] = r[1]
@@ -207,7 +207,7 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, centroids: int, train_row
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([index.stop(x, y, counts, budget) for x, y in zip(da, db)], pa.float64())], names=["query_id", "variant", "v", "stop"])
 
     parts = max(1, asked.count() // 64)
-    probes = scratch.keep(asked.select("query_id", "variant", "v").repartition(min(parts, spark.sparkContext.defaultParallelism * 8), "query_id", "variant").mapInArrow(traverse, f"query_id long, variant int, v {kind}, stop double"))
+    probes = scratch.keep(asked.select("query_id", "variant", "v").repartition(min(parts, spark.sparkContext.defaultParallelism * 8), "query_id", "variant").mapInArrow(lean(traverse), f"query_id long, variant int, v {kind}, stop double"))
     blocks = max(1, -(-probes.count() // query_rows))
     near = None
     for block in range(blocks):
@@ -250,7 +250,7 @@ def _rerank(spark, index: MultiIndex, entries: DataFrame, probes: DataFrame, k:
             at = side.no[p]
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(variant[at]), pa.array(vec), pa.array(np.sqrt(d))], names=["query_id", "variant", "vec_id", "score"])
 
-    return entries.select("vec_id", "v", "cell").mapInArrow(run, "query_id long, variant int, vec_id long, score double")
+    return entries.select("vec_id", "v", "cell").mapInArrow(lean(run), "query_id long, variant int, vec_id long, score double")
 
 
 def op4_inverted_multi_index(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, read_table
+from glyphstream.llm._common import Scratch, lean, read_table
 
 SEQ_LEN = 1024
 SEPARATOR = 0
@@ -35,30 +35,36 @@ GROUP_PARTS = 4096
 _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-ɏ‐-‧€]*\Z")
 
 
-@functools.cache
-def _encoders(tokenizer: str, ranks: str | None):
+def _at(name: str) -> str:
     import public_tokenizers as known
+
+    return name if "/" in name else known.path(name)
+
+
+@functools.cache
+def _full(tokenizer: str):
     from tokenizers import Tokenizer
 
-    at = lambda name: name if "/" in name else known.path(name)
-    full = Tokenizer.from_file(at(tokenizer))
-    if ranks is None:
-        return full, None
+    return Tokenizer.from_file(_at(tokenizer))
+
+
+@functools.cache
+def _fast(ranks: str):
+    import public_tokenizers as known
     import tiktoken
 
-    with open(at(ranks), "rb") as lines:
+    with open(_at(ranks), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return full, tiktoken.Encoding("ranks", pat_str=known.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=known.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def encode(text: str | None, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> list[int]:
     """Token ids of a text, without special tokens; ``ranks`` is the same vocabulary in a faster encoder's form."""
     if not text:
         return []
-    full, fast = _encoders(tokenizer, ranks)
-    if fast is not None and _PLAIN.match(text) and "<|endoftext|>" not in text:
-        return fast.encode_ordinary(text)
-    return full.encode(text, add_special_tokens=False).ids
+    if ranks is not None and _PLAIN.match(text) and "<|endoftext|>" not in text:
+        return _fast(ranks).encode_ordinary(text)
+    return _full(tokenizer).encode(text, add_special_tokens=False).ids
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, separator: int = SEPARATOR) -> DataFrame:
@@ -81,7 +87,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = R
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "part", "before", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part int, before long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, part int, before long, doc_tokens long, ids binary")
 
 
 def _bases(totals: DataFrame) -> DataFrame:

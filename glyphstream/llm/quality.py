@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, read_table
+from glyphstream.llm._common import Scratch, lean, read_table
 
 TRAIN_ROWS = 4_000
 ROUNDS = 3
@@ -179,7 +179,7 @@ def _features_of(docs: DataFrame, chosen: DataFrame):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in xs)], names=names)
 
     rows = _slim(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "y")
-    got = rows.mapInArrow(run, "doc_id long, y double, c binary, m binary").toArrow()
+    got = rows.mapInArrow(lean(run), "doc_id long, y double, c binary, m binary").toArrow()
     got = sorted(zip(*(got.column(c).to_pylist() for c in names)))
     xs = [np.stack([np.frombuffer(r[k], np.float32) for r in got]) if got else np.zeros((0, n), np.float32) for k, n in ((2, PAIRS + 16), (3, META))]
     return [r[0] for r in got], xs, np.array([r[1] for r in got], np.float64)
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rounds
                     part = b.slice(k, 512)
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.round(v.logit(x), 9)) for v, x in zip(sent.value, _rows(part)))], names=["doc_id", "l0", "l1"])
 
-        scored = _slim(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, l0 double, l1 double")
+        scored = _slim(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, l0 double, l1 double")
         scored = scratch.keep(scored.join(y, "doc_id", "left_anti").where((F.abs("l0") >= least) | (F.abs("l1") >= least)))
         n_good = int(round(per_round * good))
         for giver in range(2):
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
                 ps = model.score(_rows(part)) if model else [np.ones(part.num_rows)] * 3
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.round(p, 9)) for p in ps)], names=["doc_id", "p_content", "p_metadata", "score"])
 
-    return _slim(docs).mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double")
+    return _slim(docs).mapInArrow(lean(run), "doc_id long, p_content double, p_metadata double, score double")
 
 
 def keep_good(docs: DataFrame, model: CoTrained | None, least: float = KEEP_FROM) -> DataFrame:
@@ -256,7 +256,7 @@ def keep_good(docs: DataFrame, model: CoTrained | None, least: float = KEEP_FROM
                     part = part.filter(pa.array(model.score(_rows(own))[2] >= least))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_co_training(spark, sf_dir: str) -> DataFrame:

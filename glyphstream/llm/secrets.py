@@ -218,11 +218,13 @@ def _scored(token: Column, start: Column, kind_of: Column | None = None) -> Colu
     return _let(kind, one)
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """The battery's candidates of a text that no base span touches, scored."""
+def looked_over(text: Column) -> Column:
+    """Struct (base: the base spans of a text; tests: the battery's candidates that no base span touches, scored). Each part is worked out once."""
+    free = lambda b: lambda c: ~F.exists(b, lambda x: (x["start"] < c["stop"]) & (c["start"] < x["stop"]))
     found = _found(text, CANDIDATE, 3, text.rlike(r"[A-Za-z0-9+/_-]{20}"), lambda m: F.lit(True))
-    free = lambda b: F.filter(found, lambda c: ~F.exists(b, lambda x: (x["start"] < c["stop"]) & (c["start"] < x["stop"])))
-    return F.transform(F.when(F.size(base) > 0, _let(base, free)).otherwise(found), lambda c: _scored(c["text"], c["start"]))
+    # Most texts have no candidate: nothing more is done for them.
+    tests = lambda b: _let(found, lambda f: F.when(F.size(f) > 0, F.transform(F.filter(f, free(b)), lambda c: _scored(c["text"], c["start"]))))
+    return _let(base_spans(text), lambda b: F.struct(b.alias("base"), tests(b).alias("tests")))
 
 
 def structured(text: Column) -> Column:
@@ -230,21 +232,22 @@ def structured(text: Column) -> Column:
 
     Forms: a path, a slug, snake case, camel case, all lower, all upper, digits alone.
     """
-    h = F.xxhash64(text)
-    draw = lambda shift, n: F.pmod(F.shiftright(h, shift), F.lit(n)).cast("int")
-    length = F.element_at(F.array(*[F.lit(n) for n in LENGTHS]), draw(3, len(LENGTHS)) + 1)
-    form = draw(11, 7)
-    begin = F.pmod(F.shiftright(h, 17), F.greatest(F.length(text) - 8 * length, F.lit(1))).cast("int") + 1
 
-    def made(part):
-        words = F.trim(F.regexp_replace(part, "[^A-Za-z0-9]+", " "))
-        joined = lambda mark: F.translate(words, " ", mark)
-        bare = F.translate(words, " ", "")
-        token = F.when(form == 0, joined("/")).when(form == 1, joined("-")).when(form == 2, joined("_")).when(form == 3, F.translate(F.initcap(words), " ", "")).when(form == 4, F.lower(bare)).when(form == 5, F.upper(bare)).otherwise(F.regexp_replace(words, "[^0-9]+", ""))
-        return F.substring(token, F.lit(1), length)
+    def drawn(h):
+        draw = lambda shift, n: F.pmod(F.shiftright(h, shift), F.lit(n)).cast("int")
+        return F.struct(F.element_at(F.array(*[F.lit(n) for n in LENGTHS]), draw(3, len(LENGTHS)) + 1).alias("n"), draw(11, 7).alias("form"), F.shiftright(h, 17).alias("place"))
 
-    token = F.element_at(F.transform(F.array(F.substring(text, begin, 8 * length)), made), 1)
-    return F.when(F.length(token) >= CLASSES[0], token)
+    def made(d):
+        begin = F.pmod(d["place"], F.greatest(F.length(text) - 8 * d["n"], F.lit(1))).cast("int") + 1
+        words = F.trim(F.regexp_replace(F.substring(text, begin, 8 * d["n"]), "[^A-Za-z0-9]+", " "))
+
+        def formed(w):
+            form, bare, joined = d["form"], F.translate(w, " ", ""), lambda mark: F.translate(w, " ", mark)
+            return F.when(form == 0, joined("/")).when(form == 1, joined("-")).when(form == 2, joined("_")).when(form == 3, F.translate(F.initcap(w), " ", "")).when(form == 4, F.lower(bare)).when(form == 5, F.upper(bare)).otherwise(F.regexp_replace(w, "[^0-9]+", ""))
+
+        return _let(_let(words, formed), lambda t: F.when(F.length(t) >= CLASSES[0], F.substring(t, F.lit(1), d["n"])))
+
+    return _let(F.xxhash64(text), lambda h: _let(drawn(h), made))
 
 
 def _score_bin(s: Column) -> Column:
@@ -257,11 +260,12 @@ def _p_bin(p: Column) -> Column:
 
 
 def tested(docs: DataFrame) -> DataFrame:
-    """(made: a structured token, scored, or null; tests: the candidates, scored), a row a document that has either."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    made = docs.select(text.alias("text")).select(F.when(F.length("text") >= CLASSES[0], _let(structured(F.col("text")), lambda t: F.when(t.isNotNull(), _scored(t, F.lit(0).cast("long"))))).alias("made"), candidates(F.col("text"), base_spans(F.col("text"))).alias("tests"))
+    """(made: a structured token, scored, or null; tests: the candidates, scored), a row a document."""
+    d = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    null = _let(structured(F.col("text")), lambda t: F.when(t.isNotNull(), _scored(t, F.lit(0).cast("long"))))
     slim = lambda c: F.struct(c["code"].alias("code"), c["klass"].alias("klass"), (c["stop"] - c["start"]).cast("int").alias("size"), c["score"].alias("score"))
-    return made.select(F.when(F.col("made").isNotNull(), slim(F.col("made"))).alias("made"), F.transform("tests", slim).alias("tests")).where("made is not null or size(tests) > 0")
+    none = F.expr("cast(array() as array<struct<code:string,klass:int,size:int,score:double>>)")
+    return d.select(_let(null, lambda c: F.when(c.isNotNull(), slim(c))).alias("made"), _let(looked_over(F.col("text")), lambda x: F.coalesce(F.transform(x["tests"], slim), none)).alias("tests"))
 
 
 def null_counts(t: DataFrame) -> DataFrame:
@@ -311,9 +315,13 @@ def with_spans(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
         return (_p_bin(p) <= F.coalesce(F.try_element_at("last", c["klass"]), F.lit(-1))) & (c["distinct"] * 3 >= F.least(c["stop"] - c["start"], F.lit(30)))
 
     span = lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"))
-    met = docs.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_base", base_spans(F.col("_text"))).join(F.broadcast(found))  # one row
-    added = F.transform(F.filter(candidates(F.col("_text"), F.col("_base")), random), span)
-    return met.withColumn("spans", F.array_sort(F.concat("_base", added))).drop("_text", "_base", "nulls", "last")
+    met = docs.join(F.broadcast(found))  # one row
+
+    def every(x):
+        more = F.when(F.size(x["tests"]) > 0, F.array_sort(F.concat(x["base"], F.transform(F.filter(x["tests"], random), span))))
+        return F.coalesce(more, F.array_sort(x["base"]))
+
+    return met.withColumn("spans", _let(looked_over(F.coalesce(text, F.lit(""))), every)).drop("nulls", "last")
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstream.llm import _chunks as C
-from glyphstream.llm._common import Scratch, mix, read_table, window_hashes, word_hashes
+from glyphstream.llm._common import Scratch, lean, mix, read_table, window_hashes, word_hashes
 from glyphstream.llm._graph import components
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _grouped(scratch: Scratch, chunks: DataFrame, size: int = SHINGLE, percent:
                 own = [pa.array(row_keys(row["docs"], row["ends"], row["blob"]), pa.binary())] if keyed else []
                 yield pa.RecordBatch.from_arrays([c.docs, pa.array(np.arange(len(n), dtype=np.int64) + key(row["chunk"], 0)), pa.array(n, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), *own], names=["doc_id", "node", "n", "s1", "s2"] + ["key"] * keyed)
 
-    rows = scratch.keep(chunks.mapInArrow(sign, "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
+    rows = scratch.keep(chunks.mapInArrow(lean(sign), "doc_id long, node long, n long, s1 long, s2 long" + ", key binary" * keyed))
     first_row = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "node")).alias("first_row")] if keyed else []
     classes = scratch.keep(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("first_doc"), *first_row))
     own = classes.groupBy(F.shiftright("node", 22).alias("chunk")).agg(F.collect_list(F.col("node").bitwiseAND((1 << 22) - 1).cast("int")).alias("own"))
@@ -140,7 +140,7 @@ def _grouped(scratch: Scratch, chunks: DataFrame, size: int = SHINGLE, percent:
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         return np.repeat(np.add.reduceat(extra, first).astype(np.uint32), np.diff(np.r_[first, len(h)]))
 
-    told = scratch.keep(C.answered(chosen.mapInArrow(count, C.SENT), summed, np.uint32))
+    told = scratch.keep(C.answered(chosen.mapInArrow(lean(count), C.SENT), summed, np.uint32))
     scratch.tidy()
 
     def prefixes(batches):
@@ -163,7 +163,7 @@ def _grouped(scratch: Scratch, chunks: DataFrame, size: int = SHINGLE, percent:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["node", "n", "l", "alone", "prefix", "shared"])
 
-    docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(prefixes, "node long, n long, l int, alone long, prefix array<long>, shared binary"))
+    docs_with = scratch.keep(chosen.join(told, "chunk").mapInArrow(lean(prefixes), "node long, n long, l int, alone long, prefix array<long>, shared binary"))
     scratch.drop(told)
     links, parts = _links(scratch, docs_with, percent)
     scratch.drop(docs_with)
@@ -230,7 +230,7 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame,
                 keep = pa.array(hit)
                 yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], names=["x", "y"])
 
-        new = scratch.keep(both.select("x", "y", "n_x", "n_y", "a", "b").mapInArrow(verify, "x long, y long"))
+        new = scratch.keep(both.select("x", "y", "n_x", "n_y", "a", "b").mapInArrow(lean(verify), "x long, y long"))
         parts.append(new)
         found = new if found is None else found.union(new)
         scratch.drop(p)
@@ -262,7 +262,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 yield C.unpack_rows(row, np.sort(np.array(row["own"])), schema, text)
 
-    return chunks.drop("n_bytes").join(own, "chunk").mapInArrow(rebuilt, schema)
+    return chunks.drop("n_bytes").join(own, "chunk").mapInArrow(lean(rebuilt), schema)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphstream.llm import _chunks as C
-from glyphstream.llm._common import Scratch, parallelism, read_table, window_hashes, word_hashes
+from glyphstream.llm._common import Scratch, lean, parallelism, read_table, window_hashes, word_hashes
 
 WINDOW = 20
 _LOW = ~np.uint64(0xFFFF)
@@ -120,7 +120,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
                     _, distinct, _, second, _ = words.level(size, halves, last)
                     yield C.sent_rows(row["chunk"], distinct, second, buckets)
 
-        sent = joined.mapInArrow(send, C.SENT)
+        sent = joined.mapInArrow(lean(send), C.SENT)
         told = scratch.keep(C.answered(sent, _earlier if last else _elsewhere, np.uint32 if last else None))
         scratch.tidy()
         answers.append(told)
@@ -147,7 +147,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> Data
                 columns = [words.docs, pa.array(words.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if keep_text else [])], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
-    done = joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    done = joined.mapInArrow(lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
     if not keep_text:  # a few numbers a document take the place of the chunks
         done = scratch.keep(done)
         scratch.drop(chunks, *answers)

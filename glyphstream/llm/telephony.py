@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import read_table
+from glyphstream.llm._common import lean, read_table
 
 UNIT = 576
 RATE = 8000
@@ -202,7 +202,7 @@ def pcm_column(media: DataFrame, column: str = "media", num: int = UP, den: int
 
     kept = media.drop("pcm", "error")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "pcm binary", "error string"])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_bytes long, pcm_sha256 string"
@@ -253,7 +253,7 @@ def stored(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                 for group in _groups(batch.slice(k, 1024)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_told(group, keep_media)), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA + ", media binary, pcm binary" * keep_media)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA + ", media binary, pcm binary" * keep_media)
 
 
 def op5_telephony(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, read_table
+from glyphstream.llm._common import Scratch, lean, read_table
 
 FANOUT = 16
 PER_ARCHIVE = 2048
@@ -98,7 +98,7 @@ def archives(pages: DataFrame, per_archive: int = PER_ARCHIVE, segment_bytes: in
         if entries:
             yield row()
 
-    return ordered.select("archive", "page_id", "url", "digest", "record").mapInArrow(write, STORED)
+    return ordered.select("archive", "page_id", "url", "digest", "record").mapInArrow(lean(write), STORED)
 
 
 def manifest(stored: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def replica(stored: DataFrame, fault_every: int = FAULT_EVERY) -> DataFrame:
                         data[e["offset"] + e["length"] - 1 - row["base"]] = 0
                 yield pa.RecordBatch.from_arrays([pa.array([row[k] if k != "data" else bytes(data)], t) for k, t in zip(_NAMES, _TYPES)], names=_NAMES)
 
-    return stored.mapInArrow(rot, STORED)
+    return stored.mapInArrow(lean(rot), STORED)
 
 
 def read_back(stored: DataFrame, content: bool = False) -> DataFrame:
@@ -145,7 +145,7 @@ def read_back(stored: DataFrame, content: bool = False) -> DataFrame:
                 columns = zip(*out) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["archive", "seq", "offset", "length", "digest", "problem", "record"][: 6 + content])
 
-    return stored.mapInArrow(run, "archive long, seq long, offset long, length long, digest string, problem string" + ", record binary" * content)
+    return stored.mapInArrow(lean(run), "archive long, seq long, offset long, length long, digest string, problem string" + ", record binary" * content)
 
 
 def _parent(k: int, fanout: int, levels: int) -> Column:

@@ -54,7 +54,7 @@ def test_packing(docs, empty, rows):
             assert offset == at
             at += n
         assert at == 64 or k == max(by_seq)
-    full = packing._encoders(packing.TOKENIZER, None)[0]
+    full = packing._full(packing.TOKENIZER)
     for d, parts in by_doc.items():
         ids = np.frombuffer(b"".join(x for _, x in sorted(parts)), "<u4").tolist()
         assert ids == [*full.encode(texts[d] or "", add_special_tokens=False).ids, 0]
@@ -292,7 +292,7 @@ def test_secret_scores_p_values_and_step_by_brute_force(spark):
     docs, random, structured, texts = _planted(spark)
     t = secrets.tested(docs).cache()
     nulls = {}
-    made = docs.select("doc_id", secrets.structured(F.col("text")).alias("t")).where("t is not null").collect()
+    made = docs.select(secrets.structured(F.col("text")).alias("t")).where("t is not null").collect()
     assert len(made) > 300
     cls = lambda n: sum(n >= x for x in secrets.CLASSES) - 1
     bin_of = lambda s: max(0, min(secrets.SCORES, -int(-(s * 4) // 1)))
