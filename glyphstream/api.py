@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +15,21 @@ CONTAINERS = ("mkv", "mks")
 
 
 def scan_path(spark: SparkSession, paths: list[str], options: files.ScanOptions = files.ScanOptions()) -> DataFrame:
-    return files.scan(spark, paths, options)
+    """files.scan() with containers judged by their tracks: languages are those of all tracks, error is why one can't be read (it is discarded)."""
+    found = files.scan(spark, paths, options)
+    boxed = (F.col("status") == "collected") & F.col("parts.extension").isin(*CONTAINERS)
+    read = matroska.described(found.where(boxed))
+    every = metadata.parsed(read.where("error IS NULL")).groupBy("path").agg(F.first("all_languages").alias("_languages"))
+    told = read.select("path", "error").join(every, "path", "left")
+    d = found.join(told.dropDuplicates(["path"]), "path", "left")
+    d = d.withColumn("languages", F.coalesce("languages", "_languages")).drop("_languages")
+    wanted = files.matches(files.ScanOptions(languages=options.languages), F.col("modificationTime"), F.col("languages"))
+    status = F.when(boxed & F.col("error").isNotNull(), "discarded").when(boxed & ~wanted, "filtered_out").otherwise(F.col("status"))
+    return d.withColumn("status", status)
 
 
 def tracks(scanned: DataFrame, options: files.ScanOptions = files.ScanOptions(), existing: DataFrame | None = None) -> DataFrame:
-    """(path, track, language, number, track_id, srt_path): what is to be ripped of a scan's collected files; track is null for raw streams.
+    """(path, id, language, number, track_id, srt_path): what is to be ripped of a scan's collected files; id is null for raw streams.
 
     existing (path, modificationTime) has the subtitle files made before; a track is skipped if the first file of its language is among them.
     """
@@ -36,30 +46,50 @@ def tracks(scanned: DataFrame, options: files.ScanOptions = files.ScanOptions(),
 
 
 def unreadable(scanned: DataFrame) -> DataFrame:
-    """(path, error) of the collected containers whose tracks can't be read."""
-    found = scanned.where("status = 'collected'").where(F.col("parts.extension").isin(*CONTAINERS))
-    return matroska.described(found).where("error IS NOT NULL").select("path", "error")
+    """(path, error) of the containers whose tracks can't be read."""
+    return scanned.where("error IS NOT NULL").select("path", "error")
 
 
 def contents(spark: SparkSession, chosen: DataFrame) -> DataFrame:
-    """(track_id, content, error) of tracks()."""
-    plain = [r.path for r in chosen.where("id IS NULL").select("path").collect()]  # names of files, which the reader's listing holds on the driver too
+    """(track_id, content, error) of tracks(). Raw streams are read through the folders that hold them, whose files meet the tracks by path."""
     boxed = matroska.demuxed(chosen.where("id IS NOT NULL")).select(F.concat_ws("#", "path", "id").alias("track_id"), "content", "error")
-    if not plain:
+    plain = chosen.where("id IS NULL").select("path")
+    folders = [r[0] for r in plain.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().limit(files.MOST_FOLDERS + 1).collect()]
+    if not folders:
         return boxed
-    raw = spark.read.format("binaryFile").load(plain).select(F.col("path").alias("track_id"), "content", F.lit(None).cast("string").alias("error"))
-    return raw.unionByName(boxed)
+    if len(folders) > files.MOST_FOLDERS:  # then each worker opens its files itself
+        return boxed.unionByName(files.opened(plain).select(F.col("path").alias("track_id"), "content", "error"))
+    # Folder names may hold what a reader takes for a pattern.
+    at = [files.escaped(f) for f in folders]
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][uU][pP]").load(at).join(plain, "path", "left_semi")
+    return raw.select(F.col("path").alias("track_id"), "content", F.lit(None).cast("string").alias("error")).unionByName(boxed)
 
 
-def texts(content: DataFrame, languages: DataFrame | None, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: list[tuple[str, str]] = ()) -> DataFrame:
-    """(track_id, srt) of content (track_id, content); languages (track_id, language) is told to the recogniser."""
+def texts(content: DataFrame, languages: DataFrame | None, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: Iterable = (), tags: Iterable[str] = ()) -> DataFrame:
+    """(track_id, srt, error) of content (track_id, content[, error]); languages (track_id, language) is told to the recogniser, and chooses rules."""
     items = pgs.decode(pgs.items(pgs.display_sets(pgs.segments(content))))
     if languages is not None:
         items = items.join(languages.select("track_id", "language"), "track_id", "left")
-    return subtitles.documents(subtitles.subtitles(recognise.recognised(items, recogniser, ocr), rules))
+    else:
+        items = items.withColumn("language", F.lit(None).cast("string"))
+    return subtitles.texts(recognise.recognised(items, recogniser, ocr), subtitles.chosen(rules, tags))
+
 
+def rip(spark: SparkSession, scanned: DataFrame, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: Iterable = (), options: files.ScanOptions = files.ScanOptions(), existing: DataFrame | None = None, tags: Iterable[str] = ()) -> DataFrame:
+    """(track_id, srt_path, srt, error) of the collected files of a scan, a row a track; write them with operators.subtitles.write_files.
 
-def rip(spark: SparkSession, scanned: DataFrame, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: list[tuple[str, str]] = (), options: files.ScanOptions = files.ScanOptions(), existing: DataFrame | None = None) -> DataFrame:
-    """(track_id, srt_path, srt) of the collected files of a scan; write them with operators.subtitles.write_files."""
+    A track that can't be ripped whole has its error and no srt; it doesn't stop the others. One without a single subtitle image is such a track too.
+    """
     chosen = tracks(scanned, options, existing)
-    return texts(contents(spark, chosen), chosen, recogniser, ocr, rules).join(chosen.select("track_id", "srt_path"), "track_id")
+    done = texts(contents(spark, chosen), chosen, recogniser, ocr, rules, tags)
+    d = chosen.select("track_id", "srt_path").join(done, "track_id", "left")
+    return d.withColumn("error", F.when(F.col("srt").isNull(), F.coalesce("error", F.lit("no subtitles in the track"))))
+
+
+def rip_pgs(spark: SparkSession, content: bytes, recogniser: Callable, language: str | None = None, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: Iterable = (), tags: Iterable[str] = ()) -> str:
+    """The SRT text of one raw stream; ValueError with its error."""
+    one = spark.createDataFrame([("stream", content)], "track_id string, content binary")
+    row = texts(one, spark.createDataFrame([("stream", language)], "track_id string, language string"), recogniser, ocr, rules, tags).head()
+    if row is None or row.srt is None:
+        raise ValueError(row.error if row else "no subtitles in the track")
+    return row.srt

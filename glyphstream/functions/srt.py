@@ -1,20 +1,58 @@
-"""Subtitle text: time stamps, cleaning rules and rendered blocks."""
+"""Subtitle text: time stamps, cleaning rules chosen by tag and language, and rendered blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DEFAULT_TAG = "default"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A regular expression and what takes its place; without languages it holds for all. A language holds for its regions too."""
+
+    pattern: str
+    replacement: str = ""
+    tags: frozenset[str] = frozenset({DEFAULT_TAG})
+    languages: frozenset[str] = frozenset()
+
+
+def rule(value) -> Rule:
+    """A Rule from a pair (pattern, replacement), or a mapping with the fields of Rule."""
+    if isinstance(value, Rule):
+        return value
+    if isinstance(value, dict):
+        return Rule(str(value["pattern"]), str(value.get("replacement", "")), frozenset(value.get("tags") or {DEFAULT_TAG}), frozenset(value.get("languages") or ()))
+    pattern, put = value
+    return Rule(str(pattern), str(put))
+
+
+def chosen(rules: Iterable, tags: Iterable[str] = (), languages: Iterable[str] = ()) -> list[Rule]:
+    """The rules of any of the tags (the default one where none is named), for any of the languages (all where none is named), in their order."""
+    tags, asked = set(tags) or {DEFAULT_TAG}, set(languages)
+    fits = lambda own: not own or not asked or any(x in own or x.split("-")[0] in own or any(y.split("-")[0] == x for y in own) for x in asked)
+    return [r for r in map(rule, rules) if r.tags & tags and fits(r.languages)]
+
 
 def srt_time(ms: Column) -> Column:
     part = lambda unit, mod: F.pmod(F.floor(ms / unit), F.lit(mod)).cast("long")
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("long"), part(60_000, 60), part(1000, 60), part(1, 1000))
 
 
-def apply_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Regular-expression rules (pattern, replacement), one after another."""
-    for pattern, put in rules:
-        text = F.regexp_replace(text, pattern, put)
+def apply_rules(text: Column, rules: Iterable, language: Column | None = None) -> Column:
+    """Rules one after another; a rule with languages changes texts of those only."""
+    for r in map(rule, rules):
+        put = F.regexp_replace(text, r.pattern, r.replacement)
+        if r.languages:
+            if language is None:
+                continue
+            own = language.isin(*r.languages) | F.element_at(F.split(language, "-"), 1).isin(*r.languages)
+            put = F.when(own, put).otherwise(text)
+        text = put
     return text
 
 

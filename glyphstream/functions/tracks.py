@@ -1,4 +1,4 @@
-"""Container track metadata: parsed, defaulted, and selected by type, language and order."""
+"""Container track metadata: parsed, defaulted, guessed from names, and selected by type, language and order."""
 
 from __future__ import annotations
 
@@ -9,22 +9,43 @@ from glyphstream.sources.files import ScanOptions, language
 
 SCHEMA = "id int, type string, codec string, properties struct<language:string,language_ietf:string,track_name:string,default_track:boolean,enabled_track:boolean,forced_track:boolean>"
 #: Words of a track's name that tell its kind.
-NAMES = {"forced": r"(?i)\bforced\b", "hearing_impaired": r"(?i)\bsdh\b|hearing.impaired", "closed_caption": r"(?i)\bcc\b|closed.caption", "commentary": r"(?i)\bcommentary\b", "descriptive": r"(?i)\bdescriptive\b|\bdescription\b"}
+NAMES = {"forced": r"(?i)\bforced\b", "closed_caption": r"(?i)\bcc\b|closed.caption", "hearing_impaired": r"(?i)\bsdh\b|hearing.impaired", "commentary": r"(?i)\bcommentary\b", "descriptive": r"(?i)\bdescriptive\b|\bdescription\b", "external": r"(?i)\bexternal\b"}
+VERSION = r"(?i)\b(?:version|ver\.?|v) ?([0-9]+(?:\.[0-9]+)*)\b"
+#: Names of languages in track names; the regional ones come first.
+SPOKEN = {
+    "brazilian": "pt-BR", "latin american": "es-419", "castilian": "es-ES", "european spanish": "es-ES", "canadian french": "fr-CA", "simplified chinese": "zh-Hans", "traditional chinese": "zh-Hant",
+    "arabic": "ar", "bulgarian": "bg", "catalan": "ca", "chinese": "zh", "croatian": "hr", "czech": "cs", "danish": "da", "dutch": "nl", "english": "en", "estonian": "et", "finnish": "fi", "french": "fr",
+    "german": "de", "greek": "el", "hebrew": "he", "hindi": "hi", "hungarian": "hu", "icelandic": "is", "indonesian": "id", "italian": "it", "japanese": "ja", "korean": "ko", "latvian": "lv", "lithuanian": "lt",
+    "malay": "ms", "norwegian": "no", "persian": "fa", "polish": "pl", "portuguese": "pt", "romanian": "ro", "russian": "ru", "serbian": "sr", "slovak": "sk", "slovenian": "sl", "spanish": "es", "swedish": "sv",
+    "thai": "th", "turkish": "tr", "ukrainian": "uk", "vietnamese": "vi",
+}
+
+
+def told_language(name: Column, expected: Column) -> Column:
+    """The language that a track's name says in English, or else the expected one, which also stands where the name says the same without a region."""
+    word = F.regexp_extract(F.lower(name), rf"\b({'|'.join(SPOKEN)})\b", 1)
+    tags = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in SPOKEN.items())), F.lit(","), F.lit(":"))  # a constant
+    both = F.struct(expected.alias("expected"), F.try_element_at(tags, word).alias("said"))
+    # Bound once: the parts are long expressions.
+    told = lambda x: F.when(F.element_at(F.split(x["expected"], "-"), 1) == x["said"], x["expected"]).otherwise(F.coalesce(x["said"], x["expected"]))
+    return F.element_at(F.transform(F.array(both), told), 1)
 
 
 def described(track: Column) -> Column:
-    """Struct of a track (SCHEMA): the IETF code wins over the three-letter one; flags are true or null; forced is told by the name alone."""
+    """Struct of a track (SCHEMA): the IETF code wins over the three-letter one, the name over both; flags are true or null; forced is told by the name alone."""
     p = track["properties"]
     said = lambda pattern: F.when(p["track_name"].rlike(pattern), True)
+    expected = F.coalesce(language(p["language_ietf"]), language(p["language"]))
     return F.struct(
         track["id"].alias("id"),
         p["track_name"].alias("name"),
         track["type"].alias("type"),
         track["codec"].alias("codec"),
-        F.coalesce(language(p["language_ietf"]), language(p["language"])).alias("language"),
+        told_language(p["track_name"], expected).alias("language"),
         F.when(F.coalesce(p["enabled_track"], F.lit(False)), F.lit(None)).otherwise(True).alias("disabled"),
         F.when(p["default_track"], True).alias("default"),
         *(said(v).alias(k) for k, v in NAMES.items()),
+        F.nullif(F.regexp_extract(p["track_name"], VERSION, 1), F.lit("")).alias("version"),
     )
 
 

@@ -5,6 +5,10 @@ A recogniser takes (page, options) and returns rows (level, page_num, block_num,
 
 from __future__ import annotations
 
+import os
+import re
+import struct
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -12,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from glyphstream.sources.files import local
+
 #: Page border, width limits, first confidence, its step, share that counts as no progress, and the size of a last pass.
 BORDER, MIN_WIDTH, MAX_WIDTH = 100, 10 * 1024, 31 * 1024
 CONFIDENCE, STEP, STAGNANT, FINAL_BELOW = 65, 5, 0.8, 20
@@ -25,6 +31,8 @@ class OcrOptions:
     oem: int = 1
     psm: int = 6
     language: str | None = None
+    #: A folder, mounted on the workers, for each pass's page (PNG) and words (JSON).
+    keep: str | None = None
 
     @property
     def start_confidence(self) -> int:
@@ -91,36 +99,74 @@ def page(items: pd.DataFrame, places: pd.DataFrame, shape: tuple[int, int]) -> n
 ORDER = ["page_num", "block_num", "par_num", "line_num", "word_num"]
 
 
+def inside(y: np.ndarray, x: np.ndarray, places: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(place, point) for the points (y, x) in the places (y0, x0, y1, x1), edges included; by place, then in the points' order.
+
+    Points are sorted by y once; of each place only those between its top and bottom are looked at.
+    """
+    order = np.argsort(y, kind="stable")
+    rows = y[order]
+    first, last = np.searchsorted(rows, places["y0"].to_numpy(), "left"), np.searchsorted(rows, places["y1"].to_numpy(), "right")
+    found = []
+    for k, (a, b, x0, x1) in enumerate(zip(first.tolist(), last.tolist(), places["x0"].tolist(), places["x1"].tolist())):
+        at = order[a:b]
+        at = np.sort(at[(x[at] >= x0) & (x[at] <= x1)])
+        found.append((np.full(len(at), k), at))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
 def accept(words: pd.DataFrame, places: pd.DataFrame, confidence: int) -> list[str | None]:
-    """The text of each place, or None to try again: a word below the confidence must occur on the page with enough of it."""
+    """The text of each place (y0, x0, y1, x1), or None to try again: a word below the confidence must occur on the page with enough of it."""
+    places = places.set_axis(["y0", "x0", "y1", "x1"], axis=1)
     words = words.assign(conf=words["conf"].astype(float).astype(int)).sort_values(ORDER, kind="stable")
     known = set(words.loc[(words["conf"] >= confidence) & (words["text"] != ""), "text"])
     words = words[words["level"] == WORD_LEVEL]
-    mid_y, mid_x = words["top"] + words["height"] // 2, words["left"] + words["width"] // 2
-    out: list[str | None] = []
-    for y0, x0, y1, x1 in places.itertuples(index=False):
-        own = words[(mid_y >= y0) & (mid_y <= y1) & (mid_x >= x0) & (mid_x <= x1)]
-        if ((own["conf"] < confidence) & ~own["text"].isin(known)).any():
-            out.append(None)
-        else:
-            lines = own.groupby(ORDER[:4], sort=False)["text"].agg(" ".join)
-            out.append("\n".join(lines).strip())
-    return out
+    at, of = inside((words["top"] + words["height"] // 2).to_numpy(), (words["left"] + words["width"] // 2).to_numpy(), places)
+    hit = words.iloc[of]
+    unsure = ((hit["conf"] < confidence) & ~hit["text"].isin(known)).to_numpy()
+    again = set(at[unsure].tolist())
+    lines: list[list[list[str]]] = [[] for _ in range(len(places))]
+    last = [None] * len(places)
+    for k, line, text in zip(at.tolist(), zip(*(hit[c].tolist() for c in ORDER[:4])), hit["text"].tolist()):
+        if last[k] != line:
+            lines[k].append([])
+            last[k] = line
+        lines[k][-1].append(text)
+    return [None if k in again else "\n".join(" ".join(x) for x in own).strip() for k, own in enumerate(lines)]
+
+
+PLACES = "place long, y0 long, x0 long, y1 long, x1 long"
+
 
+def accepted(words: DataFrame, places: DataFrame, page: str, confidence: int) -> DataFrame:
+    """(page, place, text) of places (page, place, y0, x0, y1, x1) on pages of words (page, and the recogniser's columns); null text: not accepted."""
 
-def cascade(items: pd.DataFrame, recognise: Callable, options: OcrOptions) -> pd.DataFrame:
+    def one(key, w: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        got = accept(w, p[["y0", "x0", "y1", "x1"]], confidence) if len(p) else []
+        return pd.DataFrame({"page": [key[0]] * len(p), "place": p["place"], "text": pd.Series(got, index=p.index, dtype=object)})
+
+    kind = places.schema[page].dataType.simpleString()
+    return words.groupBy(page).cogroup(places.groupBy(page)).applyInPandas(one, f"page {kind}, place long, text string").withColumnRenamed("page", page)
+
+
+def cascade(items: pd.DataFrame, recognise: Callable, options: OcrOptions, name: str = "track") -> pd.DataFrame:
     """items (item_id, y, x, h, w, pixels) with text (null: never accepted) and the number of the pass that accepted it."""
     out = items.drop(columns="pixels").assign(text=None, passed=0)
     if items.empty:
         return out
     gap, confidence, width = gaps(items["h"]), options.start_confidence, options.page_width
     left = np.arange(len(items))
-    cap = -(-options.start_confidence // STEP) + int(np.ceil(np.log(max(len(items), 20) / 20) / np.log(1 / STAGNANT))) + 3
-    final = False
-    for k in range(1, cap + 1):
+    # Every pass either leaves at most STAGNANT of its items, or lowers the confidence; at 0 a pass accepts all.
+    final, k = False, 0
+    while True:
+        k += 1
         now = items.iloc[left]
         places, shape = layout(now, gap, width)
-        texts = accept(recognise(page(now, places, shape), options), places, confidence)
+        sheet = page(now, places, shape)
+        words = recognise(sheet, options)
+        if options.keep:
+            kept(options, name, f"{k}-{len(now)}-{options.psm}-{options.oem}-{confidence}", sheet, words)
+        texts = accept(words, places, confidence)
         done = np.array([t is not None for t in texts])
         out.iloc[left[done], out.columns.get_loc("text")] = [t for t in texts if t is not None]
         out.iloc[left[done], out.columns.get_loc("passed")] = k
@@ -135,7 +181,24 @@ def cascade(items: pd.DataFrame, recognise: Callable, options: OcrOptions) -> pd
     return out
 
 
-SUBTITLES = "track_id string, item_id long, start_ms long, end_ms long, text string, passed int, error string"
+def png(sheet: np.ndarray) -> bytes:
+    """A page as a grey PNG file."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.zeros((sheet.shape[0], sheet.shape[1] + 1), np.uint8)
+    rows[:, 1:] = sheet
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", sheet.shape[1], sheet.shape[0], 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes(), 1)) + part(b"IEND", b"")
+
+
+def kept(options: OcrOptions, name: str, what: str, sheet: np.ndarray, words: pd.DataFrame) -> None:
+    """Write a pass's page and words to the folder options.keep."""
+    at = os.path.join(local(options.keep), re.sub(r"[^\w.-]+", "_", local(name)).strip("_"))
+    os.makedirs(at, exist_ok=True)
+    with open(os.path.join(at, f"{what}.png"), "wb") as f:
+        f.write(png(sheet))
+    words.to_json(os.path.join(at, f"{what}.json"), orient="records")
+
+
+SUBTITLES = "track_id string, item_id long, start_ms long, end_ms long, text string, passed int, error string, language string"
 
 
 def recognised(decoded: DataFrame, recognise: Callable, options: OcrOptions = OcrOptions()) -> DataFrame:
@@ -147,15 +210,16 @@ def recognised(decoded: DataFrame, recognise: Callable, options: OcrOptions = Oc
     def track(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id").reset_index(drop=True)
         good = pdf[pdf["error"].isna() & (pdf["height"] > 0)].reset_index(drop=True)
-        out = pdf[["track_id", "item_id", "start_ms", "end_ms"]].assign(text=None, passed=0, error=pdf["error"])
+        out = pdf[["track_id", "item_id", "start_ms", "end_ms"]].assign(text=None, passed=0, error=pdf["error"], language=pdf["language"] if "language" in pdf else None)
         told = replace(options, language=pdf["language"].iloc[0]) if "language" in pdf else options
         try:
-            got = cascade(good[["item_id", "y_offset", "x_offset", "height", "width", "pixels"]].set_axis(["item_id", "y", "x", "h", "w", "pixels"], axis=1).astype({"h": int, "w": int}), recognise, told)
+            got = cascade(good[["item_id", "y_offset", "x_offset", "height", "width", "pixels"]].set_axis(["item_id", "y", "x", "h", "w", "pixels"], axis=1).astype({"h": int, "w": int}), recognise, told, pdf["track_id"].iloc[0])
             found = got.set_index("item_id")
             out["text"] = out["item_id"].map(found["text"])
             out["passed"] = out["item_id"].map(found["passed"]).fillna(0).astype(int)
         except Exception as e:  # one track's failure must not end the others' job; it is reported in its rows
             out["error"] = f"{type(e).__name__}: {e}"
-        return out
+        # Strings as plain objects: columns of several pieces don't go back to Arrow.
+        return out.astype(dict.fromkeys(("track_id", "text", "error", "language"), object))
 
     return decoded.groupBy("track_id").applyInPandas(track, SUBTITLES)

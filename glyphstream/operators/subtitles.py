@@ -3,46 +3,85 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.functions.srt import apply_rules, srt_block
+from glyphstream.functions.srt import apply_rules, chosen, srt_block  # noqa: F401 (chosen is used by callers)
 from glyphstream.sources.files import local
 
 
-def subtitles(recognised: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
-    """(track_id, idx, start_ms, end_ms, text): cleaned, without empty ones, numbered by time from 1."""
-    d = recognised.where("text IS NOT NULL").withColumn("text", F.trim(apply_rules(F.col("text"), list(rules)))).where("text <> ''")
-    w = Window.partitionBy("track_id").orderBy("start_ms", "end_ms", "item_id")
-    return d.select("track_id", F.row_number().over(w).alias("idx"), "start_ms", "end_ms", "text")
+def _numbered(recognised: DataFrame, rules: Iterable) -> DataFrame:
+    """recognised with text cleaned and idx, a subtitle's place by time from 1; idx is null for rows without text."""
+    language = F.col("language") if "language" in recognised.columns else None
+    d = recognised.withColumn("text", F.nullif(F.trim(apply_rules(F.col("text"), rules, language)), F.lit("")))
+    w = Window.partitionBy("track_id").orderBy(F.col("text").isNull(), "start_ms", "end_ms", "item_id")
+    return d.withColumn("idx", F.when(F.col("text").isNotNull(), F.row_number().over(w)))
+
+
+def subtitles(recognised: DataFrame, rules: Iterable = ()) -> DataFrame:
+    """(track_id, idx, start_ms, end_ms, text): cleaned, without empty ones, numbered by time from 1. Rules with languages need a column language."""
+    return _numbered(recognised, rules).where("idx IS NOT NULL").select("track_id", "idx", "start_ms", "end_ms", "text")
+
+
+def _srt(idx: Column) -> Column:
+    blocks = F.array_sort(F.collect_list(F.when(idx.isNotNull(), F.struct(idx.alias("idx"), srt_block(idx, F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("b")))))
+    return F.array_join(F.transform(blocks, lambda x: x["b"]), "\n")
 
 
 def documents(subs: DataFrame) -> DataFrame:
     """(track_id, srt): each track's whole SRT file."""
-    blocks = F.array_sort(F.collect_list(F.struct("idx", srt_block(F.col("idx"), F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("b"))))
-    return subs.groupBy("track_id").agg(F.array_join(F.transform(blocks, lambda x: x["b"]), "\n").alias("srt"))
+    return subs.groupBy("track_id").agg(_srt(F.col("idx")).alias("srt"))
+
 
+def texts(recognised: DataFrame, rules: Iterable = ()) -> DataFrame:
+    """(track_id, srt, error): each track's whole SRT file, empty if none of its items has a text; null with the error of any of its items."""
+    made = _numbered(recognised, rules).groupBy("track_id").agg(_srt(F.col("idx")).alias("srt"), F.min("error").alias("error"))
+    return made.select("track_id", F.when(F.col("error").isNull(), F.col("srt")).alias("srt"), "error")
 
-def write_files(docs: DataFrame, path: str = "srt_path", encoding: str = "utf-8") -> DataFrame:
-    """(path, error) after writing docs (srt_path, srt) to the paths named, each by rename from a name of its own, so that retries are safe.
 
-    Paths are on a file system that the workers mount.
+def write_files(docs: DataFrame, path: str = "srt_path", encoding: str = "utf-8", overwrite: bool = True) -> DataFrame:
+    """(path, error, written) after writing docs (srt_path, srt[, error]) to the paths named, each by rename from a name of its own, so that retries are safe.
+
+    Rows without srt, or with an error, aren't written and keep their error; nor, without overwrite, is a file that has come to be since it was looked
+    for. Paths are mounted on the workers, or on a file system that their scheme names.
     """
     import pyarrow as pa
 
+    def put(at: str, data: bytes) -> bool:
+        tmp = f"{at}.{os.getpid()}.tmp"
+        if "://" in at and not at.startswith("file:"):
+            from pyarrow import fs
+
+            system, name = fs.FileSystem.from_uri(at)
+            if not overwrite and system.get_file_info(name).type != fs.FileType.NotFound:
+                return False
+            other = f"{name}.{os.getpid()}.tmp"
+            with system.open_output_stream(other) as f:
+                f.write(data)
+            system.move(other, name)
+            return True
+        if not overwrite and os.path.exists(local(at)):
+            return False
+        with open(local(tmp), "wb") as f:
+            f.write(data)
+        os.replace(local(tmp), local(at))
+        return True
+
     def run(batches):
         for b in batches:
             out = []
-            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    tmp = f"{local(at)}.{os.getpid()}.tmp"
-                    with open(tmp, "w", encoding=encoding, newline="") as f:
-                        f.write(text)
-                    os.replace(tmp, local(at))
-                    out.append((at, None))
-                except (OSError, UnicodeError) as e:
-                    out.append((at, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())], names=["path", "error"])
-
-    return docs.select(path, "srt").mapInArrow(run, "path string, error string")
+            for at, text, error in zip(*(c.to_pylist() for c in b.columns)):
+                done = False
+                if error is None and text is not None:
+                    try:
+                        done = put(at, text.encode(encoding))
+                    except (OSError, UnicodeError) as e:
+                        error = str(e)
+                out.append((at, error, done))
+            kinds = (pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["path", "error", "written"])
+
+    error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string").alias("error")
+    return docs.select(path, "srt", error).mapInArrow(run, "path string, error string, written boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from glyphstream.sources.iso639 import ALPHA3
 
 GLOB = "*.{[sS][uU][pP],[mM][kK][vVsS]}"
+#: Folders of raw streams that the driver lists; beyond that many the workers open the files.
+MOST_FOLDERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -20,17 +23,41 @@ class ScanOptions:
     age: timedelta | None = None
     srt_age: timedelta | None = None
     overwrite: bool = False
-    one_per_lang: bool = False
+    one_per_lang: bool = True
     now: datetime | None = None
 
 
 def language(code: Column) -> Column:
-    """Canonical IETF tag of a code (two or three letters, region optional), null if unknown."""
-    low, region = F.lower(F.element_at(F.split(code, "[-_]"), 1)), F.upper(F.try_element_at(F.split(code, "[-_]"), F.lit(2)))
-    known = ",".join(":".join(pair) for pair in (ALPHA3 | {v: v for v in ALPHA3.values()}).items())
-    table = F.str_to_map(F.lit(known), F.lit(","), F.lit(":"))  # a constant
-    base = F.try_element_at(table, low)
-    return F.when(region.isNull(), base).when(region.rlike("^([A-Z]{2}|[0-9]{3})$"), F.concat(base, F.lit("-"), region))
+    """Canonical IETF tag of a code (two or three letters, then a script of four letters and a region, each optional), null if unknown."""
+    two = {k: v for k, v in ALPHA3.items() if len(v) == 2}
+    table = F.str_to_map(F.lit(",".join(":".join(pair) for pair in (two | {v: v for v in two.values()}).items())), F.lit(","), F.lit(":"))  # a constant
+    others = F.lit(" " + " ".join(k for k, v in ALPHA3.items() if len(v) == 3) + " ")
+    whole = "^([A-Za-z]{2,3})(?:[-_]([A-Za-z]{4}))?(?:[-_]([A-Za-z]{2}|[0-9]{3}))?$"
+    # Bound once: the table is a long expression.
+    part = F.struct(*(F.regexp_extract(code, whole, k).alias(n) for k, n in enumerate(("base", "script", "region"), 1)))
+
+    def tag(x):
+        low = F.lower(x["base"])
+        base = F.coalesce(F.try_element_at(table, low), F.when((F.length(low) == 3) & (F.instr(others, F.concat(F.lit(" "), low, F.lit(" "))) > 0), low))
+        more = lambda text: F.when(text != "", F.concat(F.lit("-"), text)).otherwise("")
+        return F.concat(base, more(F.initcap(x["script"])), more(F.upper(x["region"])))
+
+    return F.element_at(F.transform(F.array(part), tag), 1)
+
+
+def matches(options: ScanOptions, made: Column, languages: Column) -> Column:
+    """Is a file new enough, and is one of its languages (an array) asked for? Files without a known language match only where none is."""
+    keep = F.lit(True)
+    if options.age is not None:
+        keep = age(made, options) <= F.expr(f"INTERVAL {int(options.age.total_seconds())} SECONDS")
+    if options.languages:
+        keep &= F.coalesce(F.arrays_overlap(languages, F.array(*map(F.lit, sorted(options.languages)))), F.lit(False))
+    return keep
+
+
+def age(made: Column, options: ScanOptions = ScanOptions()) -> Column:
+    """Time since a file was changed."""
+    return (F.lit(options.now) if options.now else F.current_timestamp()) - made
 
 
 def path_parts(path: Column) -> Column:
@@ -49,9 +76,9 @@ def render(parts: Column, extension: str | None = None, number: Column | None =
 
 
 def scan(spark: SparkSession, roots: list[str], options: ScanOptions = ScanOptions()) -> DataFrame:
-    """(path, modificationTime, length, parts, status): collected, filtered_out, or discarded (roots that aren't there).
+    """(path, modificationTime, length, parts, languages, status, age, file_exists): status is collected, filtered_out, or discarded (roots that aren't there).
 
-    Age and languages are filters; for Matroska the languages are those of its tracks, so its files pass here and are judged by selected_tracks().
+    Age and languages are filters; a container's languages are those of its tracks, which api.scan_path() reads, so here only its age counts.
     """
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -65,14 +92,13 @@ def scan(spark: SparkSession, roots: list[str], options: ScanOptions = ScanOptio
     if found is None:
         found = none.where("false")
     d = found.withColumn("parts", path_parts(F.col("path")))
-    keep = F.lit(True)
-    if options.age is not None:
-        now = F.lit(options.now) if options.now else F.current_timestamp()
-        keep &= F.col("modificationTime") >= now - F.expr(f"INTERVAL {int(options.age.total_seconds())} SECONDS")
-    if options.languages:
-        keep &= (F.col("parts.extension") != "sup") | F.coalesce(F.col("parts.language").isin(*options.languages), F.lit(False))
+    own = F.when(F.col("parts.language").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array("parts.language"))
+    d = d.withColumn("languages", F.when(F.col("parts.extension") == "sup", own))
+    anyhow = ScanOptions(age=options.age, now=options.now)
+    keep = F.when(F.col("languages").isNull(), matches(anyhow, F.col("modificationTime"), F.col("languages"))).otherwise(matches(options, F.col("modificationTime"), F.col("languages")))
     d = d.withColumn("status", F.when(keep, "collected").otherwise("filtered_out"))
-    return d.unionByName(none.withColumn("parts", path_parts(F.col("path"))).withColumn("status", F.lit("discarded")))
+    gone = none.withColumn("parts", path_parts(F.col("path"))).withColumn("languages", F.lit(None).cast("array<string>")).withColumn("status", F.lit("discarded"))
+    return d.unionByName(gone).withColumns({"age": age(F.col("modificationTime"), options), "file_exists": F.col("modificationTime").isNotNull()})
 
 
 def made(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -104,5 +130,29 @@ def not_ripped(tracks: DataFrame, existing: DataFrame, options: ScanOptions = Sc
     return d.where(F.col("_made").isNull() | again).drop("_made")
 
 
+def escaped(path: str) -> str:
+    """A path whose pattern characters a reader takes as they are."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def opened(paths: DataFrame) -> DataFrame:
+    """(path, content, error) of paths (path), each read by a worker."""
+    import pyarrow as pa
+
+    from glyphstream.sources.matroska import opened as reader
+
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    with reader(path) as f:
+                        content, error = f.read(), None
+                except OSError as e:
+                    content, error = None, f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return paths.select("path").mapInArrow(run, "path string, content binary, error string")
+
+
 def local(path: str) -> str:
     return os.path.normpath(path.removeprefix("file://").removeprefix("file:"))

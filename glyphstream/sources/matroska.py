@@ -26,7 +26,7 @@ NUMBER, TYPE, CODEC_ID, NAME, LANGUAGE, LANGUAGE_BCP47 = 0xD7, 0x83, 0x86, 0x536
 ENABLED, DEFAULT, FORCED = 0xB9, 0x88, 0x55AA
 ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
 KINDS = {1: "video", 2: "audio", 17: "subtitles"}
-LACING = 0x06
+LACING, XIPH, FIXED, EBML = 0x06, 0x02, 0x04, 0x06
 PGS_CODEC, PGS_NAME = "S_HDMV/PGS", "HDMV PGS"
 ZLIB, BZLIB, STRIPPED = 0, 1, 3
 DEFAULT_SCALE = 1_000_000
@@ -134,8 +134,46 @@ def _with_headers(frame: bytes, ticks: int) -> bytes:
     return b"".join(out)
 
 
+def _number(data: bytes, at: int) -> tuple[int, int, int]:
+    """(value, bytes used, value of all ones) of a variable-length number."""
+    if at >= len(data) or not data[at]:
+        raise ValueError("a laced block is cut short")
+    used = 9 - data[at].bit_length()
+    ones = (1 << 7 * used) - 1
+    return int.from_bytes(data[at : at + used], "big") & ones, used, ones
+
+
+def frames(data: bytes, lacing: int) -> list[bytes]:
+    """The frames of a block's content: one without lacing; else a count less one, and the sizes of all but the last (Xiph's and EBML's), or equal ones."""
+    if not lacing:
+        return [data]
+    if not data:
+        raise ValueError("a laced block is cut short")
+    n, at, sizes = data[0] + 1, 1, []
+    if lacing == FIXED:
+        if (len(data) - 1) % n:
+            raise ValueError("a block's frames aren't of one size")
+        sizes = [(len(data) - 1) // n] * (n - 1)
+    for k in range(n - 1 if lacing != FIXED else 0):
+        if lacing == XIPH:
+            end = next((i for i in range(at, len(data)) if data[i] != 255), len(data) - 1)
+            sizes.append(sum(data[at : end + 1]))
+            at = end + 1
+        else:
+            value, used, ones = _number(data, at)
+            sizes.append(value if k == 0 else sizes[-1] + value - (ones >> 1))
+            at += used
+    if min(sizes, default=0) < 0 or at + sum(sizes) > len(data):
+        raise ValueError("a laced block is cut short")
+    out = []
+    for size in sizes:
+        out.append(data[at : at + size])
+        at += size
+    return [*out, data[at:]]
+
+
 def streams(f: BinaryIO, wanted: set[int]) -> dict[int, bytes]:
-    """Raw stream of each wanted track (by identifier) in one walk; ValueError for laced or encrypted blocks."""
+    """Raw stream of each wanted track (by identifier) in one walk; the frames of a laced block share its time. ValueError for encrypted blocks."""
     of: dict[int, tuple[int, list]] = {}
     out: dict[int, list[bytes]] = {k: [] for k in wanted}
     scale, base = DEFAULT_SCALE, 0
@@ -154,11 +192,10 @@ def streams(f: BinaryIO, wanted: set[int]) -> dict[int, bytes]:
             number = int.from_bytes(head[: more + 1], "big") & (1 << 7 * (more + 1)) - 1
             if number not in of:
                 continue
-            if head[-1] & LACING:
-                raise ValueError("a laced subtitle block")
             track, encodings = of[number]
             at = base + int.from_bytes(head[more + 1 : more + 3], "big", signed=True)
-            out[track].append(_with_headers(_unpacked(f.read(size - len(head)), encodings), max(at, 0) * scale * 9 // 100_000))
+            for frame in frames(f.read(size - len(head)), head[-1] & LACING):
+                out[track].append(_with_headers(_unpacked(frame, encodings), max(at, 0) * scale * 9 // 100_000))
     return {k: b"".join(v) for k, v in out.items()}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import rle
@@ -24,7 +24,8 @@ SEGMENTS = "track_id string, seq int, byte_offset long, stype int, pts long, dts
 def split(content: bytes, strict: bool = False):
     """(offset, type, pts, dts, size, payload, error) of each segment, by one cursor.
 
-    Reading stops at the first bytes that aren't a segment; a short last payload is kept. An unknown type is an error row, or ValueError if strict.
+    Reading stops at the first bytes that aren't a segment; a short last payload is kept. An unknown type is an error row, the last one, as the rest of
+    the stream can't be trusted; ValueError if strict.
     """
     at = 0
     while at + HEADER <= len(content) and content[at : at + 2] == b"PG":
@@ -34,22 +35,42 @@ def split(content: bytes, strict: bool = False):
         if error and strict:
             raise ValueError(error)
         yield at, kind, number(2, 6), number(6, 10), size, content[at + HEADER : at + HEADER + size], error
+        if error:
+            return
         at += HEADER + size
 
 
+def encoded(kind: int, pts: int, payload: bytes, dts: int = 0) -> bytes:
+    """A segment's bytes."""
+    return b"PG" + pts.to_bytes(4, "big") + dts.to_bytes(4, "big") + bytes([kind]) + len(payload).to_bytes(2, "big") + payload
+
+
+def display_set(pts: int, state: int, number: int, x: int, y: int, image: bytes | None = None, palette: dict[int, int] | None = None, windows: int = 1) -> bytes:
+    """The bytes of a whole display set: composition, one window, and with an image its palette (luma by entry) and object."""
+    two = lambda n: n.to_bytes(2, "big")
+    out = [encoded(0x16, pts, two(1920) + two(1080) + b"\x10" + two(number) + bytes([state, 0, 0, 0])), encoded(0x17, pts, bytes([windows, 0]) + two(x) + two(y) + two(2) + two(2))]
+    if image is not None:
+        out.append(encoded(0x14, pts, b"\0\0" + b"".join(bytes([k, v, 128, 128, 255]) for k, v in (palette or {}).items())))
+        out.append(encoded(0x15, pts, two(0) + b"\0\xc0" + (len(image) + 4).to_bytes(3, "big") + two(2) + two(2) + image))
+    return b"".join([*out, encoded(0x80, pts, b"")])
+
+
 def segments(tracks: DataFrame, strict: bool = False) -> DataFrame:
-    """SEGMENTS of tracks (track_id, content); null content has none."""
+    """SEGMENTS of tracks (track_id, content[, error]); null content has none, or the error as its one row."""
 
     def run(batches):
         names = [c.split()[0] for c in SEGMENTS.split(", ")]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
         for b in batches:
-            for track, content in zip(b.column(0), b.column(1)):
+            for track, content, error in zip(b.column(0), b.column(1), b.column(2)):
                 rows = [(track.as_py(), k, *x) for k, x in enumerate(split(content.as_py() or b"", strict))]
+                if error.as_py() is not None:
+                    rows.append((track.as_py(), len(rows), None, None, None, None, None, None, error.as_py()))
                 for k in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000]), kinds)], names=names)
 
-    return tracks.select(F.col("track_id").cast("string"), F.col("content").cast("binary")).mapInArrow(run, SEGMENTS)
+    error = F.col("error").cast("string") if "error" in tracks.columns else F.lit(None).cast("string").alias("error")
+    return tracks.select(F.col("track_id").cast("string"), F.col("content").cast("binary"), error).mapInArrow(run, SEGMENTS)
 
 
 def _named(code: Column, names: dict[int, str]) -> Column:
@@ -74,10 +95,11 @@ def with_headers(segs: DataFrame) -> DataFrame:
 
 
 def display_sets(segs: DataFrame) -> DataFrame:
-    """Segments with headers and ds_index; those after a track's last END, and error rows, are left out."""
-    d = timeline.end_delimited(with_headers(segs.where("error IS NULL")), ["track_id"], ["seq"], F.col("stype") == 0x80)
-    ends = d.where("stype = 128").select("track_id", "ds_index")
-    return d.join(ends, ["track_id", "ds_index"], "left_semi")
+    """Segments with headers and ds_index; those after a track's last END are left out, but for a row that tells why reading ended."""
+    ended = F.coalesce(F.col("stype") == 0x80, F.lit(False)) & F.col("error").isNull()
+    d = timeline.end_delimited(with_headers(segs), ["track_id"], ["seq"], ended)
+    whole = F.max(ended).over(Window.partitionBy("track_id", "ds_index"))
+    return d.withColumn("_whole", whole).where("_whole OR error IS NOT NULL").drop("_whole")
 
 
 def display_set_report(sets: DataFrame) -> DataFrame:
@@ -97,20 +119,38 @@ def items(sets: DataFrame, zero_is_null: bool = False) -> DataFrame:
     """Timed items (track_id, item_id, start_ms, end_ms, x_offset, y_offset, image_data, palette): one for each epoch, ends repaired.
 
     A set begins an item if its composition is an epoch start or an acquisition point. The image is that of the item's first such set: all its object
-    data joined, and its first palette. Items without image, offsets or start, and those whose end can't be repaired, are dropped.
+    data joined, and its first palette. Items without image, offsets or start, and those whose end can't be repaired, are dropped (rejected() tells them). A
+    track that can't be read to its end, or that has a composition of no known state, has an item with its error, so that it isn't taken for whole.
     """
+    d = _candidates(sets, zero_is_null)
+    fixed = timeline.repair_ends(d.where("error IS NULL"), ["track_id"], "item_id", "start_ms", "end_ms", F.lit(REPAIR_MS), F.lit(1))
+    good = fixed.where("image IS NOT NULL AND x_offset IS NOT NULL AND y_offset IS NOT NULL")
+    return good.unionByName(d.where("error IS NOT NULL")).select("track_id", "item_id", "start_ms", "end_ms", "x_offset", "y_offset", "image.image_data", "image.palette", "error")
+
+
+def rejected(sets: DataFrame, zero_is_null: bool = False) -> DataFrame:
+    """(track_id, item_id, start_ms, reason) of what items() drops."""
+    d = _candidates(sets, zero_is_null).where("error IS NULL")
+    d = d.withColumn("next_ms", F.lead("start_ms").over(Window.partitionBy("track_id").orderBy("item_id")))
+    open_end = ~F.coalesce(F.col("end_ms") > F.col("start_ms"), F.lit(False)) & ~F.coalesce(F.col("start_ms") + REPAIR_MS >= F.col("next_ms"), F.lit(False))
+    reason = F.when(F.col("image").isNull(), "no image").when(F.col("x_offset").isNull() | F.col("y_offset").isNull(), "no place").when(F.col("start_ms").isNull(), "no start").when(open_end, "no end")
+    return d.select("track_id", "item_id", "start_ms", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _candidates(sets: DataFrame, zero_is_null: bool) -> DataFrame:
+    """All items, whole or not: (track_id, item_id, start_ms, end_ms, x_offset, y_offset, image, error)."""
+    known = F.col("pcs.state").isin(*STATES)
+    wrong = F.when((F.col("stype") == 0x16) & ~F.coalesce(known, F.lit(False)), "a composition of no known state")
     starts = F.coalesce(F.col("pcs.state").isin(0x80, 0x40), F.lit(False))
-    kept = {"pts": F.col("pts"), "begins": starts, "pcs": F.col("stype") == 0x16, "wds": F.col("wds"), "data": F.col("ods.img_data"), "pal": F.when(F.col("stype") == 0x14, F.col("payload"))}
+    kept = {"pts": F.col("pts"), "begins": starts, "pcs": F.col("stype") == 0x16, "wds": F.col("wds"), "data": F.col("ods.img_data"), "pal": F.when(F.col("stype") == 0x14, F.col("payload")), "error": F.coalesce(F.col("error"), wrong)}
     s = sets.select("track_id", "ds_index", "seq", *(c.alias(k) for k, c in kept.items()))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("seq", c.alias("v"))))), lambda x: x["v"])
-    ds = s.groupBy("track_id", "ds_index").agg(F.min_by(F.when(F.col("pcs"), F.col("pts")), F.when(F.col("pcs"), F.col("seq"))).alias("pts"), F.max("begins").alias("begins"), F.min_by("wds", F.when(F.col("wds").isNotNull(), F.col("seq"))).alias("wds"), in_order(F.col("data")).alias("data"), F.min_by("pal", F.when(F.col("pal").isNotNull(), F.col("seq"))).alias("pal"))
+    ds = s.groupBy("track_id", "ds_index").agg(F.min_by(F.when(F.col("pcs"), F.col("pts")), F.when(F.col("pcs"), F.col("seq"))).alias("pts"), F.max("begins").alias("begins"), F.min_by("wds", F.when(F.col("wds").isNotNull(), F.col("seq"))).alias("wds"), in_order(F.col("data")).alias("data"), F.min_by("pal", F.when(F.col("pal").isNotNull(), F.col("seq"))).alias("pal"), F.min("error").alias("error"))
     g = timeline.start_delimited(ds, ["track_id"], ["ds_index"], F.col("begins"))
     first = F.min_by(F.struct(F.aggregate("data", F.expr("X''"), lambda a, x: F.concat(a, x)).alias("image_data"), F.col("pal").alias("palette")), F.when(F.col("begins"), F.col("ds_index")))
     seen = F.col("wds.num_windows") > 0
     ms = ticks_to_ms(F.col("pts"), zero_is_null)
-    out = g.groupBy("track_id", "item_id").agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.min(F.when(seen, F.col("wds.x_offset"))).alias("x_offset"), F.min(F.when(seen, F.col("wds.y_offset"))).alias("y_offset"), first.alias("image"))
-    fixed = timeline.repair_ends(out, ["track_id"], "item_id", "start_ms", "end_ms", F.lit(REPAIR_MS), F.lit(1))
-    return fixed.where("image IS NOT NULL AND x_offset IS NOT NULL AND y_offset IS NOT NULL").select("track_id", "item_id", "start_ms", "end_ms", "x_offset", "y_offset", "image.image_data", "image.palette")
+    return g.groupBy("track_id", "item_id").agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.min(F.when(seen, F.col("wds.x_offset"))).alias("x_offset"), F.min(F.when(seen, F.col("wds.y_offset"))).alias("y_offset"), first.alias("image"), F.min("error").alias("error"))
 
 
 def decode(timed: DataFrame) -> DataFrame:
@@ -119,7 +159,10 @@ def decode(timed: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for data, pal in zip(b.column("image_data"), b.column("palette")):
+            for data, pal, before in zip(b.column("image_data"), b.column("palette"), b.column("error")):
+                if before.as_py() is not None:
+                    rows.append((None, None, None, before.as_py()))
+                    continue
                 try:
                     if pal.as_py() is None and data.as_py():
                         raise ValueError("an image without a palette")
@@ -128,10 +171,10 @@ def decode(timed: DataFrame) -> DataFrame:
                 except ValueError as e:
                     rows.append((None, None, None, str(e)))
             added = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int32(), pa.int32(), pa.binary(), pa.string()])]
-            own = b.drop_columns(["image_data", "palette"])
+            own = b.drop_columns(["image_data", "palette", "error"])
             yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, "height", "width", "pixels", "error"])
 
-    kept = timed.drop("image_data", "palette")
+    kept = timed.drop("image_data", "palette", "error")
     return timed.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), "height int, width int, pixels binary, error string"]))
 
 

@@ -97,9 +97,113 @@ def test_paths_and_tracks(spark):
 
 
 def test_every_language_of_iso_639_is_known(spark):
-    codes = {"nob": "nb", "nb": "nb", "nno": "nn", "fas": "fa", "per": "fa", "msa": "ms", "may": "ms", "ben": "bn", "tam": "ta", "tel": "te", "urd": "ur", "mkd": "mk", "mac": "mk", "sqi": "sq", "alb": "sq", "bos": "bs", "wel": "cy", "yue": "yue", "fil": "fil", "mul": "mul", "yue-hk": "yue-HK", "und": None, "qqq": None, "zzz": None, "xx": None}
+    codes = {"zh-hant": "zh-Hant", "sr_latn_rs": "sr-Latn-RS", "zh-hant-tw-x": None, "en-gb": "en-GB", "es-419": "es-419", "en-xx1": None, "nob": "nb", "nb": "nb", "nno": "nn", "fas": "fa", "per": "fa", "msa": "ms", "may": "ms", "ben": "bn", "tam": "ta", "tel": "te", "urd": "ur", "mkd": "mk", "mac": "mk", "sqi": "sq", "alb": "sq", "bos": "bs", "wel": "cy", "yue": "yue", "fil": "fil", "mul": "mul", "yue-hk": "yue-HK", "und": None, "qqq": None, "zzz": None, "xx": None}
     made = [(f"/a/x.{code}.sup", json.dumps({"tracks": [{"id": 0, "type": "subtitles", "codec": "HDMV PGS", "properties": {"language": code, "enabled_track": True}}]})) for code in codes]
     d = spark.createDataFrame(made, "path string, json string")
     assert {r.path: r.language for r in d.select("path", files.path_parts(F.col("path"))["language"].alias("language")).collect()} == {f"/a/x.{k}.sup": v for k, v in codes.items()}
     got = {r.path: r.track.language for r in tracks.selected(tracks.parsed(d), "path").collect()}
     assert got == {f"/a/x.{k}.sup": v for k, v in codes.items() if v}
+
+
+PROPERTIES = ["language", "language_ietf", "track_name", "default_track", "enabled_track", "forced_track"]
+PGS, TRACKS = "HDMV PGS", []
+for kind, codec, ident, three, ietf, default in [
+    ("subtitles", PGS, 0, "eng", "en", False), ("video", "HEVC/H.265/MPEG-H", 0, "eng", "en", False), ("audio", "TrueHD Atmos", 1, "eng", "en", True), ("audio", "AC-3 Dolby Surround EX", 2, "eng", "en", False), ("audio", "AC-3", 3, "ger", "de", False),
+    ("audio", "DTS", 4, "por", "pt-BR", False), ("subtitles", PGS, 5, "eng", "en", False), ("subtitles", PGS, 6, "ger", "de", False), ("subtitles", PGS, 7, "por", "pt-BR", False),
+]:
+    TRACKS.append((kind, codec, ident, dict(zip(PROPERTIES, (three, ietf, None, default, True, False))), {"id": ident, "type": kind, "codec": codec, "language": ietf} | ({"default": True} if default else {})))
+
+
+def test_tracks_of_a_disc(spark):
+    made = [(k, json.dumps({"tracks": [{"id": ident, "type": kind, "codec": codec, "properties": {p: v for p, v in props.items() if v is not None} | {"uid": 6}}]})) for k, (kind, codec, ident, props, _) in enumerate(TRACKS)]
+    d = tracks.parsed(spark.createDataFrame(made, "k int, json string"))
+    got = {r.k: json.loads(r.track) for r in d.select("k", tracks.sparse_json(F.col("track")).alias("track")).collect()}
+    assert got == {k: want for k, (*_, want) in enumerate(TRACKS)}
+
+
+def test_names_of_tracks(spark):
+    names = {"English (Forced)": ("en", "forced"), "Brazilian Portuguese": ("pt-BR", None), "Portuguese": ("pt-BR", None), "SDH": ("pt-BR", "hearing_impaired"), "French External v2.1": ("fr", "external"), "Director commentary": ("pt-BR", "commentary"), "CC": ("pt-BR", "closed_caption"), "Traditional Chinese": ("zh-Hant", None), "Descriptive": ("pt-BR", "descriptive")}
+    made = [(n, json.dumps({"tracks": [{"id": 0, "type": "subtitles", "codec": PGS, "properties": {"language": "por", "language_ietf": "pt-BR", "track_name": n, "enabled_track": True}}]})) for n in names]
+    got = {r.n: r.track for r in tracks.parsed(spark.createDataFrame(made, "n string, json string")).collect()}
+    for n, (lang, flag) in names.items():
+        assert got[n].language == lang and [k for k in tracks.NAMES if got[n][k]] == ([flag] if flag else [])
+    assert got["French External v2.1"].version == "2.1" and got["CC"].version is None
+
+
+def test_selection_numbers_and_first_of_a_language(spark):
+    j = json.dumps({"tracks": [{"id": k, "type": "subtitles", "codec": PGS, "properties": {"language": lang, "enabled_track": on}} for k, (lang, on) in enumerate([("eng", False), ("eng", True), ("fre", True), ("eng", True), ("und", True)])]})
+    t = tracks.parsed(spark.createDataFrame([("f", j)], "path string, json string"))
+    chosen = lambda **kw: sorted((r.track.id, r.number) for r in tracks.selected(t, "path", files.ScanOptions(**kw)).collect())
+    assert chosen() == [(1, 0), (2, 0)] and chosen(one_per_lang=False) == [(1, 0), (2, 0), (3, 1)] and chosen(languages=frozenset({"fr"})) == [(2, 0)]
+
+
+def test_rules_by_tag_and_language(spark):
+    from glyphstream.functions.srt import Rule, apply_rules, chosen
+
+    rules = [("a", "1"), Rule("b", "2", languages=frozenset({"pt"})), Rule("c", "3", languages=frozenset({"pt-BR"})), Rule("d", "4", tags=frozenset({"x"}))]
+    assert [r.pattern for r in chosen(rules)] == ["a", "b", "c"] and [r.pattern for r in chosen(rules, ["x"])] == ["d"]
+    assert [r.pattern for r in chosen(rules, ["default", "x"], ["en"])] == ["a", "d"] and [r.pattern for r in chosen(rules, (), ["pt-PT"])] == ["a", "b"]
+    d = spark.createDataFrame([("abcd", lang) for lang in ("pt", "pt-BR", "en", None)], "t string, lang string")
+    assert [r[0] for r in d.select(apply_rules(F.col("t"), chosen(rules), F.col("lang"))).collect()] == ["12cd", "123d", "1bcd", "1bcd"]
+
+
+def test_runs_of_any_bytes():
+    """Against a walk byte by byte."""
+    rng = np.random.default_rng(7)
+    for n in [*range(8), 50, 400]:
+        for _ in range(40):
+            data = bytes(rng.choice([0, 0, 0, 1, 5, 0x40, 0x41, 0x80, 0x84, 0xC0, 0xC1, 255], n).astype(np.uint8))
+            padded, at, want = data + bytes(3), 0, []
+            while at < n:
+                if padded[at]:
+                    want.append((1, padded[at]))
+                    at += 1
+                    continue
+                f, size, used = padded[at + 1], padded[at + 1] & 0x3F, 2
+                if f & 0x40:
+                    size, used = size << 8 | padded[at + 2], 3
+                want.append((size, padded[at + used] if f & 0x80 else 0))
+                at += used + (f >= 0x80)
+            got = rle.runs(data)
+            assert list(zip(got[0].tolist(), got[1].tolist())) == want
+    lengths, colours = [1, 1, 63, 64, 300, 0, 5, 0], [7, 0, 2, 3, 0, 0, 9, 0]
+    assert [x.tolist() for x in rle.runs(rle.encode(lengths, colours))] == [lengths, colours]
+
+
+def test_inside_includes_edges_and_keeps_order():
+    y, x = np.array([5, 0, 10, 5, 11, 5]), np.array([5, 0, 10, -1, 5, 5])
+    places = pd.DataFrame([[0, 0, 10, 10], [5, 5, 5, 5], [20, 0, 30, 9]], columns=["y0", "x0", "y1", "x1"])
+    at, of = recognise.inside(y, x, places)
+    assert list(zip(at.tolist(), of.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 5), (1, 0), (1, 5)]
+    assert recognise.inside(y, x, places.iloc[:0])[0].tolist() == []
+
+
+def _cascade(remaining):
+    """Page widths, item counts and confidences of the passes when so many items are left after each."""
+    n = remaining[0]
+    items = pd.DataFrame({"item_id": range(n), "y": range(0, 2000 * n, 2000), "x": 0, "h": 2, "w": 40, "pixels": [b"\0" * 80] * n})
+    seen, left = [], iter(remaining[1:])
+
+    def words(sheet, options):
+        keep = next(left, 0)
+        places = recognise.layout(items.iloc[:keep], recognise.gaps([2]), 10**9) if keep else None
+        seen.append(sheet.shape)
+        rows = [dict(level=5, page_num=1, block_num=1, par_num=1, line_num=k, word_num=1, left=110, top=int(a), width=2, height=2, conf=1, text=f"w{k}") for k, a in enumerate(places[0]["y0"] if keep else [])]
+        return pd.DataFrame(rows, columns=["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"])
+
+    return recognise.cascade(items, words, recognise.OcrOptions()), seen
+
+
+def test_cascade_goes_on_to_a_last_pass_that_takes_all():
+    got, seen = _cascade([60, 45, 30, 10, 3])
+    assert len(seen) == 4 and (got["passed"] == [4] * 10 + [3] * 20 + [2] * 15 + [1] * 15).all() and got["text"].notna().all()
+    got, seen = _cascade([25, 0])
+    assert len(seen) == 1 and (got["passed"] == 1).all()
+
+
+def test_public_names():
+    import glyphstream
+
+    assert all(getattr(glyphstream, n) is not None for n in glyphstream.__all__) and files.ScanOptions().one_per_lang
+    with pytest.raises(AttributeError):
+        glyphstream.nothing
