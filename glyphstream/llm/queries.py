@@ -7,6 +7,7 @@ from glyphstream.llm.language import op2_language_crf
 from glyphstream.llm.mixing import op8_mixing
 from glyphstream.llm.nearest import op4_inverted_multi_index
 from glyphstream.llm.packing import op1_packing
+from glyphstream.llm.pieces import op12_sentencepiece
 from glyphstream.llm.quality import op6_co_training
 from glyphstream.llm.secrets import op7_secret_scans
 from glyphstream.llm.similar import op9_jaccard_join
@@ -14,7 +15,7 @@ from glyphstream.llm.substrings import op3_substring_dedup
 from glyphstream.llm.telephony import op5_telephony
 from glyphstream.llm.warc import op10_warc_fixity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity, op12_sentencepiece)}
 
 _SPLIT = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
