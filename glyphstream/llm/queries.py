@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphstream.llm import warc
 from glyphstream.llm.language import op2_language_crf
+from glyphstream.llm.lloyd import op13_delta_lloyd
 from glyphstream.llm.mixing import op8_mixing
 from glyphstream.llm.nearest import op4_inverted_multi_index
 from glyphstream.llm.packing import op1_packing
@@ -15,11 +16,29 @@ from glyphstream.llm.substrings import op3_substring_dedup
 from glyphstream.llm.telephony import op5_telephony
 from glyphstream.llm.warc import op10_warc_fixity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity, op12_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity, op12_sentencepiece, op13_delta_lloyd)}
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """Rounds of assignment and exact floors of means, one after another."""
+    out = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256(concat('1:', vec_id))) - 1 AS INTEGER) AS c, q FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(q) AS q, min(struct_pack(d := d, c := c)) AS m FROM (
+  SELECT vec_id, v.q, c, CAST(list_sum(list_transform(list_zip(v.q, k.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r} k) x GROUP BY vec_id)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(q) AS x, unnest(range(1, {dim + 1})) AS i FROM a{r}) x GROUP BY c, i),
+n{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN n{r} n USING (c))""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, m.c AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} k ON k.c = m.c"""
+
 
 _SPLIT = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
+    "op13_delta_lloyd": _lloyd_sql(),
     "op3_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_SPLIT.format(text="coalesce(text, '')")} AS ws FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM d),
