@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glyphstream.llm import warc
+from glyphstream.llm.erasure import op11_erasure
 from glyphstream.llm.language import op2_language_crf
 from glyphstream.llm.lloyd import op13_delta_lloyd
 from glyphstream.llm.mixing import op8_mixing
@@ -16,7 +17,7 @@ from glyphstream.llm.substrings import op3_substring_dedup
 from glyphstream.llm.telephony import op5_telephony
 from glyphstream.llm.warc import op10_warc_fixity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity, op12_sentencepiece, op13_delta_lloyd)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_crf, op3_substring_dedup, op4_inverted_multi_index, op5_telephony, op6_co_training, op7_secret_scans, op8_mixing, op9_jaccard_join, op10_warc_fixity, op11_erasure, op12_sentencepiece, op13_delta_lloyd)}
 
 def _lloyd_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
     """Rounds of assignment and exact floors of means, one after another."""
