@@ -27,13 +27,12 @@ def age(text: str) -> timedelta | None:
 
 def language(text: str) -> str:
     """The canonical tag of a code."""
-    from glyphstream.sources.files import ALPHA3
+    from glyphstream.sources.files import CODE, tag
 
-    m = re.fullmatch(r"([A-Za-z]{2,3})(?:[-_]([A-Za-z]{4}))?(?:[-_]([A-Za-z]{2}|\d{3}))?", text)
-    two = ALPHA3.get(m[1].lower(), m[1].lower()) if m else None
-    if two not in ALPHA3.values():
+    known = tag(text) if re.fullmatch(CODE, text) else None
+    if known is None:
         raise argparse.ArgumentTypeError(f"not a language: {text!r}")
-    return "-".join(x for x in (two, m[2] and m[2].title(), m[3] and m[3].upper()) if x)
+    return known
 
 
 def rules(path: str) -> list[Rule]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import tracks as metadata
 from glyphstream.operators import recognise, subtitles
-from glyphstream.sources import files, matroska, pgs
+from glyphstream.sources import containers, files, matroska, pgs
 
 CONTAINERS = ("mkv", "mks")
 
@@ -52,7 +52,7 @@ def unreadable(scanned: DataFrame) -> DataFrame:
 
 def contents(spark: SparkSession, chosen: DataFrame) -> DataFrame:
     """(track_id, content, error) of tracks(). Raw streams are read through the folders that hold them, whose files meet the tracks by path."""
-    boxed = matroska.demuxed(chosen.where("id IS NOT NULL")).select(F.concat_ws("#", "path", "id").alias("track_id"), "content", "error")
+    boxed = containers.demuxed(chosen.where("id IS NOT NULL")).select(F.concat_ws("#", "path", "id").alias("track_id"), "content", "error")
     plain = chosen.where("id IS NULL").select("path")
     folders = [r[0] for r in plain.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().limit(files.MOST_FOLDERS + 1).collect()]
     if not folders:

@@ -35,7 +35,7 @@ def described(track: Column) -> Column:
     """Struct of a track (SCHEMA): the IETF code wins over the three-letter one, the name over both; flags are true or null; forced is told by the name alone."""
     p = track["properties"]
     said = lambda pattern: F.when(p["track_name"].rlike(pattern), True)
-    expected = F.coalesce(language(p["language_ietf"]), language(p["language"]))
+    expected = F.coalesce(language(p["language_ietf"], tag=True), language(p["language"]))
     return F.struct(
         track["id"].alias("id"),
         p["track_name"].alias("name"),

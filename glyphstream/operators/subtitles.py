@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions.srt import apply_rules, chosen, srt_block  # noqa: F401 (chosen is used by callers)
+from glyphstream.sources import filewriter
 from glyphstream.sources.files import local
 
 
@@ -50,23 +52,23 @@ def write_files(docs: DataFrame, path: str = "srt_path", encoding: str = "utf-8"
     import pyarrow as pa
 
     def put(at: str, data: bytes) -> bool:
-        tmp = f"{at}.{os.getpid()}.tmp"
+        own = uuid.uuid4().hex
         if "://" in at and not at.startswith("file:"):
             from pyarrow import fs
 
             system, name = fs.FileSystem.from_uri(at)
             if not overwrite and system.get_file_info(name).type != fs.FileType.NotFound:
                 return False
-            other = f"{name}.{os.getpid()}.tmp"
+            other = f"{name}.{own}.tmp"
             with system.open_output_stream(other) as f:
                 f.write(data)
             system.move(other, name)
             return True
         if not overwrite and os.path.exists(local(at)):
             return False
-        with open(local(tmp), "wb") as f:
+        with open(f"{local(at)}.{own}.tmp", "wb") as f:
             f.write(data)
-        os.replace(local(tmp), local(at))
+        os.replace(f.name, local(at))
         return True
 
     def run(batches):
@@ -85,3 +87,9 @@ def write_files(docs: DataFrame, path: str = "srt_path", encoding: str = "utf-8"
 
     error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string").alias("error")
     return docs.select(path, "srt", error).mapInArrow(run, "path string, error string, written boolean")
+
+
+def save_files(docs: DataFrame, path: str = "srt_path", overwrite: bool = True) -> None:
+    """Writes docs (srt_path, srt[, error]) as UTF-8 files on mounted paths, all of them or none (see sources.filewriter). Rows without srt, or with an error, have no file."""
+    good = docs.where("srt IS NOT NULL" + (" AND error IS NULL" if "error" in docs.columns else ""))
+    filewriter.save(good.select(F.col(path).alias("path"), F.encode("srt", "utf-8").alias("content")), keep=not overwrite)

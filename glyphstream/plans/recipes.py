@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from glyphstream.functions import tracks as metadata
 from glyphstream.operators import recognise, subtitles, timeline
 from glyphstream.plans import streams
-from glyphstream.sources import files
+from glyphstream.sources import containers, files, filewriter, pgs
+from glyphstream.sources.kept import shared_dir
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Words between ASCII white space.
@@ -263,3 +265,17 @@ SELECT source, doc_id, shelf, x AS x0, 100+shelf*46 AS y0 FROM p""")
 def shelf_pack(spark, sf_dir):
     """Documents as images one pixel high, 500 ids of a source to a track; their shelves and places on the page."""
     return streams.placed(_t(spark, sf_dir, "documents"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn // 64 AS part, turn, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(part AS BIGINT) AS part, 'fr' AS language, CAST(sum(greatest(1, (n + 65534) // 65535)) AS BIGINT) AS n_segments, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(max(turn) * 90000 AS BIGINT) AS last_pts FROM t GROUP BY ALL""")
+def container_tracks(spark, sf_dir):
+    """Containers made of the conversations, written as files, and one language's track read back by the data source, which isn't sent the other one."""
+    folder = f"{shared_dir(spark).rstrip('/')}/containers-{uuid.uuid4().hex}"
+    filewriter.save(streams.conversation_containers(_t(spark, sf_dir, "conversations"), folder))
+    containers.register(spark)
+    read = spark.read.format("matroska").option("parts", 4 * spark.sparkContext.defaultParallelism).load(folder).where("type = 'subtitles' AND language = 'fr'")
+    content = read.select("path", "id", "start", "content", "error")
+    named = lambda c, k: F.regexp_extract(c, r"/(\d+)-(\d+)\.mkv$", k).cast("long")
+    segs = pgs.segments(containers.joined(content).select(F.col("path").alias("track_id"), "content", "error"))
+    return segs.groupBy(named(F.col("track_id"), 1).alias("conv_id"), named(F.col("track_id"), 2).alias("part")).agg(F.first(F.lit("fr")).alias("language"), F.count("*").alias("n_segments"), F.sum("size").alias("n_bytes"), F.max("pts").alias("last_pts"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphstream.functions import rle
 from glyphstream.operators import recognise
-from glyphstream.sources import pgs
+from glyphstream.sources import matroska, pgs
 
 #: Entries of the event types in made palettes, and their luma: odd ones are bright.
 ENTRY = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -119,3 +119,38 @@ def placed(docs: DataFrame) -> DataFrame:
 
     d = docs.select("source", F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", "n_chars")
     return d.groupBy("source", "part").applyInPandas(one, "source string, doc_id long, shelf long, x0 long, y0 long")
+
+
+def element(ident: int, *parts: bytes) -> bytes:
+    """A Matroska element with an eight-byte size."""
+    body = b"".join(parts)
+    return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + (len(body) | 1 << 56).to_bytes(8, "big") + body
+
+
+def container(tracks: list[tuple[str, str]], blocks: list[tuple[int, int, bytes]]) -> bytes:
+    """A Matroska file of graphic subtitle tracks (language, name) and blocks (milliseconds, track from 1, content), a cluster for each run of one time."""
+    number = lambda ident, n: element(ident, n.to_bytes(max(1, (n.bit_length() + 7) // 8), "big"))
+    entry = lambda k, lang, name: element(matroska.TRACK_ENTRY, number(matroska.NUMBER, k), number(matroska.TYPE, 17), element(matroska.CODEC_ID, matroska.PGS_CODEC.encode()), element(matroska.LANGUAGE_BCP47, lang.encode()), element(matroska.NAME, name.encode()))
+    head = element(matroska.TRACKS, *(entry(k, *t) for k, t in enumerate(tracks, 1)))
+    clusters = [element(matroska.CLUSTER, number(matroska.TIMESTAMP, at), element(matroska.SIMPLE_BLOCK, bytes([0x80 | track, 0, 0, 0]), data)) for at, track, data in blocks]
+    return element(0x1A45DFA3, b"\x42\x86\x81\x01") + element(matroska.SEGMENT, element(matroska.INFO, number(matroska.TIMESTAMP_SCALE, 1_000_000)), head, *clusters)
+
+
+#: Turns of a conversation to a made container, and bytes of a text to a segment.
+TURNS, PIECE = 64, 65_535
+
+
+def conversation_containers(turns: DataFrame, folder: str) -> DataFrame:
+    """(path, content): a container for each TURNS turns of a conversation, what the assistant said in a track called fr, the rest in one called en, each turn at so many seconds."""
+
+    def made(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = []
+        for turn, role, text in pdf.sort_values(["turn", "role", "text"])[["turn", "role", "text"]].itertuples(index=False):
+            data = text.encode()
+            for at in range(0, max(len(data), 1), PIECE):
+                piece = data[at : at + PIECE]
+                blocks.append((turn * 1000, 2 if role == "assistant" else 1, b"\x80" + len(piece).to_bytes(2, "big") + piece))
+        return pd.DataFrame({"path": [f"{folder}/{key[0] % 16}/{key[0]}-{key[1]}.mkv"], "content": [container([("en", "User"), ("fr", "Assistant")], blocks)]})
+
+    d = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    return d.groupBy("conv_id", F.floor(F.col("turn") / TURNS).alias("part")).applyInPandas(made, "path string, content binary")

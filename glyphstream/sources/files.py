@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -27,22 +28,43 @@ class ScanOptions:
     now: datetime | None = None
 
 
-def language(code: Column) -> Column:
-    """Canonical IETF tag of a code (two or three letters, then a script of four letters and a region, each optional), null if unknown."""
-    two = {k: v for k, v in ALPHA3.items() if len(v) == 2}
-    table = F.str_to_map(F.lit(",".join(":".join(pair) for pair in (two | {v: v for v in two.values()}).items())), F.lit(","), F.lit(":"))  # a constant
-    others = F.lit(" " + " ".join(k for k, v in ALPHA3.items() if len(v) == 3) + " ")
-    whole = "^([A-Za-z]{2,3})(?:[-_]([A-Za-z]{4}))?(?:[-_]([A-Za-z]{2}|[0-9]{3}))?$"
-    # Bound once: the table is a long expression.
-    part = F.struct(*(F.regexp_extract(code, whole, k).alias(n) for k, n in enumerate(("base", "script", "region"), 1)))
+#: A code: two or three letters, then a script of four letters and a region, each optional.
+CODE = "([A-Za-z]{2,3})(?:[-_]([A-Za-z]{4}))?(?:[-_]([A-Za-z]{2}|[0-9]{3}))?"
+#: What may follow in a whole IETF tag: variants, extensions, private use.
+MORE = "(?:[-_](?:[A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*(?:[-_][A-WYZa-wyz0-9](?:[-_][A-Za-z0-9]{2,8})+)*(?:[-_][Xx](?:[-_][A-Za-z0-9]{1,8})+)?"
 
-    def tag(x):
-        low = F.lower(x["base"])
-        base = F.coalesce(F.try_element_at(table, low), F.when((F.length(low) == 3) & (F.instr(others, F.concat(F.lit(" "), low, F.lit(" "))) > 0), low))
-        more = lambda text: F.when(text != "", F.concat(F.lit("-"), text)).otherwise("")
-        return F.concat(base, more(F.initcap(x["script"])), more(F.upper(x["region"])))
 
-    return F.element_at(F.transform(F.array(part), tag), 1)
+def bound(value: Column, use) -> Column:
+    """use(value), with a long expression evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _tables() -> str:
+    """Codes and what they become, ``|eng=en|``, for each first letter, joined by commas."""
+    known = ALPHA3 | {v: v for v in ALPHA3.values()}
+    return ",".join("|" + "".join(f"{k}={v}|" for k, v in sorted(known.items()) if k[0] == first) for first in string.ascii_lowercase)
+
+
+def language(code: Column, tag: bool = False) -> Column:
+    """Canonical IETF tag of a code, null if unknown; with tag, variants, extensions and private parts may follow, and are left out."""
+    whole = f"^{CODE}{MORE if tag else ''}$"
+    extract = lambda k: F.regexp_extract(code, whole, k)
+    more = lambda text: F.when(text != "", F.concat(F.lit("-"), text)).otherwise("")
+    tables = F.split(F.lit(_tables()), ",")  # a constant
+
+    def known(x):
+        # of the codes with that first letter; 27 is none
+        table = F.try_element_at(tables, F.when(x["low"] != "", F.ascii(x["low"]) - 96).otherwise(27))
+        return bound(F.struct(table.alias("table"), F.instr(table, F.concat(F.lit("|"), x["low"], F.lit("="))).alias("at")), lambda y: F.when(y["at"] > 0, F.concat(F.substring_index(F.substr(y["table"], y["at"] + F.length(x["low"]) + 2, F.lit(4)), "|", 1), more(x["script"]), more(x["region"]))))
+
+    return bound(F.struct(F.lower(extract(1)).alias("low"), F.initcap(extract(2)).alias("script"), F.upper(extract(3)).alias("region")), known)
+
+
+def tag(code: str | None) -> str | None:
+    """language(code, tag=True) of one code."""
+    m = re.fullmatch(CODE + MORE, code or "")
+    base = ALPHA3.get(m[1].lower(), m[1].lower() if m[1].lower() in ALPHA3.values() else None) if m else None
+    return base and "-".join(x for x in (base, m[2] and m[2].title(), m[3] and m[3].upper()) if x)
 
 
 def matches(options: ScanOptions, made: Column, languages: Column) -> Column:
@@ -64,8 +86,9 @@ def path_parts(path: Column) -> Column:
     """Struct (base_path, number, language, extension) of a path: extension, then a language code, are taken off the name's end."""
     stem = F.regexp_replace(path, r"\.[^./]+$", "")
     lang = language(F.nullif(F.regexp_extract(stem, r"\.([^./]+)$", 1), F.lit("")))
-    base = F.when(lang.isNull(), stem).otherwise(F.regexp_replace(stem, r"\.[^./]+$", ""))
-    return F.struct(base.alias("base_path"), F.lit(0).alias("number"), lang.alias("language"), F.lower(F.nullif(F.regexp_extract(path, r"\.([^./]+)$", 1), F.lit(""))).alias("extension"))
+    extension = F.lower(F.nullif(F.regexp_extract(path, r"\.([^./]+)$", 1), F.lit("")))
+    base = lambda x: F.when(x["lang"].isNull(), x["stem"]).otherwise(F.regexp_replace(x["stem"], r"\.[^./]+$", ""))
+    return bound(F.struct(stem.alias("stem"), lang.alias("lang"), extension.alias("extension")), lambda x: F.struct(base(x).alias("base_path"), F.lit(0).alias("number"), x["lang"].alias("language"), x["extension"].alias("extension")))
 
 
 def render(parts: Column, extension: str | None = None, number: Column | None = None, lang: Column | None = None) -> Column:

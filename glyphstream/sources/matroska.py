@@ -1,6 +1,7 @@
 """Matroska containers as tables: their tracks' description, and graphic subtitle tracks as raw streams (RFC 9559).
 
-A file is walked once, by element headers; only track entries and blocks of wanted tracks are read, so memory is bounded by the subtitles.
+A file is walked by element headers; only track entries and blocks of wanted tracks are read, so memory is bounded by the subtitles. Large files
+are cut at clusters, which their cues or a walk over the headers tell, and read by several tasks (see ``containers``, the data source).
 Paths are opened in the workers: mounted ones directly, others by the file system that their scheme names.
 """
 
@@ -14,7 +15,6 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from glyphstream.sources.files import local
 
@@ -25,6 +25,8 @@ TIMESTAMP, SIMPLE_BLOCK, BLOCK = 0xE7, 0xA3, 0xA1
 NUMBER, TYPE, CODEC_ID, NAME, LANGUAGE, LANGUAGE_BCP47 = 0xD7, 0x83, 0x86, 0x536E, 0x22B59C, 0x22B59D
 ENABLED, DEFAULT, FORCED = 0xB9, 0x88, 0x55AA
 ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
+CUES, CUE_POINT, CUE_TRACK_POSITIONS, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB7, 0xF1
 KINDS = {1: "video", 2: "audio", 17: "subtitles"}
 LACING, XIPH, FIXED, EBML = 0x06, 0x02, 0x04, 0x06
 PGS_CODEC, PGS_NAME = "S_HDMV/PGS", "HDMV PGS"
@@ -68,9 +70,9 @@ def _children(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield head[0], f.read(head[1] if head[1] is not None else -1)
 
 
-def _walk(f: BinaryIO) -> Iterator[tuple[int, int | None]]:
-    """(identifier, size) of elements; containers of blocks are entered, the rest is passed over unless the caller reads it."""
-    while (head := _header(f)) is not None:
+def _walk(f: BinaryIO, end: int | None = None) -> Iterator[tuple[int, int | None]]:
+    """(identifier, size) of elements that begin before end; containers of blocks are entered, the rest is passed over unless the caller reads it."""
+    while (end is None or f.tell() < end) and (head := _header(f)) is not None:
         ident, size = head
         if ident in (SEGMENT, CLUSTER, BLOCK_GROUP):
             continue
@@ -100,11 +102,7 @@ def _entry(data: bytes) -> dict:
 
 def entries(f: BinaryIO) -> list[dict]:
     """Tracks in the order of the file; identifiers count from 0."""
-    for ident, size in _walk(f):
-        if ident == TRACKS:
-            found = [_entry(body) for k, body in _children(f.read(size)) if k == TRACK_ENTRY]
-            return [{"id": k} | t for k, t in enumerate(found)]
-    raise ValueError("no tracks element")
+    return head(f)["tracks"]
 
 
 def _unpacked(frame: bytes, encodings: list) -> bytes:
@@ -172,63 +170,154 @@ def frames(data: bytes, lacing: int) -> list[bytes]:
     return [*out, data[at:]]
 
 
-def streams(f: BinaryIO, wanted: set[int]) -> dict[int, bytes]:
-    """Raw stream of each wanted track (by identifier) in one walk; the frames of a laced block share its time. ValueError for encrypted blocks."""
-    of: dict[int, tuple[int, list]] = {}
-    out: dict[int, list[bytes]] = {k: [] for k in wanted}
-    scale, base = DEFAULT_SCALE, 0
-    for ident, size in _walk(f):
-        if ident == INFO:
-            scale = int.from_bytes(dict(_children(f.read(size))).get(TIMESTAMP_SCALE, DEFAULT_SCALE.to_bytes(4, "big")), "big")
+def _elements(f: BinaryIO) -> Iterator[tuple[int, int, int | None]]:
+    """(offset, identifier, size) of a segment's elements; clusters are passed over by their size, or entered where that is unknown."""
+    while True:
+        at = f.tell()
+        head = _header(f)
+        if head is None:
+            return
+        ident, size = head
+        after = f.tell() + (size or 0)
+        yield at, ident, size
+        if ident == SEGMENT or size is None and ident in (CLUSTER, BLOCK_GROUP):
+            f.seek(after - (size or 0))
+        elif size is None:
+            raise ValueError(f"element 0x{ident:x} of unknown size")
+        else:
+            f.seek(after)
+
+
+def head(f: BinaryIO) -> dict:
+    """What stands before the clusters: tracks (see entries), scale, base (where positions count from), first (the first cluster's offset or None), and cues (its offset or None)."""
+    out = {"tracks": None, "scale": DEFAULT_SCALE, "base": 0, "first": None, "cues": None}
+    f.seek(0)
+    for at, ident, size in _elements(f):
+        if ident == SEGMENT:
+            out["base"] = f.tell()
+        elif ident == SEEK_HEAD:
+            for kind, body in _children(f.read(size)):
+                to = dict(_children(body)) if kind == SEEK else {}
+                if int.from_bytes(to.get(SEEK_ID, b""), "big") == CUES:
+                    out["cues"] = out["base"] + int.from_bytes(to.get(SEEK_POSITION, b""), "big")
+        elif ident == INFO:
+            out["scale"] = int.from_bytes(dict(_children(f.read(size))).get(TIMESTAMP_SCALE, DEFAULT_SCALE.to_bytes(4, "big")), "big")
         elif ident == TRACKS:
-            found = [_entry(body) for k, body in _children(f.read(size)) if k == TRACK_ENTRY]
-            of |= {t["properties"]["number"]: (k, t["encodings"]) for k, t in enumerate(found) if k in wanted}
-        elif ident == TIMESTAMP:
+            out["tracks"] = [{"id": n} | _entry(body) for n, body in enumerate(body for k, body in _children(f.read(size)) if k == TRACK_ENTRY)]
+        elif ident == CLUSTER and out["first"] is None:
+            out["first"] = at
+        if out["first"] is not None and out["tracks"] is not None:
+            break
+    if out["tracks"] is None:
+        raise ValueError("no tracks element")
+    return out
+
+
+def seek_points(f: BinaryIO) -> tuple[list[int], str]:
+    """Offsets of clusters in order, the first one included: those that the cues name, or all by a walk over the headers; and which of both."""
+    h = head(f)
+    if h["first"] is None:
+        return [], "walk"
+    if h["cues"] is not None:
+        f.seek(h["cues"])
+        found = _header(f)
+        if found is not None and found[0] == CUES and found[1] is not None:
+            points = {h["first"]}
+            for kind, body in _children(f.read(found[1])):
+                for inner, where in _children(body) if kind == CUE_POINT else ():
+                    if inner == CUE_TRACK_POSITIONS:
+                        points |= {h["base"] + int.from_bytes(x, "big") for k, x in _children(where) if k == CUE_CLUSTER_POSITION}
+            if all(_is_cluster(f, at) for at in points):
+                return sorted(points), "cues"
+    f.seek(h["first"])
+    return [at for at, ident, _ in _elements(f) if ident == CLUSTER], "walk"
+
+
+def _is_cluster(f: BinaryIO, at: int) -> bool:
+    f.seek(at)
+    return f.read(4) == CLUSTER.to_bytes(4, "big")
+
+
+def length(f: BinaryIO) -> int:
+    return f.seek(0, 2)
+
+
+def cuts(f: BinaryIO, split: int) -> list[tuple[int, int]]:
+    """Ranges (start, end) of a file's bytes, each from one cluster to another and of about split bytes; small files have one from 0, without being read."""
+    size = length(f)
+    if size <= split:
+        return [(0, size)]
+    starts = [0]
+    for at in seek_points(f)[0]:
+        if at - starts[-1] >= split:
+            starts.append(at)
+    return list(zip(starts, [*starts[1:], size]))
+
+
+def part(f: BinaryIO, wanted: set[int], start: int = 0, end: int | None = None, told: dict | None = None) -> dict[int, bytes]:
+    """Raw stream of each wanted track (by identifier) from the clusters of a range (see cuts). ValueError for encrypted blocks."""
+    told = told or head(f)
+    of = {t["properties"]["number"]: (t["id"], t["encodings"]) for t in told["tracks"] if t["id"] in wanted}
+    out: dict[int, list[bytes]] = {k: [] for k in wanted}
+    f.seek(max(start, told["first"] if told["first"] is not None else length(f)))
+    base = 0
+    for ident, size in _walk(f, end):
+        if ident == TIMESTAMP:
             base = int.from_bytes(f.read(size), "big")
         elif ident in (SIMPLE_BLOCK, BLOCK):
             first = f.read(1)
             more = 8 - first[0].bit_length() if first and first[0] else 0
-            head = first + f.read(more + 3)
-            number = int.from_bytes(head[: more + 1], "big") & (1 << 7 * (more + 1)) - 1
+            block = first + f.read(more + 3)
+            number = int.from_bytes(block[: more + 1], "big") & (1 << 7 * (more + 1)) - 1
             if number not in of:
                 continue
             track, encodings = of[number]
-            at = base + int.from_bytes(head[more + 1 : more + 3], "big", signed=True)
-            for frame in frames(f.read(size - len(head)), head[-1] & LACING):
-                out[track].append(_with_headers(_unpacked(frame, encodings), max(at, 0) * scale * 9 // 100_000))
+            at = base + int.from_bytes(block[more + 1 : more + 3], "big", signed=True)
+            for frame in frames(f.read(size - len(block)), block[-1] & LACING):
+                out[track].append(_with_headers(_unpacked(frame, encodings), max(at, 0) * told["scale"] * 9 // 100_000))
     return {k: b"".join(v) for k, v in out.items()}
 
 
-def described(files: DataFrame) -> DataFrame:
-    """(path, json, error) of files (path): the description that functions.tracks.parsed reads; a file that can't be read has an error instead."""
+def streams(f: BinaryIO, wanted: set[int]) -> dict[int, bytes]:
+    """Raw stream of each wanted track of a whole file; the frames of a laced block share its time."""
+    return part(f, wanted)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files by path over a stated number of partitions, which adaptive execution leaves as they are: their rows are few, the work behind them isn't."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
+def seek_table(files: DataFrame) -> DataFrame:
+    """(path, number, offset, size, source, error) of files (path): the clusters at which each can be entered, told by cues or a walk."""
 
     def run(batches):
         for b in batches:
-            rows = []
             for path in b.column(0).to_pylist():
                 try:
                     with opened(path) as f:
-                        rows.append((path, json.dumps({"tracks": [{k: v for k, v in t.items() if k != "encodings"} for t in entries(f)]}), None))
+                        at, source = seek_points(f)
+                        rows = [(path, k, x, y - x, source, None) for k, (x, y) in enumerate(zip(at, [*at[1:], length(f)]))]
                 except (OSError, ValueError) as e:
-                    rows.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["path", "json", "error"])
+                    rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "number", "offset", "size", "source", "error"])
 
-    return files.select("path").mapInArrow(run, "path string, json string, error string")
+    return spread(files.select("path")).mapInArrow(run, "path string, number long, offset long, size long, source string, error string")
 
 
-def demuxed(tracks: DataFrame) -> DataFrame:
-    """(path, id, content, error) of tracks (path, id): one walk a file for all of its tracks."""
+def described(files: DataFrame) -> DataFrame:
+    """(path, json, error) of files (path): the description that functions.tracks.parsed reads; a file that can't be read has an error instead."""
 
     def run(batches):
         for b in batches:
-            for path, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows = []
+            for path in b.column(0).to_pylist():
                 try:
                     with opened(path) as f:
-                        got, error = streams(f, set(ids)), None
-                except (OSError, ValueError, zlib.error, EOFError) as e:
-                    got, error = {}, f"{type(e).__name__}: {e}"
-                for k in ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([k], pa.int32()), pa.array([got.get(k)], pa.binary()), pa.array([error], pa.string())], names=["path", "id", "content", "error"])
-
-    per_file = tracks.groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return per_file.mapInArrow(run, "path string, id int, content binary, error string")
+                        rows.append((path, json.dumps({"tracks": [{k: v for k, v in t.items() if k != "encodings"} for t in entries(f)]}), None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["path", "json", "error"])
+
+    return spread(files.select("path")).mapInArrow(run, "path string, json string, error string")
