@@ -45,7 +45,8 @@ def looked_up(left: DataFrame, key: str, right: DataFrame, scratch: Scratch, hot
     many = [r.k for r in rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()]  # hot at most
     own = F.when(~F.col("k").isin(many), F.col("k")) if many else F.col("k")
     spread = rows.withColumn("own", own).withColumn("salt", F.when(F.col("own").isNull(), F.col("at") % 65_536).otherwise(0).cast("long"))
-    seldom = right.select(F.col(key).alias("own"), F.lit(0).cast("long").alias("salt"), *(F.col(c).alias(f"s{n}") for n, c in enumerate(values)))
+    # 0, but not as a constant: the optimiser would take a constant out of the keys, and with it what spreads the rows.
+    seldom = right.select(F.col(key).alias("own"), F.pmod(F.hash(key), F.lit(1)).cast("long").alias("salt"), *(F.col(c).alias(f"s{n}") for n, c in enumerate(values)))
     out = spread.join(seldom, ["own", "salt"], "left")
     found = [F.col(f"s{n}") for n in range(len(values))]
     if many:

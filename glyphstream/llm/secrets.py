@@ -35,6 +35,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Runs of this many code symbols are candidates of the battery.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A candidate is tested if it has at least a third as many different symbols as symbols, or ten.
+FEW, FEW_OF = 3, 30
 FDR = 0.05
 #: Bins of the p-values (a tenth of log p each), and of the scores (a quarter each).
 BINS, SCORES = 200, 200
@@ -109,8 +111,9 @@ def base_spans(text: Column) -> Column:
 
 def encoding(token: Column) -> Column:
     """The smallest encoding that holds a token: hex (upper or lower case, whole or in dashed groups), base32 or base36 (of one case), else base64."""
-    t = F.regexp_replace(token, "=+$", "")
-    hex_ = t.rlike("^([0-9a-f]{2,}(-[0-9a-f]{2,})*|[0-9A-F]{2,}(-[0-9A-F]{2,})*)$")
+    t = F.rtrim(token, F.lit("="))
+    # Possessive, so that the matcher neither goes back nor goes a level deeper for each group.
+    hex_ = t.rlike("^(?:[0-9a-f]{2,}+(?:-[0-9a-f]{2,}+)*+|[0-9A-F]{2,}+(?:-[0-9A-F]{2,}+)*+)$")
     return F.when(hex_, "hex").when(t.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32").when(t.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), "base36").otherwise("base64")
 
 
@@ -126,7 +129,7 @@ def battery(token: Column, kind: Column) -> Column:
     """Struct (p_uniform, p_runs, p_serial, p_common, p_class, p_switch, p, distinct) of a token under its encoding."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).when(kind == "base36", ALPHABETS["base36"]).otherwise(ALPHABETS["base64"])
-    bare = F.regexp_replace(token, "=+$", "")
+    bare = F.rtrim(token, F.lit("="))
     plain = F.when(kind == "hex", F.lower(F.translate(bare, "-", ""))).when(kind == "base64", F.translate(bare, "-_", "+/")).otherwise(F.upper(bare))
     listed = _let(alphabet, lambda a: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - 1))
 
@@ -219,11 +222,12 @@ def _scored(token: Column, start: Column, kind_of: Column | None = None) -> Colu
 
 
 def looked_over(text: Column) -> Column:
-    """Struct (base: the base spans of a text; tests: the battery's candidates that no base span touches, scored). Each part is worked out once."""
+    """Struct (base: the base spans of a text; tests: the battery's candidates that no base span touches and that have symbols enough, scored). Each part is worked out once."""
     free = lambda b: lambda c: ~F.exists(b, lambda x: (x["start"] < c["stop"]) & (c["start"] < x["stop"]))
+    varied = lambda c: c["distinct"] * FEW >= F.least(c["stop"] - c["start"], F.lit(FEW_OF))
     found = _found(text, CANDIDATE, 3, text.rlike(r"[A-Za-z0-9+/_-]{20}"), lambda m: F.lit(True))
     # Most texts have no candidate: nothing more is done for them.
-    tests = lambda b: _let(found, lambda f: F.when(F.size(f) > 0, F.transform(F.filter(f, free(b)), lambda c: _scored(c["text"], c["start"]))))
+    tests = lambda b: _let(found, lambda f: F.when(F.size(f) > 0, F.filter(F.transform(F.filter(f, free(b)), lambda c: _scored(c["text"], c["start"])), varied)))
     return _let(base_spans(text), lambda b: F.struct(b.alias("base"), tests(b).alias("tests")))
 
 
@@ -259,13 +263,23 @@ def _p_bin(p: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(BINS), F.ceil(F.log(F.greatest(p, F.lit(1e-300))) * 10).cast("int") + BINS))
 
 
-def tested(docs: DataFrame) -> DataFrame:
-    """(made: a structured token, scored, or null; tests: the candidates, scored), a row a document."""
-    d = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    null = _let(structured(F.col("text")), lambda t: F.when(t.isNotNull(), _scored(t, F.lit(0).cast("long"))))
+def looked_at(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns of docs (text), with made: the scored structured token of a text or null, and looked: its looked_over()."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    made = _let(structured(text), lambda t: F.when(t.isNotNull(), _scored(t, F.lit(0).cast("long"))))
+    return docs.select(*columns, made.alias("made"), looked_over(text).alias("looked"))
+
+
+def slimmed(looked: DataFrame) -> DataFrame:
+    """(made: a structured token, scored, or null; tests: the candidates, scored) of looked_at(), a row a document."""
     slim = lambda c: F.struct(c["code"].alias("code"), c["klass"].alias("klass"), (c["stop"] - c["start"]).cast("int").alias("size"), c["score"].alias("score"))
     none = F.expr("cast(array() as array<struct<code:string,klass:int,size:int,score:double>>)")
-    return d.select(_let(null, lambda c: F.when(c.isNotNull(), slim(c))).alias("made"), _let(looked_over(F.col("text")), lambda x: F.coalesce(F.transform(x["tests"], slim), none)).alias("tests"))
+    return looked.select(_let(F.col("made"), lambda c: F.when(c.isNotNull(), slim(c))).alias("made"), F.coalesce(F.transform("looked.tests", slim), none).alias("tests"))
+
+
+def tested(docs: DataFrame) -> DataFrame:
+    """slimmed() of docs (text)."""
+    return slimmed(looked_at(docs))
 
 
 def null_counts(t: DataFrame) -> DataFrame:
@@ -296,9 +310,9 @@ def reported_bins(tests: DataFrame, nulls: DataFrame, fdr: float = FDR) -> DataF
     return good.where("reported").groupBy("klass").agg(F.max("bin").alias("last_bin"))
 
 
-def limits(docs: DataFrame, scratch: Scratch, fdr: float = FDR) -> DataFrame:
-    """One row (nulls: map of encoding and class to upto, last: map of class to last bin) from all of docs (text)."""
-    t = scratch.keep(tested(docs))
+def limits(looked: DataFrame, scratch: Scratch, fdr: float = FDR) -> DataFrame:
+    """One row (nulls: map of encoding and class to upto, last: map of class to last bin) from looked_at() of all documents."""
+    t = scratch.keep(slimmed(looked))
     nulls = scratch.keep(null_counts(t))
     last = scratch.keep(reported_bins(t, nulls, fdr))
     one = nulls.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "code", "klass"), "upto"))).alias("nulls"))
@@ -307,12 +321,12 @@ def limits(docs: DataFrame, scratch: Scratch, fdr: float = FDR) -> DataFrame:
     return one
 
 
-def with_spans(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
-    """docs with spans: all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind. Rows don't move."""
+def with_spans(docs: DataFrame, found: DataFrame, looked: Column) -> DataFrame:
+    """docs with spans, of which looked is looked_over(): all spans (start, kind, stop, text), base ones and those the battery adds, by start, then kind. Rows don't move."""
 
     def random(c):
         p = p_structured(c["score"], c["stop"] - c["start"], F.try_element_at(F.col("nulls"), F.concat_ws(":", c["code"], c["klass"].cast("string"))))
-        return (_p_bin(p) <= F.coalesce(F.try_element_at("last", c["klass"]), F.lit(-1))) & (c["distinct"] * 3 >= F.least(c["stop"] - c["start"], F.lit(30)))
+        return _p_bin(p) <= F.coalesce(F.try_element_at("last", c["klass"]), F.lit(-1))
 
     span = lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop"), c["text"].alias("text"))
     met = docs.join(F.broadcast(found))  # one row
@@ -321,14 +335,14 @@ def with_spans(docs: DataFrame, found: DataFrame, text: Column) -> DataFrame:
         more = F.when(F.size(x["tests"]) > 0, F.array_sort(F.concat(x["base"], F.transform(F.filter(x["tests"], random), span))))
         return F.coalesce(more, F.array_sort(x["base"]))
 
-    return met.withColumn("spans", _let(looked_over(F.coalesce(text, F.lit(""))), every)).drop("nulls", "last")
+    return met.withColumn("spans", _let(looked, every)).drop("nulls", "last")
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(doc_id, text, spans) of docs (doc_id, text)."""
-    found = limits(docs, Scratch(docs.sparkSession), fdr)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(own, found, F.col("text"))
+    """(doc_id, spans) of docs (doc_id, text). Texts are read once: what is found in each is kept, and judged when all are known."""
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.keep(looked_at(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    return with_spans(kept, limits(kept, scratch, fdr), F.col("looked")).select("doc_id", "spans")
 
 
 def digest(spans: Column) -> Column:
@@ -359,7 +373,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span found in a text replaced by a mark, and n_chars following where a text changed."""
-    found = limits(docs, Scratch(docs.sparkSession))
+    found = limits(looked_at(docs), Scratch(docs.sparkSession))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.col("row.text").cast("string")
     new = redacted(text, F.col("spans"))
@@ -367,7 +381,7 @@ def redact(docs: DataFrame) -> DataFrame:
     for c in docs.columns:
         old, kind = F.col(f"row.`{c}`"), docs.schema[c].dataType
         columns.append((new.cast(kind) if c.lower() == "text" else F.when(F.size("spans") > 0, F.length(new)).otherwise(old).cast(kind) if c.lower() == "n_chars" else old).alias(c))
-    return with_spans(own, found, text).select(*columns)
+    return with_spans(own, found, looked_over(F.coalesce(text, F.lit("")))).select(*columns)
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
