@@ -15,7 +15,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from glyphstream.operators import spatial
 from glyphstream.sources.files import local
 
 #: Page border, width limits, first confidence, its step, share that counts as no progress, and the size of a last pass.
@@ -135,18 +137,28 @@ def accept(words: pd.DataFrame, places: pd.DataFrame, confidence: int) -> list[s
     return [None if k in again else "\n".join(" ".join(x) for x in own).strip() for k, own in enumerate(lines)]
 
 
-PLACES = "place long, y0 long, x0 long, y1 long, x1 long"
+#: What Python takes for white space.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def accepted(words: DataFrame, places: DataFrame, page: str, confidence: int) -> DataFrame:
-    """(page, place, text) of places (page, place, y0, x0, y1, x1) on pages of words (page, and the recogniser's columns); null text: not accepted."""
+    """(page, place, text) of places (page, place, y0, x0, y1, x1) on pages of words (page, and the recogniser's columns); null text: not accepted.
 
-    def one(key, w: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        got = accept(w, p[["y0", "x0", "y1", "x1"]], confidence) if len(p) else []
-        return pd.DataFrame({"page": [key[0]] * len(p), "place": p["place"], "text": pd.Series(got, index=p.index, dtype=object)})
-
-    kind = places.schema[page].dataType.simpleString()
-    return words.groupBy(page).cogroup(places.groupBy(page)).applyInPandas(one, f"page {kind}, place long, text string").withColumnRenamed("page", page)
+    accept() for any number of pages of any size, without Python: words meet places by grid cells, and unsure words the page's sure ones. Equal places in the reading
+    order are ordered by text.
+    """
+    half = lambda at, size: F.col(at) + F.floor(F.col(size) / 2)
+    conf = F.col("conf").cast("double").cast("int")
+    w = words.select(F.col(page).alias("page"), half("top", "height").alias("y"), half("left", "width").alias("x"), F.struct(*ORDER[:4]).alias("line"), F.col("word_num").alias("nr"), F.coalesce("text", F.lit("")).alias("text"), (conf >= confidence).alias("sure"), (F.col("level") == WORD_LEVEL).alias("word"))
+    p = places.select(F.col(page).alias("page"), "place", "y0", "x0", "y1", "x1")
+    hit = spatial.contained(w.where("word").drop("word"), p, "page")
+    joined = lambda rows, key, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[key]), by)
+    lines = hit.groupBy("page", "place", "line").agg(joined(["nr", "text"], "text", " ").alias("text"), F.collect_set(F.when(~F.col("sure"), F.col("text"))).alias("unsure"))
+    whole = lines.groupBy("page", "place").agg(joined(["line", "text"], "text", "\n").alias("text"), F.flatten(F.collect_list("unsure")).alias("unsure"))
+    known = w.where(F.col("sure") & (F.col("text") != "")).select("page", "text").distinct()
+    again = whole.select("page", "place", F.explode("unsure").alias("text")).join(known, ["page", "text"], "left_anti").select("page", "place").distinct()
+    told = p.select("page", "place").join(whole.select("page", "place", "text"), ["page", "place"], "left").join(again.withColumn("again", F.lit(True)), ["page", "place"], "left")
+    return told.select(F.col("page").alias(page), F.col("place").cast("long").alias("place"), F.when(F.col("again").isNull(), F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))).alias("text"))
 
 
 def cascade(items: pd.DataFrame, recognise: Callable, options: OcrOptions, name: str = "track") -> pd.DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from glyphstream.functions import tracks as metadata
-from glyphstream.operators import recognise, subtitles, timeline
+from glyphstream.operators import recognise, spatial, subtitles, timeline
 from glyphstream.plans import streams
 from glyphstream.sources import containers, files, filewriter, pgs
 from glyphstream.sources.kept import shared_dir
@@ -148,12 +148,12 @@ def bitmap_decode(spark, sf_dir):
 
 @query("SELECT n.n_nationkey, COUNT(*) AS n_hits FROM lineitem l JOIN nation n ON l.l_quantity BETWEEN n.n_nationkey AND n.n_nationkey + 10 AND l.l_discount * 100 BETWEEN n.n_regionkey AND n.n_regionkey + 2 GROUP BY n.n_nationkey")
 def rect_containment(spark, sf_dir):
-    """Points in rectangles. Equal points are counted first; the distinct ones are dealt over pages, each of which has all rectangles (25)."""
+    """Points in rectangles, on one page. Equal points are counted first."""
     points = _t(spark, sf_dir, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count("*").alias("c"))
-    points = points.select(F.pmod(F.xxhash64("l_quantity", "l_discount"), F.lit(16)).alias("page"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"), "c")
+    points = points.select(F.lit(0).alias("page"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"), "c")
     n, r = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
-    places = _t(spark, sf_dir, "nation").select("n_nationkey", n.alias("y0"), r.alias("x0"), (n + 10).alias("y1"), (r + 2).alias("x1"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("page"))
-    return streams.hits(points, places, "n_nationkey").groupBy("n_nationkey").agg(F.sum("n_hits").alias("n_hits"))
+    places = _t(spark, sf_dir, "nation").select("n_nationkey", F.lit(0).alias("page"), n.alias("y0"), r.alias("x0"), (n + 10).alias("y1"), (r + 2).alias("x1"))
+    return spatial.contained(points, places, "page").groupBy("n_nationkey").agg(F.sum("c").alias("n_hits"))
 
 
 @query("SELECT conv_id, trim(string_agg(text, chr(10) ORDER BY turn), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations GROUP BY conv_id")

@@ -93,18 +93,6 @@ def words(d: DataFrame) -> DataFrame:
     return d.withColumnsRenamed({"line": "line_num", "word": "word_num"}).withColumns({k: F.lit(v) for k, v in fixed.items()})
 
 
-def hits(points: DataFrame, places: DataFrame, place: str) -> DataFrame:
-    """(place, n_hits): the counts c of a page's points (page, y, x, c) that lie in its places (page, place, y0, x0, y1, x1)."""
-
-    def one(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.reset_index(drop=True)
-        at, of = recognise.inside(p["y"].to_numpy(), p["x"].to_numpy(), r)
-        n = np.bincount(at, p["c"].to_numpy()[of], len(r)).astype(np.int64)
-        return pd.DataFrame({place: r[place], "n_hits": n})[n > 0]
-
-    return points.groupBy("page").cogroup(places.groupBy("page")).applyInPandas(one, f"{place} int, n_hits long")
-
-
 def placed(docs: DataFrame) -> DataFrame:
     """(source, doc_id, shelf, x0, y0): documents as images one pixel high and as wide as they have characters, 500 ids of a source to a track."""
 
