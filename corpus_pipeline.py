@@ -48,11 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that the last stage packs. What a stage read or kept for itself is deleted when its rows are written."""
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
-    since = len(Scratch.roots)
-    for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.keep(docs)
-            scratch.drop(before)
-            Scratch.sweep(spark, since)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with Scratch.within(spark):
+            before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

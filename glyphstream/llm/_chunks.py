@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from glyphstream.llm._common import Scratch, lean, parallelism, release
 
 CHUNK_BYTES = 4 << 20
+#: Bits of a chunk's number within its partition.
+CHUNK_BITS = 18
 #: Hashes to a bucket, about: a reducing task's memory follows the first, not the input. Small inputs get buckets of the second at
 #: least, as a row travels for each chunk and bucket.
 BUCKET_HASHES, LEAST_HASHES = 1_500_000, 150_000
@@ -41,10 +43,13 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int | None = None, whole: bool = F
     own = [c for c in docs.columns if c.lower() != "text"] if whole else []
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 18
+        number = TaskContext.get().partitionId() << CHUNK_BITS
+        last = number + (1 << CHUNK_BITS) - 1
         ids, ends, parts, slices, size = [], [], [], [], 0
 
         def row():
+            if number > last:
+                raise OverflowError(f"a partition of more than {1 << CHUNK_BITS} chunks: read the table in smaller partitions")
             null = np.packbits([i is None for i in ids]).tobytes()
             values = [number, np.array([i or 0 for i in ids], "<i8").tobytes() + null, np.array(ends, "<i8").tobytes(), _squeezed(b"".join(parts)), size]
             if whole:

@@ -3,6 +3,8 @@ splitting and vectorised word/shingle hashes."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import re
 import tempfile
@@ -48,11 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run in the shared folder. Writing one cuts lineage, and a lost executor costs a reread only.
 
-    A table is dropped after its last reader; what a returned DataFrame still reads goes when the session's JVM ends, or by ``sweep``.
+    A table is dropped after its last reader; what a returned DataFrame still reads goes when the session's JVM ends, or at the end of a ``within`` block.
     """
 
-    #: Folders in use, in the order of their making.
-    roots: list[str] = []
+    _nested: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("folders", default=None)
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -62,7 +63,9 @@ class Scratch:
         path, fs = self._files(spark, self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-        Scratch.roots.append(self.root)
+        own = Scratch._nested.get()
+        if own is not None:
+            own.append(self.root)
 
     @staticmethod
     def _files(spark: SparkSession, at: str):
@@ -73,9 +76,11 @@ class Scratch:
         self.made += 1
         return f"{self.root}/{self.made}"
 
-    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "zstd", partition: str | None = None) -> DataFrame:
+        """df as written and read again; partition: a last column whose values get folders of their own."""
         at = self._new()
-        df.write.option("compression", codec).parquet(at)
+        out = df.write.option("compression", codec)
+        (out.partitionBy(partition) if partition else out).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         self.at[id(out)] = (out, at)
         return out
@@ -101,12 +106,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     @classmethod
-    def sweep(cls, spark: SparkSession, since: int = 0) -> None:
-        """Delete all folders made after the first ``since``: for a caller whose results have been written elsewhere."""
-        for root in cls.roots[since:]:
-            path, fs = cls._files(spark, root)
-            fs.delete(path, True)
-        del cls.roots[since:]
+    @contextlib.contextmanager
+    def within(cls, spark: SparkSession):
+        """Yields the folders made inside the block, in this thread; they are deleted at its end, when the caller has written elsewhere what it needs of them."""
+        made: list[str] = []
+        token = cls._nested.set(made)
+        try:
+            yield made
+        finally:
+            cls._nested.reset(token)
+            for root in made:
+                path, fs = cls._files(spark, root)
+                fs.delete(path, True)
 
 
 def release() -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import lean, read_table
+from glyphstream.llm._common import Scratch, lean, read_table
 
 UNIT = 576
 RATE = 8000
@@ -223,13 +223,18 @@ def _groups(part: pa.RecordBatch):
 
 def _told(group, keep_media: bool):
     """Rows of SCHEMA (with media and pcm) of a group; its ADPCM blocks are decoded together."""
-    files = [wave(data, kind_of(data)) for _, data, _ in group]
+    yield from _read([(doc_id, n, wave(data, kind_of(data))) for doc_id, data, n in group], keep_media)
+
+
+def _read(group, keep_media: bool):
+    """Rows of SCHEMA (with media and pcm) of media files (doc_id, bytes before padding, file)."""
+    files = [media for _, _, media in group]
     back = [parse_wave(m) for m in files]
     together = [i for i, (kind, _, data) in enumerate(back) if kind == ADPCM and len(data) < BLOCK_BYTES]
     ends = np.cumsum([0] + [len(back[i][2]) // UNIT for i in together])
     pcm = decode_adpcm(b"".join(back[i][2] for i in together), UNIT) if together else None
     own = {i: pcm[a:b].reshape(-1) for i, a, b in zip(together, ends, ends[1:])}
-    for i, ((doc_id, _, n), media, (kind, block, data)) in enumerate(zip(group, files, back)):
+    for i, ((doc_id, n, media), (kind, block, data)) in enumerate(zip(group, back)):
         heard, digest, size, kept = Heard(), hashlib.sha256(), 0, []
         for x in resampled(heard.add([own.pop(i)] if i in own else expanded(kind, data, block))):
             raw = x.astype("<i2").tobytes()
@@ -256,5 +261,56 @@ def stored(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA + ", media binary, pcm binary" * keep_media)
 
 
+def media_of(docs: DataFrame, slices: int = 1) -> DataFrame:
+    """(doc_id, n_bytes, media, slice): each text's payload as a WAVE file; slice is one of slices, by the file's checksum."""
+    names, kinds = ["doc_id", "n_bytes", "media", "slice"], [pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            for group in _groups(batch):
+                rows = [(doc_id, n, media := wave(data, kind_of(data)), zlib.crc32(media) % slices) for doc_id, data, n in group]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, slice int")
+
+
+def heard(media: DataFrame) -> DataFrame:
+    """SCHEMA without what is told of the PCM, and pcm itself, of media (doc_id, n_bytes, media) as they are read; ValueError for a file that isn't whole."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    i, s, y = pa.int64(), pa.string(), pa.binary()
+    kinds = [i, i, i, s, i, i, s, s, s, y]
+
+    def run(batches):
+        for batch in batches:
+            group, size = [], 0
+            for k, row in enumerate(zip(*(batch.column(c) for c in range(3))), 1):
+                group.append(tuple(x.as_py() for x in row))
+                size += len(group[-1][2])
+                if size >= BLOCK_BYTES or k == batch.num_rows:
+                    rows = [(*r[:9], r[-1]) for r in _read(group, True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*names[:9], "pcm"])
+                    group, size = [], 0
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), ", ".join([*SCHEMA.split(", ")[:9], "pcm binary"]))
+
+
+#: Slices in which the query stores PCM, which is some ten times the text before compression: one slice at a time is on disk beside the media.
+SLICES = 4
+
+
+def digests(docs: DataFrame, scratch: Scratch, slices: int = SLICES) -> DataFrame:
+    """SCHEMA of docs: media are stored in a table, PCM is made from the table's rows and stored too, and both are told of as they are read back."""
+    at = scratch.keep(media_of(docs, slices), partition="slice")
+    told = None
+    for k in range(slices):
+        pcm = scratch.keep(heard(at.where(F.col("slice") == k)))
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        own = scratch.keep(pcm.withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).select(*names))
+        scratch.drop(pcm)
+        told = own if told is None else told.unionByName(own)
+    scratch.drop(at)
+    return told
+
+
 def op5_telephony(spark, sf_dir: str) -> DataFrame:
-    return stored(read_table(spark, sf_dir, "documents"), keep_media=False)
+    return digests(read_table(spark, sf_dir, "documents"), Scratch(spark))

@@ -1,14 +1,16 @@
 """The corpus pipeline, stage by stage, on small tables that hold what each stage is to find."""
 
+import os
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from glyphstream.llm import mixing, packing
-from glyphstream.llm._common import Scratch
+from glyphstream.llm._common import Scratch, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,13 +87,23 @@ def test_stages(spark, sf_dir, tmp_path):
     assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
 
 
-def test_run_deletes_what_it_kept(spark, sf_dir):
-    since = len(Scratch.roots)
+def test_run_deletes_what_it_kept_and_nothing_else(spark, sf_dir):
+    """Other queries' tables, made before or meanwhile in another thread, stay; what the stages but the last kept for themselves goes."""
+    at = shared_dir(spark).removeprefix("file://")
+    other, before = Scratch(spark), set(os.listdir(at))
+    table = other.keep(spark.range(10).toDF("x"))
+    meanwhile = []
+    with ThreadPoolExecutor(1) as pool, Scratch.within(spark) as inner:
+        meanwhile.append(pool.submit(lambda: Scratch(spark).keep(spark.range(7).toDF("x"))).result())
+        own = Scratch(spark)
+        assert inner == [own.root]
+    assert not os.path.exists(own.root.removeprefix("file://")) and meanwhile[0].count() == 7
+    between = set(os.listdir(at))
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 100 and set(out.columns) >= {"doc_id", "ids", "sequence_id", "offset"}
     assert not any(t.name.startswith("glyphstream") for t in spark.catalog.listTables())
-    assert len(Scratch.roots) - since <= 2  # run()'s own, and the last stage's, which the result reads
-    Scratch.sweep(spark, since)
+    assert len({n for n in set(os.listdir(at)) - between if n.startswith("scratch-")}) <= 2  # run()'s own, and the last stage's, which the result reads
+    assert table.count() == 10 and meanwhile[0].count() == 7 and before <= set(os.listdir(at))
 
 
 def test_empty_tables(spark, sf_dir, tmp_path):
