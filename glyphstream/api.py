@@ -67,7 +67,7 @@ def contents(spark: SparkSession, chosen: DataFrame) -> DataFrame:
 
 def texts(content: DataFrame, languages: DataFrame | None, recogniser: Callable, ocr: recognise.OcrOptions = recognise.OcrOptions(), rules: Iterable = (), tags: Iterable[str] = ()) -> DataFrame:
     """(track_id, srt, error) of content (track_id, content[, error]); languages (track_id, language) is told to the recogniser, and chooses rules."""
-    items = pgs.decode(pgs.items(pgs.display_sets(pgs.segments(content))))
+    items = pgs.items(pgs.display_sets(pgs.segments(content)))
     if languages is not None:
         items = items.join(languages.select("track_id", "language"), "track_id", "left")
     else:

@@ -65,6 +65,15 @@ def sparse_json(track: Column) -> Column:
     return F.to_json(track)
 
 
+def left_out(tracks: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """tracks that selected() doesn't look at, with the reason: the first that holds."""
+    t = F.col("track")
+    reason = F.when(~F.coalesce(t["type"] == "subtitles", F.lit(False)), "no subtitles").when(~F.coalesce(t["codec"] == "HDMV PGS", F.lit(False)), "not graphic").when(t["disabled"].isNotNull(), "disabled").when(t["language"].isNull(), "no known language")
+    if options.languages:
+        reason = reason.when(~t["language"].isin(*options.languages), "another language")
+    return tracks.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def selected(tracks: DataFrame, file: str, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Enabled graphic subtitle tracks in a wanted and known language, numbered within (file, language) from 0; with one_per_lang the first only.
 

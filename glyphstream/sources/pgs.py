@@ -153,29 +153,56 @@ def _candidates(sets: DataFrame, zero_is_null: bool) -> DataFrame:
     return g.groupBy("track_id", "item_id").agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.min(F.when(seen, F.col("wds.x_offset"))).alias("x_offset"), F.min(F.when(seen, F.col("wds.y_offset"))).alias("y_offset"), first.alias("image"), F.min("error").alias("error"))
 
 
-def decode(timed: DataFrame) -> DataFrame:
-    """items() with height, width, pixels (row-major, ink 0, paper 255) and error in place of the coded image."""
+def bitmap(data: bytes | None, palette: bytes | None, error: str | None = None) -> tuple[np.ndarray | None, str | None]:
+    """(pixels: ink 0, paper 255, or None; error) of an item's coded image and palette."""
+    if error is not None:
+        return None, error
+    try:
+        if palette is None and data:
+            raise ValueError("an image without a palette")
+        return rle.bitmap(data or b"", rle.palette_luma(palette or b"")), None
+    except ValueError as e:
+        return None, str(e)
+
+
+def decode(timed: DataFrame, pixels: bool = True) -> DataFrame:
+    """items() with height, width, pixels (row-major, ink 0, paper 255) and error in place of the coded image; without pixels, the coded image stays."""
 
     def run(batches):
         for b in batches:
             rows = []
             for data, pal, before in zip(b.column("image_data"), b.column("palette"), b.column("error")):
-                if before.as_py() is not None:
-                    rows.append((None, None, None, before.as_py()))
-                    continue
-                try:
-                    if pal.as_py() is None and data.as_py():
-                        raise ValueError("an image without a palette")
-                    m = rle.bitmap(data.as_py() or b"", rle.palette_luma(pal.as_py() or b""))
-                    rows.append((*m.shape, m.tobytes(), None))
-                except ValueError as e:
-                    rows.append((None, None, None, str(e)))
-            added = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int32(), pa.int32(), pa.binary(), pa.string()])]
-            own = b.drop_columns(["image_data", "palette", "error"])
-            yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*own.schema.names, "height", "width", "pixels", "error"])
-
-    kept = timed.drop("image_data", "palette", "error")
-    return timed.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), "height int, width int, pixels binary, error string"]))
+                m, error = bitmap(data.as_py(), pal.as_py(), before.as_py())
+                rows.append((*(m.shape if m is not None else (None, None)), m.tobytes() if m is not None and pixels else None, error))
+            height, width, shown, error = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int32(), pa.int32(), pa.binary(), pa.string()])]
+            own = b.drop_columns(["image_data", "palette", "error"] if pixels else ["error"])
+            added = {"height": height, "width": width} | ({"pixels": shown} if pixels else {}) | {"error": error}
+            yield pa.RecordBatch.from_arrays([*own.columns, *added.values()], names=[*own.schema.names, *added])
+
+    kept = timed.drop("image_data", "palette", "error") if pixels else timed.drop("error")
+    more = "height int, width int, " + "pixels binary, " * pixels + "error string"
+    return timed.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), more]))
+
+
+def image_key(data: Column, palette: Column) -> Column:
+    """A digest of a coded image and its palette; null stands apart from empty."""
+    of = lambda c: F.coalesce(F.concat(F.encode(F.concat(F.octet_length(c).cast("string"), F.lit(":")), "utf-8"), c), F.encode(F.lit("-"), "utf-8"))
+    return F.sha2(F.concat(of(data), of(palette)), 256)
+
+
+def distinct_images(timed: DataFrame) -> DataFrame:
+    """(key, image_data, palette, error) of items(): each coded image once; those of items with errors not at all."""
+    good = timed.where("error IS NULL")
+    return good.select(image_key(F.col("image_data"), F.col("palette")).alias("key"), "image_data", "palette", "error").dropDuplicates(["key"])
+
+
+def decode_once(timed: DataFrame, pixels: bool = True) -> DataFrame:
+    """decode(), with each distinct coded image decoded a single time and joined back by its digest."""
+    found = decode(distinct_images(timed), pixels=pixels).withColumnRenamed("error", "_wrong").drop("image_data", "palette")
+    keyed = timed.withColumn("key", F.when(F.col("error").isNull(), image_key(F.col("image_data"), F.col("palette"))))
+    d = keyed.join(found, "key", "left").withColumn("error", F.coalesce("error", "_wrong"))
+    own = [c for c in timed.columns if c != "error" and not (pixels and c in ("image_data", "palette"))]
+    return d.select(*own, "height", "width", *["pixels"] * pixels, "error")
 
 
 def image(height: int, width: int, pixels: bytes) -> np.ndarray:

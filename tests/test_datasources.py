@@ -116,6 +116,29 @@ def test_tags_of_tracks(spark):
     assert [r.language for r in d.collect()] == want == [files.tag(t) or files.tag(c) for t, c in tracks_]
 
 
+def test_tracks_left_out_have_reasons(spark, tmp_path):
+    (tmp_path / "m.mkv").write_bytes(el(matroska.SEGMENT, el(matroska.TRACKS, entry(1, 1, "V_TEST", b"en") + entry(2, 17, "S_TEXT/UTF8", b"en") + entry(3, 17, matroska.PGS_CODEC, b"en") + entry(4, 17, matroska.PGS_CODEC, b"fr") + entry(5, 17, matroska.PGS_CODEC, b"de", num(matroska.ENABLED, 0)) + entry(6, 17, matroska.PGS_CODEC, b"qqq", el(matroska.LANGUAGE, b"qqq")))))
+    d = tracks.parsed(matroska.described(spark.createDataFrame([(str(tmp_path / "m.mkv"),)], "path string")))
+    options = files.ScanOptions(languages=frozenset({"en"}))
+    got = {r.track.id: r.reason for r in tracks.left_out(d, options).collect()}
+    assert got == {0: "no subtitles", 1: "not graphic", 3: "another language", 4: "disabled", 5: "no known language"}
+    assert [r.track.id for r in tracks.selected(d, "path", options).collect()] == [2] and 3 not in {r.track.id for r in tracks.left_out(d).collect()}
+
+
+def test_many_folders_of_raw_streams(spark, tmp_path, monkeypatch):
+    """Both ways to the raw streams' bytes give the same rows."""
+    from glyphstream import api
+
+    for k in range(5):
+        (tmp_path / f"d{k} [x]").mkdir()
+        (tmp_path / f"d{k} [x]" / "a.en.sup").write_bytes(bytes([k + 1]) * (k + 1))
+    chosen = api.tracks(api.scan_path(spark, [str(tmp_path)]))
+    read = lambda: sorted((r.track_id.split("/")[-2], bytes(r.content), r.error) for r in api.contents(spark, chosen).collect())
+    first = read()
+    monkeypatch.setattr(files, "MOST_FOLDERS", 2)
+    assert read() == first == [(f"d{k} [x]", bytes([k + 1]) * (k + 1), None) for k in range(5)]
+
+
 def test_made_containers_are_read_back(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "assistant", "é" * 70_000), (1, 65, "assistant", None), (2, 3, None, "x")]
     made = streams.conversation_containers(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "/f").collect()
