@@ -4,7 +4,8 @@ The content view sees a text's byte pairs (hashed shares) and repetition, and no
 page without its text: source, language and n_chars. Neither sees a column of the other. Both are logistic regressions fitted on the driver on
 at most ``train_rows`` labelled documents (a bounded sample: the first by a hash of doc_id). Over ``rounds`` each view scores all unlabelled
 documents, wherever they are, and gives the other view the ``per_round`` of them that it is most confident of (both classes, in the labelled share),
-with its labels. Each view is calibrated (Platt) on labelled rows kept out of training; the calibrated views are combined by a logistic regression on
+with its labels. Each view is calibrated (Platt) on labelled rows kept out of training, in every round too: how sure a view is, is judged on its calibrated logits, so that
+one that knows little gives nothing. The calibrated views are combined by a logistic regression on
 their logits, fitted there too. Features are worked out where the texts are; only chosen documents' features travel. All documents are
 scored on whole texts.
 
@@ -112,11 +113,21 @@ def platt(logit: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+class Calibrated:
+    """A view whose logits are calibrated."""
+
+    def __init__(self, view, weights):
+        self.view, self.weights = view, weights
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.weights[0] * self.view.logit(x) + self.weights[1], -30, 30)
+
+
 class CoTrained:
-    """Two fitted views and their combination."""
+    """Two fitted views and their combination; given: (good, bad) pseudo-labels of each view as giver, a round after another."""
 
-    def __init__(self, views, calibration, combined):
-        self.views, self.calibration, self.combined = views, calibration, combined
+    def __init__(self, views, calibration, combined, given=()):
+        self.views, self.calibration, self.combined, self.given = views, calibration, combined, list(given)
 
     def score(self, xs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: content view, metadata view, combined."""
@@ -136,18 +147,20 @@ def co_train(xs, y: np.ndarray, pick, rounds: int = ROUNDS) -> CoTrained | None:
     if y[hold].min() == y[hold].max() or y[~hold].min() == y[~hold].max():
         hold = np.zeros(len(y), bool)
     calibrate = hold if hold.any() else ~hold
-    own, labels = [[x[~hold]] for x in xs], [[y[~hold]], [y[~hold]]]
+    own, labels, told = [[x[~hold]] for x in xs], [[y[~hold]], [y[~hold]]], []
     for k in range(rounds + 1):
         views = [Logistic().fit(np.concatenate(x), np.concatenate(t)) for x, t in zip(own, labels)]
         if k == rounds:
             break
-        for giver, (features, given) in enumerate(pick(views, float(y[~hold].mean()))):
+        sure = [Calibrated(v, platt(v.logit(x[calibrate])[:, None], y[calibrate])) for v, x in zip(views, xs)]
+        for giver, (features, given) in enumerate(pick(sure, float(y[~hold].mean()))):
+            told.append((int(given.sum()), int(len(given) - given.sum())))
             own[1 - giver].append(features[1 - giver])
             labels[1 - giver].append(given)
     logits = [v.logit(x[calibrate]) for v, x in zip(views, xs)]
     calibration = [platt(z[:, None], y[calibrate]) for z in logits]
     scaled = np.stack([c[0] * z + c[1] for c, z in zip(calibration, logits)], axis=1)
-    return CoTrained(views, calibration, platt(scaled, y[calibrate]))
+    return CoTrained(views, calibration, platt(scaled, y[calibrate]), told)
 
 
 _KINDS = "doc_id long, text string, source string, lang string, n_chars long"
@@ -179,7 +192,8 @@ def _features_of(docs: DataFrame, chosen: DataFrame):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in xs)], names=names)
 
     rows = _slim(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "y")
-    got = rows.mapInArrow(lean(run), "doc_id long, y double, c binary, m binary").toArrow()
+    made = rows.mapInArrow(lean(run), "doc_id long, y double, c binary, m binary")
+    got = made.groupBy("doc_id").agg(F.min(F.struct("c", "m", "y")).alias("r")).select("doc_id", "r.y", "r.c", "r.m").toArrow()  # a row a chosen id
     got = sorted(zip(*(got.column(c).to_pylist() for c in names)))
     xs = [np.stack([np.frombuffer(r[k], np.float32) for r in got]) if got else np.zeros((0, n), np.float32) for k, n in ((2, PAIRS + 16), (3, META))]
     return [r[0] for r in got], xs, np.array([r[1] for r in got], np.float64)
