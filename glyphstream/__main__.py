@@ -10,7 +10,7 @@ from dataclasses import replace
 from datetime import timedelta
 
 from glyphstream import __version__
-from glyphstream.functions.srt import Rule, chosen, rule
+from glyphstream.functions.srt import DEFAULT_RULES, Rule, chosen, rule
 
 AGE = re.compile(r"(?:(\d+)w)?(?:(\d+)d)?(?:(\d+)h)?")
 log = logging.getLogger("glyphstream")
@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None, recogniser=None, spark=None) -> int:
     args = parser().parse_args(argv)
     if args.debug:
         logging.basicConfig(level=logging.DEBUG)
-    own = chosen(args.rules or [], args.tag, args.language)
+    own = chosen(DEFAULT_RULES if args.rules is None else args.rules, args.tag, args.language)
     if args.rules is not None and not own:
         print(f"no rules for {', '.join([*args.tag, *args.language]) or 'the default tag'}")
         return 0

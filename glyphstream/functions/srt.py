@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphstream.sources.files import bound
+
 DEFAULT_TAG = "default"
 
 
@@ -21,6 +23,22 @@ class Rule:
     languages: frozenset[str] = frozenset()
 
 
+#: What recognisers of bitmaps commonly get wrong, and what a subtitle doesn't need: used where no rules are given.
+DEFAULT_RULES = [
+    Rule(r"[\u00ad\u200b\u200e\u200f\ufeff]"),  # invisible characters
+    Rule(r"[\u2018\u2019\u201b\u0060\u00b4]", "'"),
+    Rule(r"(?:''|[\u201c\u201d\u201f])", '"'),
+    Rule(r"(?<![\p{L}\p{N}])\|(?=['\u0020]|\p{Ll}|$)", "I", languages=frozenset({"en"})),  # a bar read for a capital i
+    Rule(r"(?<=\p{Ll})\|(?=\p{Ll})", "l", languages=frozenset({"en"})),
+    Rule(r"\b([0-9]+)[oO](?=[0-9]|\b)", "$10"),
+    Rule(r"(?m)^[^\p{L}\p{N}?!\u2026\u266a.-]+$"),  # lines of stray marks
+    Rule(r"[ \t]+(?=[,.;:!?](?:[ \t\n]|$))", languages=frozenset({"en", "de", "es", "it", "pt", "nl", "sv", "da", "no", "nb", "fi", "pl"})),
+    Rule(r"[ \t]{2,}", " "),
+    Rule(r"(?m)^[ \t]+|[ \t]+$"),
+    Rule(r"\n{2,}", "\n"),
+]
+
+
 def rule(value) -> Rule:
     """A Rule from a pair (pattern, replacement), or a mapping with the fields of Rule."""
     if isinstance(value, Rule):
@@ -43,16 +61,19 @@ def srt_time(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("long"), part(60_000, 60), part(1000, 60), part(1, 1000))
 
 
+def _where(own: Column, r: Rule):
+    return lambda t: F.when(own, F.regexp_replace(t, r.pattern, r.replacement)).otherwise(t)
+
+
 def apply_rules(text: Column, rules: Iterable, language: Column | None = None) -> Column:
     """Rules one after another; a rule with languages changes texts of those only."""
     for r in map(rule, rules):
-        put = F.regexp_replace(text, r.pattern, r.replacement)
-        if r.languages:
-            if language is None:
-                continue
-            own = language.isin(*r.languages) | F.element_at(F.split(language, "-"), 1).isin(*r.languages)
-            put = F.when(own, put).otherwise(text)
-        text = put
+        if not r.languages:
+            text = F.regexp_replace(text, r.pattern, r.replacement)
+        elif language is not None:
+            own = F.coalesce(language.isin(*r.languages) | F.element_at(F.split(language, "-"), 1).isin(*r.languages), F.lit(False))
+            # The text so far is bound: it occurs twice, and would double with each such rule.
+            text = bound(text, _where(own, r))
     return text
 
 
