@@ -49,7 +49,7 @@ SCHEMA = "track_id string, item_id long, start_ms long, end_ms long, x_offset in
 
 @pytest.fixture(scope="module")
 def made(spark):
-    rows = items(300, "a/b.en.sup", "en") + items(45, "c.sup#2", None) + items(30, "bad", "xx") + items(1, "one", "de")
+    rows = items(130, "a/b.en.sup", "en") + items(45, "c.sup#2", None) + items(30, "bad", "xx") + items(1, "one", "de")
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
