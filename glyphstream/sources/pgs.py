@@ -111,7 +111,8 @@ def display_set_report(sets: DataFrame) -> DataFrame:
 
 def sets_json(sets: DataFrame) -> DataFrame:
     """(track_id, ds_index, json) for debugging; nulls are left out."""
-    row = F.struct("seq", "stype_name", "pts", "dts", "size", "pcs", "wds", "pds", F.struct("ods.id", "ods.version", "ods.sequence_type", "ods.data_len", "ods.width", "ods.height").alias("ods"))
+    ods = F.when(F.col("ods").isNotNull(), F.struct("ods.id", "ods.version", "ods.sequence_type", "ods.data_len", "ods.width", "ods.height"))
+    row = F.struct("seq", "stype_name", "pts", "dts", "size", "pcs", "wds", "pds", ods.alias("ods"))
     return sets.groupBy("track_id", "ds_index").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
 
 
