@@ -102,7 +102,7 @@ class Scratch:
                 fs.delete(path, True)
 
     def tidy(self) -> None:
-        """Have the JVM find what nothing refers to any more: Spark then deletes finished shuffles' files. For after a large step."""
+        """Have the JVM find what nothing refers to any more: Spark then deletes finished shuffles' files, and the driver's heap shrinks. For after a large step."""
         self.spark._jvm.System.gc()
 
     @classmethod

@@ -30,4 +30,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.drop(old)
         last, e = e, scratch.keep(named(named(e, "x"), "y").where("x <> y").select("x", "y").distinct())
         scratch.drop(last, p if labels is not p else None)
+        scratch.tidy()
     return labels if labels is not None else e.select(F.col("x").alias("node"), F.col("y").alias("comp"))

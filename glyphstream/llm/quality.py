@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm._common import Scratch, lean, read_table
+from glyphstream.llm._common import Scratch, lean, read_table, release
 
 TRAIN_ROWS = 4_000
 ROUNDS = 3
@@ -68,6 +68,16 @@ def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.nd
     return out
 
 
+def _dot(z: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """z @ v in double precision, without a copy of all of z in it."""
+    return np.concatenate([z[k : k + 512] @ v for k in range(0, len(z), 512)])
+
+
+def _turned(z: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """z.T @ v, likewise."""
+    return sum(z[k : k + 512].T @ v[k : k + 512] for k in range(0, len(z), 512))
+
+
 class Logistic:
     """Logistic regression by Newton steps with conjugate gradients; inputs are standardised."""
 
@@ -77,15 +87,15 @@ class Logistic:
         w = np.zeros(z.shape[1])
         share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # the classes weigh alike
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (share * (p - y)) + ridge * w
+            p = 1 / (1 + np.exp(-np.clip(_dot(z, w), -30, 30)))
+            g = _turned(z, share * (p - y)) + ridge * w
             h = share * p * (1 - p) + 1e-9
             step, r = np.zeros_like(w), -g
             d, rr = r.copy(), r @ r
             for _ in range(25):
                 if rr < 1e-16:
                     break
-                hd = z.T @ (h * (z @ d)) + ridge * d
+                hd = _turned(z, h * _dot(z, d)) + ridge * d
                 a = rr / (d @ hd)
                 step += a * d
                 r -= a * hd
@@ -96,7 +106,12 @@ class Logistic:
         return self
 
     def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.c_[np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))].astype(np.float32)
+        z = np.ones((len(x), x.shape[1] + 1), np.float32)
+        own = z[:, :-1]
+        np.subtract(x, self.mean, out=own)
+        np.divide(own, self.scale, out=own)
+        np.clip(own, -8, 8, out=own)
+        return z
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._z(x) @ self.w, -30, 30)
@@ -194,9 +209,12 @@ def _features_of(docs: DataFrame, chosen: DataFrame):
     rows = _slim(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "y")
     made = rows.mapInArrow(lean(run), "doc_id long, y double, c binary, m binary")
     got = made.groupBy("doc_id").agg(F.min(F.struct("c", "m", "y")).alias("r")).select("doc_id", "r.y", "r.c", "r.m").toArrow()  # a row a chosen id
-    got = sorted(zip(*(got.column(c).to_pylist() for c in names)))
-    xs = [np.stack([np.frombuffer(r[k], np.float32) for r in got]) if got else np.zeros((0, n), np.float32) for k, n in ((2, PAIRS + 16), (3, META))]
-    return [r[0] for r in got], xs, np.array([r[1] for r in got], np.float64)
+    order = np.argsort(got.column("doc_id").to_numpy())
+    xs = [np.zeros((len(order), n), np.float32) for n in (PAIRS + 16, META)]
+    for x, column in zip(xs, (got.column("c"), got.column("m"))):
+        for k, i in enumerate(order.tolist()):
+            x[k] = np.frombuffer(column[i].as_buffer(), np.float32)
+    return got.column("doc_id").to_numpy()[order].tolist(), xs, got.column("y").to_numpy()[order].astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND, confident: float = CONFIDENT) -> CoTrained | None:
@@ -233,9 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rounds
             _, features, given = _features_of(docs, rows) if chosen else ([], [x[:0] for x in xs], np.zeros(0))
             yield features, given
         scratch.drop(scored)
+        scratch.tidy()
 
     model = co_train(xs, target, pick, rounds)
     scratch.drop(y)
+    del xs, target
+    release()  # the driver goes on to other work
     return model
 
 

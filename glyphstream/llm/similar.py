@@ -234,6 +234,7 @@ def _links(scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame,
         parts.append(new)
         found = new if found is None else found.union(new)
         scratch.drop(p)
+        scratch.tidy()
         if turn < last:
             comp = components(found, scratch)
     scratch.drop(posts)
