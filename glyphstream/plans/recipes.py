@@ -12,6 +12,7 @@ from glyphstream.operators import recognise, spatial, subtitles, timeline
 from glyphstream.plans import streams
 from glyphstream.sources import containers, files, filewriter, pgs
 from glyphstream.sources.kept import shared_dir
+from glyphstream.streaming import live
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Words between ASCII white space.
@@ -76,10 +77,27 @@ FROM v JOIN e ON e.user_id=v.user_id AND e.rn=v.first_start""")
 def stream_items(spark, sf_dir):
     """Streams made of the events, split, assembled into display sets and items, and decoded by the engine."""
     d = streams.decoded(_t(spark, sf_dir, "events"))
+    return _shown(d)
+
+
+def _shown(d):
     ink = F.length("pixels") - F.length(F.translate(F.hex("pixels"), "0", "")) / 2  # a pixel is 00 (ink) or FF
     return d.select("track_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms", "x_offset", "y_offset", "height", "width")), ink.cast("long").alias("ink"))
 
 
+@query(ORACLE_SQL["stream_items"])
+def live_items(spark, sf_dir):
+    """The same streams in ranges that arrive in two batches and out of turn, assembled by state as they come; the files stay in a folder of this call."""
+    at = f"{shared_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    chunks = streams.ranges(streams.contents(_t(spark, sf_dir, "events")))
+    files_in = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.repartition(files_in, "at").write.parquet(f"{at}/in")
+    arriving = spark.readStream.schema(live.CHUNKS).option("maxFilesPerTrigger", max(1, files_in // 2)).parquet(f"{at}/in")
+    q = live.items(arriving).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _shown(pgs.decode(spark.read.schema(live.ITEMS).parquet(f"{at}/out")))
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS track_id, COUNT(*) AS n_sets, SUM(CASE WHEN event_id%2=1 THEN 1 ELSE 0 END)::BIGINT AS n_images, MIN(event_id%1000)::BIGINT AS least_x, MAX(rn)*90000 AS last_pts
 FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e GROUP BY user_id""")
 def stream_segments(spark, sf_dir):

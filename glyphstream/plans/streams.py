@@ -37,6 +37,14 @@ def contents(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(stream, "track_id string, content binary")
 
 
+def ranges(contents: DataFrame, size: int = 1500) -> DataFrame:
+    """(track_id, at, content): each track's bytes in ranges of ``size``, and a row without content where it ends."""
+    n = F.octet_length("content")
+    parts = F.transform(F.sequence(F.lit(0), n, F.lit(size)), lambda at: F.struct(at.cast("long").alias("at"), F.substring("content", at + 1, size).alias("content")))
+    end = F.array(F.struct(n.cast("long").alias("at"), F.lit(None).cast("binary").alias("content")))
+    return contents.select("track_id", F.inline(F.concat(parts, end)))
+
+
 def decoded(events: DataFrame) -> DataFrame:
     return pgs.decode(pgs.items(pgs.display_sets(pgs.segments(contents(events)))))
 
