@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.operators import spatial
@@ -150,16 +150,51 @@ def accept(words: pd.DataFrame, places: pd.DataFrame, confidence: int) -> list[s
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Pages of at most so many words are judged by one task each; a larger one's places are dealt over all tasks.
+PAGE_WORDS = 1 << 17
+#: Words to a task, about, where there are more than the session's shuffle partitions hold so.
+TASK_WORDS = 1 << 20
+
+
 def accepted(words: DataFrame, places: DataFrame, page: str, confidence: int | str, vocabulary: str | None = None) -> DataFrame:
     """(page, place, text) of places (page, place, y0, x0, y1, x1) on pages of words (page, and the recogniser's columns); null text: not accepted.
 
     accept() for any number of pages of any size, without Python: words meet places by grid cells, and unsure words the page's sure ones. Equal places in the reading
     order are ordered by text. confidence: a number, or the words' column that has it. vocabulary: the words' column that tells which pages vouch for one another, if not each for itself.
+    Pages that vouch for themselves alone are shuffled once, whole, but for those of over PAGE_WORDS words, whose names the driver gets.
     """
     half = lambda at, size: F.col(at) + F.floor(F.col(size) / 2)
     sure = F.col("conf").cast("double").cast("int") >= (F.col(confidence) if isinstance(confidence, str) else confidence)
     w = words.select(F.col(page).alias("page"), F.col(vocabulary or page).alias("owner"), half("top", "height").alias("y"), half("left", "width").alias("x"), F.struct(*ORDER[:4]).alias("line"), F.col("word_num").alias("nr"), F.coalesce("text", F.lit("")).alias("text"), sure.alias("sure"), (F.col("level") == WORD_LEVEL).alias("word"))
     p = places.select(F.col(page).alias("page"), "place", "y0", "x0", "y1", "x1")
+    if vocabulary:
+        told = _by_cell(w, p)
+    else:
+        sizes = words.groupBy(F.col(page).alias("page")).agg(F.count("*").alias("n"))
+        total, crowded = sizes.where("page IS NOT NULL").agg(F.sum("n"), F.collect_list(F.when(F.col("n") > PAGE_WORDS, F.col("page")))).first()
+        large = F.coalesce(F.col("page").isin(crowded), F.lit(False))
+        told = _by_page(w.where(~large), p.where(~large), -(-(total or 0) // TASK_WORDS))
+        if crowded:
+            told = told.unionByName(_by_cell(w.where(large), p.where(large)))
+    return told.select(F.col("page").alias(page), F.col("place").cast("long").alias("place"), F.when(~F.col("again"), F.btrim("text", F.lit(BLANKS))).alias("text"))
+
+
+def _by_page(w: DataFrame, p: DataFrame, tasks: int) -> DataFrame:
+    """(page, place, text, again) of accepted(): words and places are shuffled by page alone, to so many tasks at least, and every later step keeps that partitioning. again: a word isn't vouched for."""
+    at = F.struct("place", "y0", "x0", "y1", "x1")
+    both = w.where("page IS NOT NULL").drop("owner").unionByName(p.select("page", at.alias("at")), allowMissingColumns=True)
+    both = both.repartition(tasks, "page") if tasks > int(w.sparkSession.conf.get("spark.sql.shuffle.partitions")) else both.repartition("page")
+    known = F.max(F.col("sure") & (F.col("text") != "")).over(Window.partitionBy("page", "text"))
+    d = both.withColumn("unsure", ~F.col("sure") & ~F.coalesce(known, F.lit(False))).where("word OR at IS NOT NULL").drop("word", "sure")
+    hit = spatial.contained_by_page(d, "page", "at", spatial.grids(p)).select("page", "at.place", "line", "nr", "text", "unsure")
+    own = F.when(F.col("text").isNotNull(), F.struct("line", "nr", "text"))
+    whole = hit.groupBy("page", "place").agg(F.sort_array(F.collect_list(own)).alias("own"), F.coalesce(F.max("unsure"), F.lit(False)).alias("again"))
+    before = lambda r, k: F.when(k == 0, "").when(r["line"] == F.get("own", k - 1)["line"], " ").otherwise("\n")
+    return whole.select("page", "place", F.array_join(F.transform("own", lambda r, k: F.concat(before(r, k), r["text"])), "").alias("text"), "again")
+
+
+def _by_cell(w: DataFrame, p: DataFrame) -> DataFrame:
+    """_by_page() with words shuffled by grid cell, line, place and text, for pages of any size and vocabularies of several pages."""
     hit = spatial.contained(w.where("word").drop("word"), p, "page")
     joined = lambda rows, key, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), lambda r: r[key]), by)
     lines = hit.groupBy("page", "place", "owner", "line").agg(joined(["nr", "text"], "text", " ").alias("text"), F.collect_set(F.when(~F.col("sure"), F.col("text"))).alias("unsure"))
@@ -167,7 +202,7 @@ def accepted(words: DataFrame, places: DataFrame, page: str, confidence: int | s
     known = w.where(F.col("sure") & (F.col("text") != "")).select("owner", "text").distinct()
     again = whole.select("page", "place", "owner", F.explode("unsure").alias("text")).join(known, ["owner", "text"], "left_anti").select("page", "place").distinct()
     told = p.select("page", "place").join(whole.select("page", "place", "text"), ["page", "place"], "left").join(again.withColumn("again", F.lit(True)), ["page", "place"], "left")
-    return told.select(F.col("page").alias(page), F.col("place").cast("long").alias("place"), F.when(F.col("again").isNull(), F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))).alias("text"))
+    return told.select("page", "place", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("again", F.lit(False)).alias("again"))
 
 
 def cascade(items: pd.DataFrame, recognise: Callable, options: OcrOptions, name: str = "track") -> pd.DataFrame:

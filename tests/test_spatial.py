@@ -95,3 +95,40 @@ def test_accepted_is_accept_on_each_page(spark, confidence):
     if confidence == 90:
         assert None in want.values() and any(want.values())
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def drawn_words(spark, pages, n):
+    words = [(q, 5, 1, 1, 1, k // 8, k, k % 8 * 10, k // 8 * 20, 1, 1, float((q * 31 + k * 7) % 100), f"w{(q + k) % 53}") for q in range(pages) for k in range(n * (1 + 9 * (q == 0)))]
+    places = [(q, k, k * 100, 0, k * 100 + 99, 100) for q in range(pages) for k in range(n // 8)] + [(0, 9999, 9, 9, 0, 0), (pages, 1, 0, 0, 9, 9), (None, 7, 0, 0, 9, 9)]
+    columns = "page long, level int, page_num int, block_num int, par_num int, line_num long, word_num long, left long, top long, width int, height int, conf double, text string"
+    return spark.createDataFrame([*words, (None, *words[0][1:])], columns), spark.createDataFrame(places, "page long, place long, y0 long, x0 long, y1 long, x1 long")
+
+
+def exchanges(d):
+    """Shuffles of d's final plan."""
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_whole_pages_are_shuffled_once(spark):
+    w, p = drawn_words(spark, 6, 60)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = recognise.accepted(w, p, "page", 20)
+        assert len(out.collect()) == p.count()
+        assert exchanges(out) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_crowded_pages_give_what_whole_ones_give(spark, monkeypatch):
+    w, p = drawn_words(spark, 6, 60)
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    want = key(recognise.accepted(w, p, "page", 20))
+    assert len({t for *_, t in want}) > 3 and None in {t for *_, t in want}
+    monkeypatch.setattr(recognise, "TASK_WORDS", 100)
+    assert key(recognise.accepted(w, p, "page", 20)) == want
+    for limit in (500, 1):
+        monkeypatch.setattr(recognise, "PAGE_WORDS", limit)
+        assert key(recognise.accepted(w, p, "page", 20)) == want
