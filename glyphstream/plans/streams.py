@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphstream.functions import rle
@@ -22,19 +22,37 @@ def luma() -> np.ndarray:
     return out
 
 
-def contents(events: DataFrame) -> DataFrame:
-    """(track_id, content): a stream for each user. The n-th event is a display set at n seconds; a signup begins an epoch; events of odd number have an
-    image of three lines, two of them ink; every fifth has no window."""
+#: Events to a task, about, at any size of the table.
+TASK_EVENTS = 1 << 17
+
 
-    def stream(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, (event, kind) in enumerate(pdf.sort_values(["ts", "event_id"])[["event_id", "event_type"]].itertuples(index=False), 1):
-            wide = 2 + event % 100
-            image = rle.encode([wide, 0, wide, 0, wide, 0], [1, 0, 2, 0, 3, 0]) if event % 2 else None
-            out.append(pgs.display_set(n * 90_000, 0x80 if kind == "signup" else 0, n % 65536, event % 1000, event % 700, image, LUMA, int(event % 5 != 0)))
-        return pd.DataFrame({"track_id": [str(pdf["user_id"].iloc[0])], "content": [b"".join(out)]})
+def dealt(d: DataFrame, key: str, events: DataFrame) -> DataFrame:
+    """d by key in so many tasks that each has some TASK_EVENTS of the events, which adaptive execution doesn't gather, as rows grow much when they are read back."""
+    return d.repartition(max(-(-events.count() // TASK_EVENTS), d.sparkSession.sparkContext.defaultParallelism), key)
 
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(stream, "track_id string, content binary")
+
+def contents(events: DataFrame) -> DataFrame:
+    """(track_id, content): a stream for each user. The n-th event is a display set at n seconds; a signup begins an epoch; events of odd number have an
+    image of three lines, two of them ink; every fifth has no window. The bytes are those of pgs.display_set()."""
+    d = dealt(events.select("user_id", "ts", "event_id", "event_type"), "user_id", events)
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))))
+    number = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    at = F.col("n").cast("long") * 90_000
+    # A field of four bytes: a longer one would be another stream.
+    head = F.concat(F.lit(b"PG".hex()), number(F.when(at < 1 << 32, at), 4), F.lit("0" * 8))
+    event = lambda m: F.pmod("event_id", F.lit(m))
+    body = lambda kind, payload: pgs.encoded(kind, 0, payload)[10:].hex()
+    image = lambda wide: rle.encode([wide, 0, wide, 0, wide, 0], [1, 0, 2, 0, 3, 0])
+    whole = [{kind: body(kind, payload) for _, kind, *_, payload, _ in pgs.split(pgs.display_set(0, 0, 0, 0, 0, image(2 + k), LUMA))} for k in range(100)]
+    pcs, wds = whole[0][0x16], whole[0][0x17]  # of zeros, two letters a byte
+    shown = F.concat(head, F.lit(whole[0][0x14]), head, F.element_at(F.array(*(F.lit(w[0x15]) for w in whole)), event(100).cast("int") + 1))
+    parts = [
+        *(head, F.lit(pcs[:16]), number(F.pmod("n", F.lit(65536)), 2), F.when(F.col("event_type") == "signup", "80").otherwise("00"), F.lit(pcs[22:])),
+        *(head, F.lit(wds[:6]), F.when(event(5) != 0, "01").otherwise("00"), F.lit(wds[8:10]), number(event(1000), 2), number(event(700), 2), F.lit(wds[18:])),
+        *(F.when(event(2) == 1, shown).otherwise(""), head, F.lit(whole[0][0x80])),
+    ]
+    d = d.select("user_id", "n", F.coalesce(F.unhex(F.concat(*parts)), F.raise_error(F.lit("an event without a number, or beyond the stream's time"))).alias("set"))
+    return d.groupBy("user_id").agg(F.expr("listagg(set, X'') WITHIN GROUP (ORDER BY n)").alias("content")).select(F.col("user_id").cast("string").alias("track_id"), "content")
 
 
 def ranges(contents: DataFrame, size: int = 1500) -> DataFrame:

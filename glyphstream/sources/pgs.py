@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,8 @@ TYPES = {0x14: "PDS", 0x15: "ODS", 0x16: "PCS", 0x17: "WDS", 0x80: "END"}
 STATES = {0x00: "NORMAL_CASE", 0x40: "ACQUISITION_POINT", 0x80: "EPOCH_START"}
 SEQUENCES = {0x40: "LAST", 0x80: "FIRST", 0xC0: "FIRST_AND_LAST"}
 HEADER = 13
+#: What follows the two letters: times, type, size.
+_HEAD = struct.Struct(">IIBH")
 REPAIR_MS = 10_000
 
 SEGMENTS = "track_id string, seq int, byte_offset long, stype int, pts long, dts long, size int, payload binary, error string"
@@ -29,12 +33,11 @@ def split(content: bytes, strict: bool = False):
     """
     at = 0
     while at + HEADER <= len(content) and content[at : at + 2] == b"PG":
-        number = lambda a, b, at=at: int.from_bytes(content[at + a : at + b], "big")
-        kind, size = content[at + 10], number(11, 13)
+        pts, dts, kind, size = _HEAD.unpack_from(content, at + 2)
         error = None if kind in TYPES else f"unknown segment type 0x{kind:02x}"
         if error and strict:
             raise ValueError(error)
-        yield at, kind, number(2, 6), number(6, 10), size, content[at + HEADER : at + HEADER + size], error
+        yield at, kind, pts, dts, size, content[at + HEADER : at + HEADER + size], error
         if error:
             return
         at += HEADER + size
@@ -171,10 +174,12 @@ def decode(timed: DataFrame, pixels: bool = True) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for data, pal, before in zip(b.column("image_data"), b.column("palette"), b.column("error")):
-                m, error = bitmap(data.as_py(), pal.as_py(), before.as_py())
-                rows.append((*(m.shape if m is not None else (None, None)), m.tobytes() if m is not None and pixels else None, error))
+            rows, seen = [], {}  # equal images of a batch are decoded once
+            for coded in zip(*(b.column(c).to_pylist() for c in ("image_data", "palette", "error"))):
+                if coded not in seen:
+                    m, error = bitmap(*coded)
+                    seen[coded] = (*(m.shape if m is not None else (None, None)), m.tobytes() if m is not None and pixels else None, error)
+                rows.append(seen[coded])
             height, width, shown, error = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int32(), pa.int32(), pa.binary(), pa.string()])]
             own = b.drop_columns(["image_data", "palette", "error"] if pixels else ["error"])
             added = {"height": height, "width": width} | ({"pixels": shown} if pixels else {}) | {"error": error}

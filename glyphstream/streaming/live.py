@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, fields
 
@@ -13,9 +14,8 @@ from glyphstream.sources import pgs
 
 CHUNKS = "track_id string, at long, content binary"
 ITEMS = "track_id string, item_id long, start_ms long, end_ms long, x_offset long, y_offset long, image_data binary, palette binary, error string"
-_ITEM = "item_id long, start_ms long, end_ms long, x long, y long, begun boolean, image binary, palette binary, error string"
-_STATE = f"at long, rest binary, stopped boolean, ended boolean, {_ITEM}, " + ", ".join(f"wait_{c}" for c in _ITEM.split(", "))
-_AHEAD = "at long, content binary"
+#: A track's Assembly.values() and the ranges that wait, pickled: fields by name would be converted twice on each way between Python and the JVM.
+_STATE = "track binary"
 MISSING = "bytes are missing"
 LATE = "bytes after the track's end"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -148,12 +148,11 @@ class Assembly:
     def of(cls, values: tuple) -> "Assembly":
         n = len(fields(Item))
         item = lambda v: Item(*v) if v[0] is not None else None
-        own = [bytes(v) if isinstance(v, bytearray) else v for v in values]
-        return cls(*own[:4], item(own[4 : 4 + n]), item(own[4 + n :]))
+        return cls(*values[:4], item(values[4 : 4 + n]), item(values[4 + n :]))
 
 
 class Assembler(StatefulProcessor):
-    """Assembly of each track; ranges that come before their turn wait in a list of their own."""
+    """Assembly of each track, and the ranges that wait for their turn: one value, read once and written once a batch, as each call for state goes to the JVM and back."""
 
     def __init__(self, idle_ms: int | None, zero_is_null: bool):
         self.idle_ms, self.zero_is_null = idle_ms, zero_is_null
@@ -161,15 +160,14 @@ class Assembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.track = handle.getValueState("track", _STATE)
-        self.ahead = handle.getListState("ahead", _AHEAD)
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        track = Assembly.of(self.track.get()) if self.track.exists() else Assembly()
+        track, waits = self._read()
         if track.ended:
             if any(r.content is not None and r.at + len(r.content) > track.at for r in rows):
                 yield _row(key[0], (*[None] * 7, LATE))
             return
-        early = sorted([(a, c is None, None if c is None else bytes(c)) for a, c in (tuple(r) for r in self.ahead.get())] + [(r.at, r.content is None, None if r.content is None else bytes(r.content)) for r in rows], key=lambda x: x[:2])
+        early = sorted([(a, c is None, c) for a, c in waits] + [(r.at, r.content is None, None if r.content is None else bytes(r.content)) for r in rows], key=lambda x: x[:2])
         left, over = [], False
         for at, end, content in early:
             if at > track.at:
@@ -192,20 +190,23 @@ class Assembler(StatefulProcessor):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        track = Assembly.of(self.track.get())
+        track, waits = self._read()
         if track.ended:
             return
-        gap = any(c is not None for _, c in map(tuple, self.ahead.get()))
+        gap = any(c is not None for _, c in waits)
         for row in track.failed(MISSING) if gap else track.read(b"", last=True, zero_is_null=self.zero_is_null):
             yield _row(key[0], row)
         self._save(track, [])
 
+    def _read(self) -> tuple[Assembly, list[tuple]]:
+        own = self.track.get()
+        if own is None:
+            return Assembly(), []
+        values, waits = pickle.loads(own[0])
+        return Assembly.of(values), waits
+
     def _save(self, track: Assembly, left: list[tuple]) -> None:
-        self.track.update(track.values())
-        if left:
-            self.ahead.put(left)
-        else:
-            self.ahead.clear()
+        self.track.update((pickle.dumps((track.values(), left)),))
 
     def close(self) -> None:
         pass

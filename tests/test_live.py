@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from test_streams import CLEAR, START
 
 from glyphstream.sources import pgs
@@ -108,3 +109,32 @@ def test_idle_tracks_end(spark, folders):
         comes(plain([*done, ("a", *[None] * 7, live.LATE)]))
     finally:
         q.stop()
+
+
+def test_a_batch_of_a_track_reads_and_writes_its_state_once(monkeypatch):
+    calls = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+    content = pgs.display_set(90_000, 0x80, 1, 5, 6, b"\x01\x00\x00", {1: 235}) + pgs.display_set(180_000, 0, 2, 5, 6)
+    own = live.Assembler(None, False)
+    own.init(Handle())
+    chunk = lambda at, c: Row(track_id="a", at=at, content=c)
+    assert not list(own.handleInputRows(("a",), [chunk(20, content[20:]), chunk(len(content), None)], None))
+    assert calls == ["get", "update"]
+    assert [r.end_ms for r in own.handleInputRows(("a",), [chunk(0, content[:20])], None)] == [2000]
+    assert calls == ["get", "update"] * 2
+    assert [r.error for r in own.handleInputRows(("a",), [chunk(len(content), b"x")], None)] == [live.LATE]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphstream import api
 from glyphstream.functions import rle, tracks
 from glyphstream.operators import recognise
+from glyphstream.plans import streams as plan_streams
 from glyphstream.sources import files, pgs
 
 START = bytes.fromhex(
@@ -207,3 +208,23 @@ def test_public_names():
     assert all(getattr(glyphstream, n) is not None for n in glyphstream.__all__) and files.ScanOptions().one_per_lang
     with pytest.raises(AttributeError):
         glyphstream.nothing
+
+
+def python_stream(rows):
+    """A user's events (ts, event_id, event_type) as bytes, set by set."""
+    out = []
+    for n, (_, event, kind) in enumerate(sorted(rows), 1):
+        wide = 2 + event % 100
+        image = rle.encode([wide, 0, wide, 0, wide, 0], [1, 0, 2, 0, 3, 0]) if event % 2 else None
+        out.append(pgs.display_set(n * 90_000, 0x80 if kind == "signup" else 0, n % 65536, event % 1000, event % 700, image, plan_streams.LUMA, int(event % 5 != 0)))
+    return b"".join(out)
+
+
+def test_streams_of_events_are_made_without_python(spark):
+    rows = [(k % 3, k * 7919 % 50, 1_000_000_007 * (k % 5) + k, ("signup", "click", "view")[k % 7 % 3]) for k in range(400)]
+    d = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string")
+    out = plan_streams.contents(d)
+    assert {r.track_id: bytes(r.content) for r in out.collect()} == {str(u): python_stream([r[1:] for r in rows if r[0] == u]) for u in range(3)}
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="beyond the stream's time"):
+        plan_streams.contents(spark.range(47_722).selectExpr("1L AS user_id", "id AS ts", "id AS event_id", "'view' AS event_type")).collect()
