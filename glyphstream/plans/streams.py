@@ -64,7 +64,7 @@ def ranges(contents: DataFrame, size: int = 1500) -> DataFrame:
 
 
 def decoded(events: DataFrame) -> DataFrame:
-    return pgs.decode(pgs.items(pgs.display_sets(pgs.segments(contents(events)))))
+    return pgs.decode(pgs.items(pgs.display_sets(dealt(pgs.segments(contents(events)), "track_id", events))))
 
 
 def document_tracks(docs: DataFrame, disabled: Column | None = None) -> DataFrame:

@@ -100,9 +100,12 @@ def with_headers(segs: DataFrame) -> DataFrame:
 def display_sets(segs: DataFrame) -> DataFrame:
     """Segments with headers and ds_index; those after a track's last END are left out, but for a row that tells why reading ended."""
     ended = F.coalesce(F.col("stype") == 0x80, F.lit(False)) & F.col("error").isNull()
-    d = timeline.end_delimited(with_headers(segs), ["track_id"], ["seq"], ended)
-    whole = F.max(ended).over(Window.partitionBy("track_id", "ds_index"))
-    return d.withColumn("_whole", whole).where("_whole OR error IS NOT NULL").drop("_whole")
+    d = timeline.end_delimited(segs, ["track_id"], ["seq"], ended)
+    # One sort of segments as they were split does for both windows; fields of headers are taken from them afterwards.
+    last = F.max(F.when(ended, F.col("seq"))).over(Window.partitionBy("track_id"))
+    d = d.withColumn("_last", last).where("seq <= _last OR error IS NOT NULL").drop("_last")
+    names = [*segs.columns, "stype_name", "pcs", "wds", "pds", "ods", "ds_index"]
+    return with_headers(d).select(*dict.fromkeys(names))
 
 
 def display_set_report(sets: DataFrame) -> DataFrame:

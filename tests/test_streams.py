@@ -228,3 +228,20 @@ def test_streams_of_events_are_made_without_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Pandas" not in out._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="beyond the stream's time"):
         plan_streams.contents(spark.range(47_722).selectExpr("1L AS user_id", "id AS ts", "id AS event_id", "'view' AS event_type")).collect()
+
+
+def test_display_sets_sort_segments_once(spark):
+    segs = pgs.segments(spark.createDataFrame([("a", bytearray(START + CLEAR + START[:-13])), ("b", bytearray(CLEAR + b"PG" + bytes(11)))], "track_id string, content binary"))
+    out = pgs.display_sets(segs)
+    got = sorted((r.track_id, r.seq, r.ds_index, r.stype_name) for r in out.collect())
+    assert got == [("a", k, int(k > 4), n) for k, n in enumerate(["PCS", "WDS", "PDS", "ODS", "END", "PCS", "WDS", "END"])] + [("b", 0, 0, "PCS"), ("b", 1, 0, "WDS"), ("b", 2, 0, "END"), ("b", 3, 1, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_tasks_grow_with_the_events(spark, monkeypatch):
+    d = spark.range(400).selectExpr("id % 40 AS user_id", "id AS ts", "id AS event_id", "'signup' AS event_type")
+    few = sorted(map(str, plan_streams.decoded(d).collect()))
+    monkeypatch.setattr(plan_streams, "TASK_EVENTS", 25)
+    many = plan_streams.decoded(d)
+    assert many.rdd.getNumPartitions() == 16 and sorted(map(str, many.collect())) == few
